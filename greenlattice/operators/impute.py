@@ -4,7 +4,8 @@ The distance between two rows is the Euclidean distance over the columns both ha
 up by (all columns / shared columns). Three facts keep it cheap and exact:
 
 * rows that agree in every value are at the same distance, so at most ``k`` of them matter;
-* ``k`` donors of the receiver's own cell give an upper bound on the wanted distance;
+* the ``k``-th nearest of some donors (up to ``BOUND_ROWS`` of the receiver's own cell, or
+  ``k`` of the whole table) is an upper bound on the wanted distance;
 * the distance is at least the scaled gap in any complete column, so only cells whose
   range meets the bound can hold a nearer donor. Cells are cut at quantile split points of
   the widest complete columns, so dense regions get narrow cells.
@@ -17,8 +18,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from greenlattice.operators.ranking import with_bucket
+from greenlattice.session import materialize
 
 CELL_ROWS = 256
+BOUND_ROWS = 512
 CELL_COLUMNS = 3
 MAX_CUTS = 64
 
@@ -60,7 +63,7 @@ def impute_nearest_rows(df: DataFrame, columns: list[str], row_id: str, k: int =
         donors = with_bucket(donors, c, splits[c], cell)
     donor = F.struct(F.col(row_id).alias("_id"), *columns).alias("donor")
     offers = F.array(*[F.when(F.col(c).isNotNull(), F.lit(c)) for c in gappy])
-    donors = donors.select(*cells, donor, F.explode(F.array_compact(offers)).alias("_gap"))
+    donors = materialize(donors.select(*cells, donor, F.explode(F.array_compact(offers)).alias("_gap")))
 
     # Receivers: one row per distinct incomplete row and missing column.
     incomplete = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in gappy])
@@ -71,18 +74,25 @@ def impute_nearest_rows(df: DataFrame, columns: list[str], row_id: str, k: int =
     receivers = receivers.select(*cells, "_rid", F.struct(*columns).alias("want"),
                                  F.explode(F.array_compact(wants)).alias("_gap"))
 
-    # Upper bound from k donors of the own cell, or k donors of the whole table.
+    # Upper bound from some donors of the own cell, or k donors of the whole table.
     few = W.partitionBy(*cells, "_gap").orderBy("donor._id")
-    local = donors.withColumn("_i", F.row_number().over(few)).where(F.col("_i") <= k).drop("_i")
+    local = donors.withColumn("_i", F.row_number().over(few)).where(F.col("_i") <= max(k, BOUND_ROWS)).drop("_i")
     anywhere = (local.withColumn("_i", F.row_number().over(W.partitionBy("_gap").orderBy("donor._id")))
                 .where(F.col("_i") <= k).select("_gap", "donor"))
     square = _scaled_square(columns, "want", "donor")
-    bound = F.when(F.count(square) >= k, F.max(square)).otherwise(float("inf"))
-    near_bound = receivers.join(local, [*cells, "_gap"]).groupBy("_rid", "_gap").agg(bound.alias("_near"))
-    far_bound = receivers.join(anywhere, "_gap").groupBy("_rid", "_gap").agg(bound.alias("_far"))
+    closest = W.partitionBy("_rid", "_gap").orderBy(F.asc_nulls_last("_d2"))
+
+    def kth_distance(candidates: DataFrame, name: str) -> DataFrame:
+        top = (candidates.select("_rid", "_gap", square.alias("_d2"))
+               .withColumn("_i", F.row_number().over(closest)).where(F.col("_i") == k))
+        return top.select("_rid", "_gap", F.col("_d2").alias(name))
+
+    near_bound = kth_distance(receivers.join(local, [*cells, "_gap"]), "_near")
+    far_bound = kth_distance(receivers.join(anywhere, "_gap"), "_far")
     bounded = (receivers.join(near_bound, ["_rid", "_gap"], "left").join(far_bound, ["_rid", "_gap"], "left")
                .withColumn("_limit", F.coalesce(F.least("_near", "_far"), F.lit(float("inf"))) * (1 + 1e-12))
                .drop("_near", "_far", *cells))
+    bounded = materialize(bounded)
 
     # Cells whose range meets the bound in every axis.
     present = reduce(lambda a, b: a + b, [F.col(f"want.{c}").isNotNull().cast("int") for c in columns])
