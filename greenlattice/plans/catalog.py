@@ -1,6 +1,6 @@
 """Imports every query module and exposes the filled catalogue."""
 
-from greenlattice.plans import spatial_queries, validation_queries  # noqa: F401
+from greenlattice.plans import feature_queries, spatial_queries, validation_queries  # noqa: F401
 from greenlattice.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
