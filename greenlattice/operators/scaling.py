@@ -96,18 +96,20 @@ class QuantileMap:
                 continue
             splits = [float("-inf"), *values, float("inf")]
             cut = Bucketizer(splits=splits, inputCol="_v", outputCol="_i", handleInvalid="keep")
-            df = cut.transform(df.withColumn("_v", F.col(c).cast("double")))
-            # Bucket i >= 1 starts at landmark i - 1.
-            i = F.col("_i").cast("int")
-            at = lambda xs, k: F.element_at(F.array(*[F.lit(x) for x in xs]), k)
-            v0, p0 = at(values, i), at([m[2] for m in marks], i)
-            v1, p1 = at(values, i + 1), at([m[1] for m in marks], i + 1)
-            middle = at([(m[1] + m[2]) / 2 for m in marks], i)
+            order = df.columns
+            located = cut.transform(df.withColumn("_v", F.col(c).cast("double"))).withColumn("_i", F.col("_i").cast("int"))
+            # Bucket i >= 1 starts at landmark i - 1. At most as many rows as landmarks.
+            rows = [(i + 1, a[0], (a[1] + a[2]) / 2, a[2], b[0], b[1])
+                    for i, (a, b) in enumerate(zip(marks, [*marks[1:], marks[-1]]))]
+            steps = df.sparkSession.createDataFrame(
+                rows, "_i int, _v0 double, _middle double, _p0 double, _v1 double, _p1 double")
             share = (F.when(F.col("_v").isNull(), F.lit(None).cast("double"))
                      .when(F.col("_v") <= values[0], F.lit(0.0)).when(F.col("_v") >= values[-1], F.lit(1.0))
-                     .when(F.col("_v") == v0, middle)
-                     .otherwise(p0 + (p1 - p0) * (F.col("_v") - v0) / (v1 - v0)))
-            df = df.withColumn(c, _normal(share) if output == "normal" else share).drop("_v", "_i")
+                     .when(F.col("_v") == F.col("_v0"), F.col("_middle"))
+                     .otherwise(F.col("_p0") + F.try_divide(
+                         (F.col("_p1") - F.col("_p0")) * (F.col("_v") - F.col("_v0")), F.col("_v1") - F.col("_v0"))))
+            df = located.join(steps, "_i", "left").withColumn(
+                c, _normal(share) if output == "normal" else share).select(*order)
         return df
 
 
@@ -191,7 +193,7 @@ def box_cox(x: Column, lam: float) -> Column:
 
 
 def fit_power(df: DataFrame, columns: list[str], method: str = "yeo-johnson", low: float = -4.0, high: float = 6.0,
-              points: int = 9, rounds: int = 6) -> dict[str, float]:
+              points: int = 17, rounds: int = 4) -> dict[str, float]:
     """Maximum-likelihood exponent per column.
 
     One aggregate evaluates the likelihood of a ladder of exponents for all columns; the

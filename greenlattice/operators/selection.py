@@ -92,7 +92,11 @@ def t_quantile(p: float, degrees: float) -> float:
     def upper_tail(t: float) -> float:
         # Substituting t = sqrt(v) tan(a) makes the tail a smooth integral of cos(a)**(v-1).
         scale = math.exp(math.lgamma((degrees + 1) / 2) - math.lgamma(degrees / 2)) / math.sqrt(math.pi)
-        start, end, steps = math.atan(t / math.sqrt(degrees)), math.pi / 2, 2000
+        # Beyond ``end`` the integrand is below 1e-20 (many degrees of freedom make it narrow).
+        end = math.pi / 2 if degrees <= 41 else math.acos(10 ** (-20 / (degrees - 1)))
+        start, steps = math.atan(t / math.sqrt(degrees)), 2000
+        if start >= end:
+            return 0.0
         h = (end - start) / steps
         f = lambda a: max(0.0, math.cos(a)) ** (degrees - 1)
         inner = sum((4 if i % 2 else 2) * f(start + i * h) for i in range(1, steps))

@@ -148,10 +148,9 @@ EXPLORATION = {
 
 
 @query("exploration_features", COMBINED_SQL + "SELECT row_id, " + ", ".join(f"{R(e)} AS {n}" for n, e in EXPLORATION.items())
-       + " FROM combined WHERE abs(precipitation+1) > 1e-3")
+       + " FROM combined")
 def exploration_features(spark, d):
-    table = features.exploration_features(combined(spark, d))
-    return tidy(table.where(F.abs(F.col("precipitation") + 1) > 1e-3).select("row_id", *EXPLORATION))
+    return tidy(features.exploration_features(combined(spark, d)).select("row_id", *EXPLORATION))
 
 
 # ---------------------------------------------------------------- risk
