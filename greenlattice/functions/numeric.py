@@ -68,9 +68,13 @@ def tidy(df: DataFrame, digits: int = 6) -> DataFrame:
     ])
 
 
-def scatter_key(col: Column) -> Column:
+# Odd multipliers of the scatter orders.
+SCATTER, SCATTER_OTHER = 2654435761, 2246822519
+
+
+def scatter_key(col: Column, multiplier: int = SCATTER) -> Column:
     """A fixed pseudo-random order of non-negative 31-bit ids.
 
     Multiplying by an odd constant is one-to-one modulo 2**32, so no two ids tie.
     """
-    return (col.cast("bigint") * F.lit(2654435761)) % F.lit(4294967296)
+    return (col.cast("bigint") * F.lit(multiplier)) % F.lit(4294967296)

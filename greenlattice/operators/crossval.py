@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from greenlattice.functions.numeric import scatter_key
+from greenlattice.functions.numeric import SCATTER_OTHER, scatter_key
 from greenlattice.operators import models
 from greenlattice.operators.metrics import binary_auc, classification_report
 from greenlattice.operators.quantiles import exact_quantiles
@@ -92,9 +92,10 @@ def compare_by_cv(df: DataFrame, features: list[str], target: str, row_id: str,
 
 def learning_curve(df: DataFrame, features: list[str], target: str, row_id: str, kind: str, params: dict | None = None,
                    sizes: list[float] | None = None, k: int = 5) -> DataFrame:
-    """(size, train/validation r2 mean and deviation): each size is a prefix of the scatter order."""
+    """(size, train/validation r2 mean and deviation): each size is a prefix of
+    a scatter order unrelated to the one the folds are cut from."""
     sizes = sizes or [i / 10 for i in range(1, 11)]
-    parts = materialize(kfold(df, row_id, k).withColumn("_key", scatter_key(F.col(row_id)).cast("double")))
+    parts = materialize(kfold(df, row_id, k).withColumn("_key", scatter_key(F.col(row_id), SCATTER_OTHER).cast("double")))
     cuts = exact_quantiles(parts, {"_key": sizes})["_key"]
     rows = []
     for size, cut in zip(sizes, cuts):

@@ -50,6 +50,23 @@ def list_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
                         F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
 
 
+def write_evaluation_report(comparison: DataFrame, best: DataFrame, path: str) -> None:
+    """One JSON document: the best model with its metric and all comparison rows."""
+    spark = comparison.sparkSession
+    rows = [r.asDict() for r in comparison.collect()]  # one row per model
+    top = best.first().asDict()
+    write_results(spark, {"best": top, "models": rows, "n_models": len(rows)}, path)
+
+
+def list_models(spark: SparkSession, folder: str) -> DataFrame:
+    """Saved models below a folder: name, kind and path (only the metadata files are read)."""
+    lines = (spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "part-*").text(folder)
+             .select("value", F.input_file_name().alias("file")).where(F.col("file").contains("/metadata/"))
+             .where(F.get_json_object("value", "$.kind").isNotNull()))
+    return lines.select(F.get_json_object("value", "$.name").alias("name"), F.get_json_object("value", "$.kind").alias("kind"),
+                        F.regexp_extract("file", r"^(.*)/metadata/", 1).alias("path"))
+
+
 def append_predictions(scored: DataFrame, path: str, model_version: str, features: list[str], created_at=None) -> None:
     """Append scored rows to the prediction log, partitioned by day."""
     stamp = F.lit(created_at).cast("timestamp") if created_at else F.current_timestamp()
