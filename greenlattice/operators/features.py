@@ -104,12 +104,16 @@ def aggregation_features(df: DataFrame) -> DataFrame:
     return df.withColumns(out)
 
 
-def climate_stress(df: DataFrame) -> Column:
-    """Absolute deviation from the median in sample deviations, temperature plus rain."""
+def climate_stress(df: DataFrame, without_spread: float | None = None) -> Column:
+    """Absolute deviation from the median in sample deviations, temperature plus rain.
+
+    A variable without spread counts as ``without_spread``.
+    """
     pair = ["temperature", "precipitation"]
     medians = exact_quantiles(df, {c: [0.5] for c in pair})
     facts = _facts(df, pair)
-    stress = [F.try_divide(F.abs(F.col(c) - F.lit(medians[c][0])), F.lit(facts[c]["std"])) for c in pair]
+    stress = [F.abs(F.col(c) - F.lit(medians[c][0])) / F.lit(facts[c]["std"]) if facts[c]["std"]
+              else F.lit(without_spread).cast("double") for c in pair]
     return stress[0] + stress[1]
 
 
@@ -228,19 +232,23 @@ def exploration_features(df: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- risk targets
 
 def _min_max(df: DataFrame, value: Column) -> Column:
+    """0-1 scaling; values without spread become 0."""
     low, high = df.agg(F.min(value), F.max(value)).first()
-    return F.try_divide(value - F.lit(low), F.lit(high - low)) if low is not None else F.lit(None).cast("double")
+    if low is None or high == low:
+        return F.when(value.isNotNull(), F.lit(0.0))
+    return (value - F.lit(low)) / F.lit(high - low)
 
 
 def ecological_risk(df: DataFrame, out: str = "ecological_risk") -> DataFrame:
     """Composite 0-1 risk from climate stress, fragmentation, threat and lost diversity.
 
-    Only components whose columns exist take part. Two passes of bounded aggregates.
+    Only components whose columns exist take part; one without spread adds the same to
+    every row. Two passes of bounded aggregates.
     """
     have = set(df.columns)
     parts: list[Column] = []
     if {"temperature", "precipitation"} <= have:
-        parts.append(climate_stress(df) / 2.0 * 0.3)
+        parts.append(climate_stress(df, without_spread=0.0) / 2.0 * 0.3)
     ratios: dict[str, tuple[Column, float]] = {}
     if {"forest_cover", "urban_area"} <= have:
         ratios["fragmentation"] = (F.try_divide(F.col("urban_area"), F.col("forest_cover") + 0.01), 0.25)
@@ -252,7 +260,8 @@ def ecological_risk(df: DataFrame, out: str = "ecological_risk") -> DataFrame:
         span = df.agg(*[F.struct(F.min(v).alias("low"), F.max(v).alias("high")).alias(n)
                         for n, (v, _) in ratios.items()]).first()
         for name, (value, weight) in ratios.items():
-            scaled = F.try_divide(value - F.lit(span[name]["low"]), F.lit(span[name]["high"] - span[name]["low"]))
+            low, high = span[name]["low"], span[name]["high"]
+            scaled = (value - F.lit(low)) / F.lit(high - low) if low is not None and high > low else F.lit(0.0)
             parts.append((1 - scaled if name == "diversity" else scaled) * weight)
     if not parts:
         raise ValueError("no risk component can be computed from these columns")

@@ -35,7 +35,7 @@ def with_bucket(df: DataFrame, column: str, splits: list[float], out: str = "_bu
     if not splits:
         return df.withColumn(out, F.lit(0))
     edges = [float("-inf"), *splits, float("inf")]
-    keyed = df.withColumn("_sort_key", F.col(column).cast("double"))
+    keyed = df.withColumn("_sort_key", F.col(column).cast("double") + 0.0)  # -0.0 must not fall below 0.0
     cut = Bucketizer(splits=edges, inputCol="_sort_key", outputCol=out, handleInvalid="keep")
     return cut.transform(keyed).drop("_sort_key").withColumn(out, F.col(out).cast("int"))
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from greenlattice.functions.numeric import numeric_columns
 from greenlattice.operators.quantiles import exact_quantiles, grouped_quantiles
+from greenlattice.operators.ranking import values_at_positions
 from greenlattice.operators.stats import adjusted_skewness
 
 
@@ -97,7 +98,7 @@ class QuantileMap:
             splits = [float("-inf"), *values, float("inf")]
             cut = Bucketizer(splits=splits, inputCol="_v", outputCol="_i", handleInvalid="keep")
             order = df.columns
-            located = cut.transform(df.withColumn("_v", F.col(c).cast("double"))).withColumn("_i", F.col("_i").cast("int"))
+            located = cut.transform(df.withColumn("_v", F.col(c).cast("double") + 0.0)).withColumn("_i", F.col("_i").cast("int"))
             # Bucket i >= 1 starts at landmark i - 1. At most as many rows as landmarks.
             rows = [(i + 1, a[0], (a[1] + a[2]) / 2, a[2], b[0], b[1])
                     for i, (a, b) in enumerate(zip(marks, [*marks[1:], marks[-1]]))]
@@ -116,17 +117,19 @@ class QuantileMap:
 def fit_quantile_map(df: DataFrame, columns: list[str], quantiles: int = 1000) -> QuantileMap:
     """Landmarks at evenly spaced exact quantiles (as many as there are rows, at most ``quantiles``)."""
     sizes = df.agg(*[F.count(c).alias(c) for c in columns]).first()
-    wanted = {}
-    for c in columns:
-        n = max(1, min(quantiles, sizes[c]))
-        wanted[c] = [i / (n - 1) for i in range(n)] if n > 1 else [0.0]
-    found = exact_quantiles(df, wanted)
     landmarks = {}
     for c in columns:
+        count = max(1, min(quantiles, sizes[c]))
+        shares = [i / (count - 1) for i in range(count)] if count > 1 else [0.0]
+        at = [(sizes[c] - 1) * p for p in shares]
+        # A position that is whole but for rounding is whole: tied values must stay tied.
+        at = [round(a) if abs(a - round(a)) < 1e-9 * max(1.0, a) else a for a in at]
+        value = values_at_positions(df, c, [k for a in at for k in (math.floor(a), math.ceil(a))]) if sizes[c] else {}
         merged: dict[float, list[float]] = {}
-        for p, v in zip(wanted[c], found[c]):
-            if v is not None:
-                merged.setdefault(float(v), []).append(p)
+        for p, a in zip(shares, at):
+            if value:
+                low, high = float(value[math.floor(a)]), float(value[math.ceil(a)])
+                merged.setdefault(low if low == high else low + (high - low) * (a - math.floor(a)), []).append(p)
         landmarks[c] = [(v, ps[0], ps[-1]) for v, ps in sorted(merged.items())]
     return QuantileMap(landmarks)
 

@@ -160,8 +160,8 @@ RISK_CTES = [*COMBINED_CTES,
   threatened_species/(species_count+1e-2) AS threat FROM combined)""",
              """spans AS (SELECT min(frag) AS f0, max(frag) AS f1, min(threat) AS t0, max(threat) AS t1,
   min(species_diversity) AS d0, max(species_diversity) AS d1 FROM parts)""",
-             """rawrisk AS (SELECT parts.*, stress*3e-1 + (frag-f0)/(f1-f0)*25e-2 + (threat-t0)/(t1-t0)*25e-2
-  + (1-(species_diversity-d0)/(d1-d0))*2e-1 AS raw FROM parts, spans)""",
+             """rawrisk AS (SELECT parts.*, stress*3e-1 + coalesce((frag-f0)/nullif(f1-f0, 0), 0)*25e-2
+  + coalesce((threat-t0)/nullif(t1-t0, 0), 0)*25e-2 + (1-coalesce((species_diversity-d0)/nullif(d1-d0, 0), 0))*2e-1 AS raw FROM parts, spans)""",
              """risk AS (SELECT rawrisk.*, (raw-(SELECT min(raw) FROM rawrisk))/((SELECT max(raw) FROM rawrisk)-(SELECT min(raw) FROM rawrisk))
   AS ecological_risk FROM rawrisk)"""]
 RISK_SQL = with_(*RISK_CTES)
