@@ -141,12 +141,13 @@ def valid_polygons(polygons: DataFrame, ring_column: str = "ring") -> DataFrame:
 
 
 def polygon_cells(polygons: DataFrame, size: float, ring_column: str = "ring") -> DataFrame:
-    """Polygons repeated for every ``size``-degree cell their bounding box touches (_px, _py)."""
+    """Polygons with their bounding box, repeated for every ``size``-degree cell it touches (_px, _py)."""
     xs, ys = F.transform(ring_column, lambda p: p["x"]), F.transform(ring_column, lambda p: p["y"])
-    cell = lambda v: F.floor(v / F.lit(size)).cast("bigint")
+    cell = lambda v: F.floor(F.col(v) / F.lit(size)).cast("bigint")
     return (polygons
-            .withColumn("_px", F.explode(F.sequence(cell(F.array_min(xs)), cell(F.array_max(xs)))))
-            .withColumn("_py", F.explode(F.sequence(cell(F.array_min(ys)), cell(F.array_max(ys))))))
+            .withColumns({"_x0": F.array_min(xs), "_x1": F.array_max(xs), "_y0": F.array_min(ys), "_y1": F.array_max(ys)})
+            .withColumn("_px", F.explode(F.sequence(cell("_x0"), cell("_x1"))))
+            .withColumn("_py", F.explode(F.sequence(cell("_y0"), cell("_y1")))))
 
 
 def typical_cell(polygons: DataFrame, ring_column: str = "ring") -> float:
@@ -171,9 +172,11 @@ def points_in_polygons(points: DataFrame, polygons: DataFrame, how: str = "inner
     located = (points.withColumn("_px", F.floor(F.col("longitude") / F.lit(size)).cast("bigint"))
                .withColumn("_py", F.floor(F.col("latitude") / F.lit(size)).cast("bigint")))
     located, tiled, keys = _salted(located, tiled, ["_px", "_py"], ["longitude", "latitude"], hot_rows)
-    matched = (located.join(tiled, keys)
-               .where(inside_ring(F.col("longitude"), F.col("latitude"), F.col(ring_name)))
-               .drop("_px", "_py", "_salt"))
+    # The cheap box test decides most pairs before the ring is walked.
+    x, y = F.col("longitude"), F.col("latitude")
+    in_box = (x >= F.col("_x0")) & (x < F.col("_x1")) & (y >= F.col("_y0")) & (y < F.col("_y1"))
+    matched = (located.join(tiled, keys).where(in_box & inside_ring(x, y, F.col(ring_name)))
+               .drop("_px", "_py", "_salt", "_x0", "_x1", "_y0", "_y1"))
     if how == "inner":
         return matched
     kept, other = (points, shapes) if how == "left" else (shapes, points)

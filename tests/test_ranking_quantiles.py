@@ -60,10 +60,10 @@ def test_values_at_positions(df, table):
     assert got == {i: ordered[i] for i in at}
 
 
-@pytest.mark.parametrize("limit", [10**9, 10])
-def test_exact_quantiles(df, table, limit):
+@pytest.mark.parametrize("limit,candidates", [(10**9, 0), (10, 10**6), (10, 40), (10, 0)])
+def test_exact_quantiles(df, table, limit, candidates):
     probs = [0.0, 0.01, 0.25, 0.5, 0.731, 0.99, 1.0]
-    got = exact_quantiles(df, {"value": probs}, one_buffer_rows=limit, rows_per_bucket=100)["value"]
+    got = exact_quantiles(df, {"value": probs}, one_buffer_rows=limit, rows_per_bucket=100, max_candidates=candidates)["value"]
     np.testing.assert_allclose(got, table["value"].quantile(probs), rtol=1e-12, atol=1e-12)
 
 
