@@ -26,12 +26,14 @@ CELL_COLUMNS = 3
 MAX_CUTS = 64
 
 
-def _scaled_square(columns: list[str], left: str, right: str) -> Column:
-    """Squared distance; NULL when the rows share no present column."""
-    gaps = [F.col(f"{left}.{c}") - F.col(f"{right}.{c}") for c in columns]
-    total = reduce(lambda a, b: a + b, [F.coalesce(g * g, F.lit(0.0)) for g in gaps])
-    shared = reduce(lambda a, b: a + b, [g.isNotNull().cast("int") for g in gaps])
-    return F.when(shared > 0, total * F.lit(float(len(columns))) / shared)
+def _scaled_square(size: int) -> Column:
+    """Squared distance of the value arrays _rv and _dv; NULL when they share no present column.
+
+    Array functions keep the generated join code small enough for the JVM to compile.
+    """
+    gaps = F.zip_with("_rv", "_dv", lambda a, b: (a - b) * (a - b))
+    total = F.aggregate(gaps, F.lit(0.0), lambda acc, g: acc + F.coalesce(g, F.lit(0.0)))
+    return F.try_divide(total * F.lit(float(size)), F.size(F.array_compact(gaps)))
 
 
 def impute_nearest_rows(df: DataFrame, columns: list[str], row_id: str, k: int = 5,
@@ -61,25 +63,25 @@ def impute_nearest_rows(df: DataFrame, columns: list[str], row_id: str, k: int =
               .where(F.col("_copy") <= k).drop("_copy"))
     for cell, c in zip(cells, axes):
         donors = with_bucket(donors, c, splits[c], cell)
-    donor = F.struct(F.col(row_id).alias("_id"), *columns).alias("donor")
-    offers = F.array(*[F.when(F.col(c).isNotNull(), F.lit(c)) for c in gappy])
-    donors = materialize(donors.select(*cells, donor, F.explode(F.array_compact(offers)).alias("_gap")))
+    offers = F.array(*[F.when(F.col(c).isNotNull(), F.lit(columns.index(c))) for c in gappy])
+    donors = materialize(donors.select(*cells, F.col(row_id).alias("_id"), F.array(*columns).alias("_dv"),
+                                       F.explode(F.array_compact(offers)).alias("_gap")))
 
     # Receivers: one row per distinct incomplete row and missing column.
     incomplete = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in gappy])
     receivers = table.where(incomplete).groupBy(*columns).agg(F.min(row_id).alias("_rid"))
     for cell, c in zip(cells, axes):
         receivers = with_bucket(receivers, c, splits[c], cell)
-    wants = F.array(*[F.when(F.col(c).isNull(), F.lit(c)) for c in gappy])
-    receivers = receivers.select(*cells, "_rid", F.struct(*columns).alias("want"),
+    wants = F.array(*[F.when(F.col(c).isNull(), F.lit(columns.index(c))) for c in gappy])
+    receivers = receivers.select(*cells, "_rid", F.array(*columns).alias("_rv"),
                                  F.explode(F.array_compact(wants)).alias("_gap"))
 
     # Upper bound from some donors of the own cell, or k donors of the whole table.
-    few = W.partitionBy(*cells, "_gap").orderBy("donor._id")
+    few = W.partitionBy(*cells, "_gap").orderBy("_id")
     local = donors.withColumn("_i", F.row_number().over(few)).where(F.col("_i") <= max(k, BOUND_ROWS)).drop("_i")
-    anywhere = (local.withColumn("_i", F.row_number().over(W.partitionBy("_gap").orderBy("donor._id")))
-                .where(F.col("_i") <= k).select("_gap", "donor"))
-    square = _scaled_square(columns, "want", "donor")
+    anywhere = (local.withColumn("_i", F.row_number().over(W.partitionBy("_gap").orderBy("_id")))
+                .where(F.col("_i") <= k).select("_gap", "_id", "_dv"))
+    square = _scaled_square(len(columns))
     closest = W.partitionBy("_rid", "_gap").orderBy(F.asc_nulls_last("_d2"))
 
     def kth_distance(candidates: DataFrame, name: str) -> DataFrame:
@@ -95,24 +97,22 @@ def impute_nearest_rows(df: DataFrame, columns: list[str], row_id: str, k: int =
     bounded = materialize(bounded)
 
     # Cells whose range meets the bound in every axis.
-    present = reduce(lambda a, b: a + b, [F.col(f"want.{c}").isNotNull().cast("int") for c in columns])
+    present = F.size(F.array_compact(F.col("_rv")))
     reach = F.sqrt(F.col("_limit") * present / F.lit(float(len(columns)))) * (1 + 1e-9)
     searched = bounded
     for cell, c in zip(cells, axes):
-        searched = (searched.withColumn("_from", F.col(f"want.{c}") - reach)
-                    .withColumn("_to", F.col(f"want.{c}") + reach))
+        own = F.col("_rv")[columns.index(c)]
+        searched = searched.withColumns({"_from": own - reach, "_to": own + reach})
         searched = with_bucket(with_bucket(searched, "_from", splits[c], "_lo"), "_to", splits[c], "_hi")
         searched = searched.withColumn(cell, F.explode(F.sequence("_lo", "_hi"))).drop("_from", "_to", "_lo", "_hi")
-    pairs = (searched.join(donors, [*cells, "_gap"]).withColumn("_d2", square)
+    pairs = (searched.join(donors, [*cells, "_gap"]).select("_rid", "_gap", "_id", "_dv", "_limit", square.alias("_d2"))
              .where(F.col("_d2") <= F.col("_limit")))
-    value = reduce(lambda a, c: a.when(F.col("_gap") == c, F.col(f"donor.{c}")), gappy[1:],
-                   F.when(F.col("_gap") == gappy[0], F.col(f"donor.{gappy[0]}")))
-    nearest = W.partitionBy("_rid", "_gap").orderBy("_d2", "donor._id")
-    filled = (pairs.withColumn("_value", value).withColumn("_i", F.row_number().over(nearest))
+    nearest = W.partitionBy("_rid", "_gap").orderBy("_d2", "_id")
+    filled = (pairs.withColumn("_value", F.get("_dv", F.col("_gap"))).withColumn("_i", F.row_number().over(nearest))
               .where(F.col("_i") <= k).groupBy("_rid", "_gap").agg(F.avg("_value").alias("_fill")))
     # One row per distinct incomplete row, its fills as columns, joined back on the values.
     wide = filled.groupBy("_rid").agg(*[
-        F.max(F.when(F.col("_gap") == c, F.col("_fill"))).alias(f"_fill_{c}") for c in gappy])
+        F.max(F.when(F.col("_gap") == columns.index(c), F.col("_fill"))).alias(f"_fill_{c}") for c in gappy])
     keyed = (table.where(incomplete).groupBy(*columns).agg(F.min(row_id).alias("_rid"))
              .join(wide, "_rid", "left").drop("_rid"))
     keyed = keyed.select(*[F.col(c).alias(f"_k_{c}") for c in columns], *[f"_fill_{c}" for c in gappy])

@@ -210,6 +210,7 @@ def nearest_site(points: DataFrame, point_id: str, sites: DataFrame, site_id: st
     """
     placed = sites.groupBy(F.col("longitude").alias("_sx"), F.col("latitude").alias("_sy")).agg(
         F.min(site_id).alias(site_id))
+    placed = materialize(placed)  # read once per level below
     box = placed.agg(F.min("_sx"), F.min("_sy"), F.max("_sx"), F.max("_sy"), F.count(F.lit(1))).first()
     if not box[4]:
         return points.select(point_id, F.lit(None).cast(sites.schema[site_id].dataType).alias(site_id),
@@ -242,13 +243,16 @@ def nearest_site(points: DataFrame, point_id: str, sites: DataFrame, site_id: st
                       F.min("_y0").alias("_y0"), F.max("_y1").alias("_y1")))
         return cells.withColumn("_ox", up("_cx", parent)).withColumn("_oy", up("_cy", parent))
 
-    open_cells = points.select(F.col(point_id).alias("_pid"), F.col("longitude").alias("_x"),
-                               F.col("latitude").alias("_y"), F.lit(0).cast("bigint").alias("_ox"),
-                               F.lit(0).cast("bigint").alias("_oy"))
+    # The top level has at most 4**stride cells: a literal array on every point.
+    fields = ["_cx", "_cy", "_x0", "_x1", "_y0", "_y1"]
+    top = F.array(*[F.struct(*[F.lit(r[f]).alias(f) for f in fields]) for r in level(stride).collect()])
+    open_cells = (points.select(F.col(point_id).alias("_pid"), F.col("longitude").alias("_x"), F.col("latitude").alias("_y"))
+                  .withColumn("_top", F.explode(top)).select("_pid", "_x", "_y", *[F.col(f"_top.{f}").alias(f) for f in fields]))
     for step, d in enumerate(range(stride, depth + 1, stride)):
         near_x, near_y = _box_gap("_x0", "_x1", "_x"), _box_gap("_y0", "_y1", "_y")
         far_x, far_y = _box_far("_x0", "_x1", "_x"), _box_far("_y0", "_y1", "_y")
-        children = (open_cells.join(level(d), ["_ox", "_oy"])
+        children = (open_cells if d == stride else open_cells.join(level(d), ["_ox", "_oy"]))
+        children = (children
                     .withColumn("_near", near_x * near_x + near_y * near_y)
                     .withColumn("_far", far_x * far_x + far_y * far_y))
         best = children.groupBy("_pid").agg(F.min("_far").alias("_best"))
