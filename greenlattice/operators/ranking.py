@@ -136,13 +136,15 @@ def values_at_positions(df: DataFrame, value: str, positions: list[int],
               .agg(F.count(F.lit(1)).alias("ties")))
     inside = W.partitionBy("_bucket").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
     placed = counts.withColumn("_below", F.coalesce(F.sum("ties").over(inside), F.lit(0)))
-    hit = F.lit(False)
-    for bucket in needed:
-        targets = F.array(*[F.lit(p - offsets[bucket]) for p in local[bucket]])
-        nearest = F.array_min(F.filter(targets, lambda t: t >= F.col("_below")))
-        hit = hit | ((F.col("_bucket") == bucket) & F.coalesce(nearest < F.col("_below") + F.col("ties"), F.lit(False)))
+    spark = df.sparkSession
+    starts = spark.createDataFrame([(b, offsets[b]) for b in needed], "_bucket int, _start bigint")  # at most MAX_BUCKETS rows
+    placed = placed.join(starts, "_bucket").withColumn("_first", F.col("_start") + F.col("_below"))
+    # A row holds a wanted position when more of them lie at or before its end than before it.
+    marks = [float(p) for p in wanted]
+    placed = placed.withColumns({"_a": F.col("_first") - 0.5, "_z": F.col("_first") + F.col("ties") - 0.5})
+    placed = with_bucket(with_bucket(placed, "_a", marks, "_before"), "_z", marks, "_upto")
     found: dict[int, float] = {}
-    for row in placed.where(hit).collect():
+    for row in placed.where(F.col("_upto") > F.col("_before")).collect():
         base = offsets[row["_bucket"]] + row["_below"]
         for p in local[row["_bucket"]]:
             if base <= p < base + row["ties"]:

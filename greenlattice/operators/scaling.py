@@ -179,28 +179,22 @@ def log_transform(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.withColumns(out)
 
 
-def yeo_johnson(x: Column, lam: float) -> Column:
-    if abs(lam) < 1e-12:
-        upper = F.log1p(x)
-    else:
-        upper = (F.pow(x + 1, F.lit(lam)) - 1) / F.lit(lam)
-    if abs(lam - 2) < 1e-12:
-        lower = -F.log1p(-x)
-    else:
-        lower = -(F.pow(1 - x, F.lit(2 - lam)) - 1) / F.lit(2 - lam)
+def yeo_johnson(x: Column, lam: Column) -> Column:
+    upper = F.when(F.abs(lam) < 1e-12, F.log1p(x)).otherwise((F.pow(x + 1, lam) - 1) / lam)
+    lower = F.when(F.abs(lam - 2) < 1e-12, -F.log1p(-x)).otherwise(-(F.pow(1 - x, 2 - lam) - 1) / (2 - lam))
     return F.when(x >= 0, upper).otherwise(lower)
 
 
-def box_cox(x: Column, lam: float) -> Column:
-    return F.ln(x) if abs(lam) < 1e-12 else (F.pow(x, F.lit(lam)) - 1) / F.lit(lam)
+def box_cox(x: Column, lam: Column) -> Column:
+    return F.when(F.abs(lam) < 1e-12, F.ln(x)).otherwise((F.pow(x, lam) - 1) / lam)
 
 
 def fit_power(df: DataFrame, columns: list[str], method: str = "yeo-johnson", low: float = -4.0, high: float = 6.0,
               points: int = 17, rounds: int = 4) -> dict[str, float]:
     """Maximum-likelihood exponent per column.
 
-    One aggregate evaluates the likelihood of a ladder of exponents for all columns; the
-    bracket around the best one is refined ``rounds`` times.
+    One pass evaluates the likelihood of a ladder of exponents for all columns; the bracket
+    around the best one is refined ``rounds`` times.
     """
     if method not in ("yeo-johnson", "box-cox"):
         raise ValueError(f"unknown power method {method}")
@@ -209,25 +203,28 @@ def fit_power(df: DataFrame, columns: list[str], method: str = "yeo-johnson", lo
         bad = [c for c in columns if lows[c] is not None and lows[c] <= 0]
         if bad:
             raise ValueError(f"box-cox needs positive values: {bad}")
+    apply = box_cox if method == "box-cox" else yeo_johnson
+    jacobian = F.ln("x") if method == "box-cox" else F.signum("x") * F.log1p(F.abs("x"))
     bracket = {c: (low, high) for c in columns}
     best: dict[str, float] = {}
     for _ in range(rounds):
         ladder = {c: [a + (b - a) * i / (points - 1) for i in range(points)] for c, (a, b) in bracket.items()}
-        aggs = []
-        for c in columns:
-            x = F.col(c).cast("double")
-            jac = F.ln(x) if method == "box-cox" else F.signum(x) * F.log1p(F.abs(x))
-            apply = box_cox if method == "box-cox" else yeo_johnson
-            aggs.append(F.struct(F.count(x).cast("double").alias("n"), F.sum(jac).alias("j"), *[
-                F.var_pop(apply(x, lam)).alias(f"v{i}") for i, lam in enumerate(ladder[c])]).alias(c))
-        row = df.agg(*aggs).first()
-        for c in columns:
-            r = row[c]
-            def likelihood(i: int) -> float:
-                v = r[f"v{i}"]
-                return -math.inf if not v or v <= 0 or math.isinf(v) or math.isnan(v) else (
-                    -r["n"] / 2 * math.log(v) + (ladder[c][i] - 1) * r["j"])
-            top = max(range(points), key=likelihood)
+        # One row per value and exponent: a single small expression, combined map-side.
+        tried = df.select(F.explode(F.array(*[F.struct(
+            F.lit(j).alias("j"), F.col(c).cast("double").alias("x"), F.array(*[F.lit(v) for v in ladder[c]]).alias("ladder"))
+            for j, c in enumerate(columns)])).alias("t")).select("t.*").where(F.col("x").isNotNull())
+        tried = tried.select("j", "x", F.posexplode("ladder").alias("i", "lam"))
+        fits = tried.groupBy("j", "i").agg(
+            F.count("x").cast("double").alias("n"), F.sum(jacobian).alias("jac"),
+            F.var_pop(apply(F.col("x"), F.col("lam"))).alias("v")).collect()  # columns * points rows
+        for j, c in enumerate(columns):
+            score = {}
+            for r in fits:
+                if r["j"] == j and r["v"] and 0 < r["v"] < math.inf:
+                    score[r["i"]] = -r["n"] / 2 * math.log(r["v"]) + (ladder[c][r["i"]] - 1) * r["jac"]
+            if not score:
+                raise ValueError(f"no exponent fits {c}")
+            top = max(score, key=score.get)
             best[c] = ladder[c][top]
             bracket[c] = (ladder[c][max(0, top - 1)], ladder[c][min(points - 1, top + 1)])
     return best
@@ -235,7 +232,7 @@ def fit_power(df: DataFrame, columns: list[str], method: str = "yeo-johnson", lo
 
 def apply_power(df: DataFrame, exponents: dict[str, float], method: str = "yeo-johnson") -> DataFrame:
     apply = box_cox if method == "box-cox" else yeo_johnson
-    return df.withColumns({c: apply(F.col(c).cast("double"), lam) for c, lam in exponents.items()})
+    return df.withColumns({c: apply(F.col(c).cast("double"), F.lit(lam)) for c, lam in exponents.items()})
 
 
 def power_transform(df: DataFrame, columns: list[str] | None = None, method: str = "yeo-johnson",
