@@ -140,21 +140,33 @@ def valid_polygons(polygons: DataFrame, ring_column: str = "ring") -> DataFrame:
     return closed.where((F.size(F.array_distinct(ring_column)) >= 3) & (ring_area(F.col(ring_column)) > 0))
 
 
+LEVEL_FACTOR = 4.0
+
+
 def polygon_cells(polygons: DataFrame, size: float, ring_column: str = "ring") -> DataFrame:
-    """Polygons with their bounding box, repeated for every ``size``-degree cell it touches (_px, _py)."""
+    """Polygons with their bounding box, repeated for every cell it touches (_lvl, _px, _py).
+
+    Cells of level n are ``size * 4**n`` degrees wide and a polygon uses the first level whose
+    cells are at least a quarter of its longer side, so even a very large one covers few cells.
+    """
     xs, ys = F.transform(ring_column, lambda p: p["x"]), F.transform(ring_column, lambda p: p["y"])
-    cell = lambda v: F.floor(F.col(v) / F.lit(size)).cast("bigint")
-    return (polygons
-            .withColumns({"_x0": F.array_min(xs), "_x1": F.array_max(xs), "_y0": F.array_min(ys), "_y1": F.array_max(ys)})
-            .withColumn("_px", F.explode(F.sequence(cell("_x0"), cell("_x1"))))
-            .withColumn("_py", F.explode(F.sequence(cell("_y0"), cell("_y1")))))
+    boxed = polygons.withColumns({"_x0": F.array_min(xs), "_x1": F.array_max(xs), "_y0": F.array_min(ys), "_y1": F.array_max(ys)})
+    side = F.greatest(F.col("_x1") - F.col("_x0"), F.col("_y1") - F.col("_y0"))
+    level = F.ceil(F.log(LEVEL_FACTOR, F.greatest(side / F.lit(LEVEL_FACTOR * size), F.lit(1.0)))).cast("int")
+    return (boxed.withColumn("_lvl", level)
+            .withColumn("_px", F.explode(F.sequence(_cell("_x0", size), _cell("_x1", size))))
+            .withColumn("_py", F.explode(F.sequence(_cell("_y0", size), _cell("_y1", size)))))
+
+
+def _cell(value: str, size: float) -> Column:
+    return F.floor(F.col(value) / (F.lit(size) * F.pow(F.lit(LEVEL_FACTOR), F.col("_lvl")))).cast("bigint")
 
 
 def typical_cell(polygons: DataFrame, ring_column: str = "ring") -> float:
-    """A cell size near the mean bounding-box side, so a polygon covers a handful of cells."""
+    """A cell size near the middle bounding-box side, so most polygons cover a handful of cells."""
     xs, ys = F.transform(ring_column, lambda p: p["x"]), F.transform(ring_column, lambda p: p["y"])
     side = F.greatest(F.array_max(xs) - F.array_min(xs), F.array_max(ys) - F.array_min(ys))
-    return float(polygons.agg(F.avg(side)).first()[0] or 1.0)
+    return float(polygons.agg(F.percentile_approx(side, 0.5)).first()[0] or 1.0)
 
 
 def points_in_polygons(points: DataFrame, polygons: DataFrame, how: str = "inner",
@@ -169,14 +181,15 @@ def points_in_polygons(points: DataFrame, polygons: DataFrame, how: str = "inner
     ring_name = renamed.get(ring_column, ring_column)
     size = cell_deg or typical_cell(shapes, ring_name)
     tiled = polygon_cells(shapes, size, ring_name)
-    located = (points.withColumn("_px", F.floor(F.col("longitude") / F.lit(size)).cast("bigint"))
-               .withColumn("_py", F.floor(F.col("latitude") / F.lit(size)).cast("bigint")))
-    located, tiled, keys = _salted(located, tiled, ["_px", "_py"], ["longitude", "latitude"], hot_rows)
+    levels = sorted(r[0] for r in tiled.select("_lvl").where(F.col("_lvl").isNotNull()).distinct().collect())  # a few levels
+    located = points.withColumn("_lvl", F.explode(F.array(*[F.lit(n) for n in levels])) if levels else F.lit(0))
+    located = located.withColumns({"_px": _cell("longitude", size), "_py": _cell("latitude", size)})
+    located, tiled, keys = _salted(located, tiled, ["_lvl", "_px", "_py"], ["longitude", "latitude"], hot_rows)
     # The cheap box test decides most pairs before the ring is walked.
     x, y = F.col("longitude"), F.col("latitude")
     in_box = (x >= F.col("_x0")) & (x < F.col("_x1")) & (y >= F.col("_y0")) & (y < F.col("_y1"))
     matched = (located.join(tiled, keys).where(in_box & inside_ring(x, y, F.col(ring_name)))
-               .drop("_px", "_py", "_salt", "_x0", "_x1", "_y0", "_y1"))
+               .drop("_lvl", "_px", "_py", "_salt", "_x0", "_x1", "_y0", "_y1"))
     if how == "inner":
         return matched
     kept, other = (points, shapes) if how == "left" else (shapes, points)

@@ -91,6 +91,21 @@ def test_points_in_polygons_of_any_shape(spark):
     assert {p for p, _ in left} == set(range(400)) and {x for x in left if x[1] is not None} == want
 
 
+def test_polygons_of_very_different_size(spark):
+    rng = np.random.default_rng(11)
+    box = lambda x, y, w: [(x, y), (x + w, y), (x + w, y + w), (x, y + w), (x, y)]
+    corners = [(float(x), float(y), 0.01) for x, y in rng.uniform(0, 90, (40, 2))] + [(-170.0, -80.0, 160.0), (10.0, 10.0, 30.0)]
+    rings = {i: box(*c) for i, c in enumerate(corners)}
+    frame = pd.DataFrame({"pid": np.arange(300), "longitude": rng.uniform(-20, 90, 300), "latitude": rng.uniform(-20, 90, 300)})
+    frame.loc[:39, "longitude"] = [c[0] + 0.005 for c in corners[:40]]
+    frame.loc[:39, "latitude"] = [c[1] + 0.005 for c in corners[:40]]
+    want = {(int(r.pid), g) for r in frame.itertuples() for g, (x, y, w) in enumerate(corners)
+            if x <= r.longitude < x + w and y <= r.latitude < y + w}
+    shapes = ring_rows(spark, rings)
+    assert pairs_of(spatial_join.points_in_polygons(spark.createDataFrame(frame), shapes), "pid", "gid") == want
+    assert spatial_join.polygon_cells(shapes, 0.01).count() < 42 * 40
+
+
 def test_tiling_boxes_own_each_point_once(spark):
     boxes = {i: [(i, 0), (i + 1, 0), (i + 1, 1), (i, 1), (i, 0)] for i in range(3)}
     points = spark.createDataFrame([(n, float(x), float(y)) for n, (x, y) in enumerate([(0, 0), (1, 0), (2, .5), (1, .999)])],
