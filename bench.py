@@ -13,7 +13,7 @@ from greenlattice.plans import catalog
 
 FOLDER = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
-RUNS = int(os.environ.get("BENCH_RUNS", "3"))
+RUNS = int(os.environ.get("BENCH_RUNS", "2"))
 HEADLINE = [
     "climate_monthly", "climate_validated", "outliers_iqr", "species_metrics_sites", "species_metrics_grid",
     "radius_pairs", "points_within_regions", "nearest_site_per_occurrence", "landuse_overlap", "first_row_per_place",
