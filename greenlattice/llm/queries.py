@@ -4,7 +4,7 @@ import importlib
 
 from greenlattice.llm.common import ORACLES, QUERIES
 
-for _module in ("quality_rules", "sharding", "chat"):
+for _module in ("quality_rules", "sharding", "chat", "bpe", "language_model"):
     importlib.import_module(f"greenlattice.llm.{_module}")
 
 __all__ = ["ORACLES", "QUERIES"]
