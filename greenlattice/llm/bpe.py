@@ -22,11 +22,10 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import public_tokenizers
 import tiktoken
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,6 +35,7 @@ VOCABULARY = "byte_bpe_50k.tiktoken"  # the ranks of byte_bpe_50k.json
 SPECIAL = ("<|endoftext|>", 50256)
 PIECE = 16_384
 WINDOW = 32  # tokens of each side that a join first looks at; more than SPECIAL has characters
+ROWS = 256  # texts that a worker holds in Python at a time
 AGREE = 2  # outer tokens that must come out as before
 
 
@@ -94,11 +94,12 @@ def _encode_column(path: str, kept: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = encoder(path)
         for batch in batches:
-            ids = [np.asarray(code.encode(text), dtype=np.int32) for text in batch.column("_text").to_pylist()]
-            ends = np.cumsum([0] + [len(i) for i in ids]).astype(np.int32)
-            flat = np.concatenate(ids) if ids else np.empty(0, np.int32)
-            column = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column(name) for name in kept] + [column], names=[*kept, "ids"])
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                ids = [np.asarray(code.encode(text.as_py()), dtype=np.int32) for text in part.column("_text")]
+                ends = np.cumsum([0] + [len(i) for i in ids]).astype(np.int32)
+                column = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))
+                yield pa.RecordBatch.from_arrays([part.column(name) for name in kept] + [column], names=[*kept, "ids"])
     return run
 
 
@@ -130,31 +131,33 @@ def encode(docs: DataFrame, columns: tuple[str, ...] = ("doc_id",), path: str |
     return short.unionByName(joined).select(*[F.col(n).alias(c) for c, n in zip(kept, names)], "ids")
 
 
-def decode(ids: str | Column, path: str | None = None) -> Column:
-    """Text of an array of tokens."""
+def decode(coded: DataFrame, path: str | None = None) -> DataFrame:
+    """``coded`` with ``decoded``, the text of its tokens ``ids``."""
     path = path or public_tokenizers.path(VOCABULARY)
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = encoder(path)
         for batch in batches:
-            yield batch.map(lambda tokens: code.decode(tokens.tolist()))
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                texts = [code.decode(tokens.values.to_pylist()) for tokens in part.column("ids")]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*part.schema.names, "decoded"])
 
-    return F.pandas_udf(run, "string", F.PandasUDFType.SCALAR_ITER)(ids)
+    return coded.mapInArrow(run, T.StructType([*coded.schema, T.StructField("decoded", T.StringType())]))
 
 
 def digests(docs: DataFrame) -> DataFrame:
     """doc_id, n_tokens and the digests of the tokens and of the text they decode to."""
-    coded = encode(docs).withColumn("_decoded", decode("ids"))
-    return coded.select(
+    return decode(encode(docs)).select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
-        F.sha2(F.col("_decoded"), 256).alias("decoded_sha256"))
+        F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Last pipeline stage: every document with its tokens, and the digest of the text they decode to."""
-    return (encode(docs).withColumn("_decoded", decode("ids"))
-            .select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("_decoded", 256).alias("decoded_sha256")))
+    return decode(encode(docs)).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids",
+                                       F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 @query("op4_bpe")
