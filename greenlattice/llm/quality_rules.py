@@ -99,7 +99,7 @@ def limits(counted: DataFrame) -> DataFrame:
               .join(fences(by_lang, "lang", F.col("lang").alias("_lang")), F.col("a.lang").eqNullSafe(F.col("_lang"))))
     return keep(joined.select(F.col("a.lang").alias("_lang"), F.col("a.source").alias("_source"), *[
         F.when(F.col("own_n") >= LEAST, F.col(f"own_{r}")).when(F.col("lang_n") >= LEAST, F.col(f"lang_{r}"))
-        .otherwise(F.lit(top[f"all_{r}"])).alias(f"most_{r}") for r in RATIOS]))
+        .otherwise(F.lit(top[f"all_{r}"])).alias(f"_most_{r}") for r in RATIOS]))
 
 
 def judge(counted: DataFrame, fences: DataFrame) -> DataFrame:
@@ -108,11 +108,11 @@ def judge(counted: DataFrame, fences: DataFrame) -> DataFrame:
     c = F.col("_counts")
     within = F.lit(True)
     for r in RATIOS:
-        within = within & (c[r] <= F.col(f"most_{r}"))
+        within = within & (c[r] <= F.col(f"_most_{r}"))
     joined = counted.join(small(fences), on, "left")
     return (joined.withColumn("_failed", base_failed(c))
             .withColumn("_kept", ~F.col("_failed") & F.coalesce(within, F.lit(True)))
-            .drop("_lang", "_source", *[f"most_{r}" for r in RATIOS]))
+            .drop("_lang", "_source", *[f"_most_{r}" for r in RATIOS]))
 
 
 def with_groups(docs: DataFrame) -> DataFrame:
