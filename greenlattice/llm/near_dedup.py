@@ -11,8 +11,9 @@ of 0.75 or more are linked.
   apart meet as well: a pair at similarity 0.75 misses all chunks with probability 6e-6.
 * Groups are not expanded. First every member is compared with one leader, then with all
   leaders of its keys, and only members of one key that are still in different components
-  with each other. Pairs pass a distance test on the signatures (more than 32 of 60 symbols
-  apart are one linked pair in 10^7) and are confirmed on the full sets.
+  with each other, in blocks where they are many. Pairs pass a distance test on the signatures
+  (more than 32 of 60 symbols apart are one linked pair in 10^7), those of the last step one on
+  sketches of 1024 bins too, and are confirmed on the full sets.
 * Components: large-star and small-star rounds over the confirmed links.
 
 Tables in between are written to the shared folder. Texts are read again only for members
@@ -42,6 +43,9 @@ CHUNK, CHUNKS = 5, 12
 SYMBOLS = CHUNK * CHUNKS
 MOST_APART = 32  # differing symbols beyond which a pair is not looked at (a linked one: about 1e-7)
 LEAST_PERCENT = 75
+BIN_BITS = 10  # a sketch has 1024 bytes
+LEAST_SKETCH = 0.68  # share of equal bytes; at similarity 0.75 it lies below once in 10^6
+MEET = 4096  # members of a key that meet in one task
 BLOCK = 2048
 CACHE = 400_000
 
@@ -154,6 +158,90 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
 
+def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A byte per bin of the shingles' leading bits: some of the bits of its least shingle, 0 if empty."""
+    shingles = Shingles()
+    for batch in batches:
+        out = []
+        for text in batch.column("_text"):
+            s = shingles.of(text.as_py())
+            bins, first = np.unique(s >> np.uint64(64 - BIN_BITS), return_index=True)
+            line = np.zeros(1 << BIN_BITS, np.uint8)
+            line[bins] = s[first] % np.uint64(255) + np.uint64(1)
+            out.append(line.tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column("_node"), pa.array(out, pa.binary())], names=["_node", "sketch"])
+
+
+def first_shared(same: np.ndarray) -> np.ndarray:
+    """Number of the first key that two signatures share, given where they agree; -1 if none."""
+    chunks = same.reshape(-1, CHUNKS, CHUNK)
+    hit = chunks.sum(axis=2) >= CHUNK - 1
+    chunk = hit.argmax(axis=1)
+    at = chunks[np.arange(len(chunks)), chunk]
+    return np.where(hit.any(axis=1), chunk * CHUNK + np.where(at.all(axis=1), 0, at.argmin(axis=1)), -1)
+
+
+def pairs_that_meet(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes of one key in different components whose signatures and sketches let them be linked.
+
+    A pair counts under the first key that it shares only.
+    """
+    node, root, n = (group.column(c).to_numpy() for c in ("_node", "root", "n_shingles"))
+    part = group.column("_part").to_numpy()
+    low, high, slot = (group.column(c)[0].as_py() for c in ("_low", "_high", "_slot"))
+    symbols = np.stack(group.column("symbols").to_numpy())
+    sketch = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint8).reshape(len(node), -1)
+    roots, size = np.unique(root, return_counts=True)
+    outside = np.flatnonzero(root != roots[size.argmax()])
+    is_outside = np.zeros(len(node), np.bool_)
+    is_outside[outside] = True
+    found_a, found_b = [], []
+    for x in outside.tolist():
+        may = (root != root[x]) & (100 * np.minimum(n, n[x]) >= LEAST_PERCENT * np.maximum(n, n[x])) & (~is_outside | (node > node[x]))
+        if low != high:
+            may &= part != part[x]
+        near_ = np.flatnonzero(may)
+        same = symbols[near_] == symbols[x]
+        close = same.sum(axis=1) >= SYMBOLS - MOST_APART
+        near_, same = near_[close], same[close]
+        mine = first_shared(same) == slot
+        near_ = near_[mine]
+        both, own = sketch[near_], sketch[x]
+        held = ((both == own) & (own > 0)).sum(axis=1)
+        either = ((both > 0) | (own > 0)).sum(axis=1)
+        near_ = near_[held >= LEAST_SKETCH * either]
+        found_a.append(np.minimum(node[near_], node[x]))
+        found_b.append(np.maximum(node[near_], node[x]))
+    none = [np.empty(0, np.int64)]
+    return np.concatenate(found_a or none), np.concatenate(found_b or none)
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (key, _low, _high): the pairs of each such group, which is held until it ends."""
+    names = ["key", "_low", "_high"]
+    waiting: list[pa.RecordBatch] = []
+
+    def out() -> Iterator[pa.RecordBatch]:
+        if waiting:
+            a, b = pairs_that_meet(pa.Table.from_batches(waiting))
+            waiting.clear()
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    last = None
+    for batch in batches:
+        columns = [batch.column(c).to_numpy() for c in names]
+        cuts = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1 if batch.num_rows else []
+        for at, end in zip([0, *cuts], [*cuts, batch.num_rows]):
+            if at == end:
+                continue
+            group = tuple(c[at] for c in columns)
+            if group != last:
+                yield from out()
+                last = group
+            waiting.append(batch.slice(at, end - at))
+    yield from out()
+
+
 def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) whose full sets are linked, stored."""
     a = texts.select(F.col("_node").alias("a"), F.col("_text").alias("ta"))
@@ -188,7 +276,7 @@ def across(pairs: DataFrame, roots: DataFrame) -> DataFrame:
 
 def links_of(classes: DataFrame, docs: DataFrame) -> DataFrame:
     """node, root over ``classes`` (_node, _id, _tkey, n_shingles, symbols)."""
-    keyed = classes.select("_node", F.explode(keys("symbols")).alias("key"))
+    keyed = classes.select("_node", F.posexplode(keys("symbols")).alias("_slot", "key"))
     groups = keep(keyed.groupBy("key").agg(F.min("_node").alias("lead"), F.max("_node").alias("last"), F.count(F.lit(1)).alias("n")).where("n > 1"))
     members = keep(keyed.join(groups.where("n > 2").select("key", "lead"), "key"))
     pairs = members.where("_node != lead").select(F.col("lead").alias("a"), F.col("_node").alias("b")).unionByName(
@@ -209,14 +297,17 @@ def links_of(classes: DataFrame, docs: DataFrame) -> DataFrame:
     linked = linked.unionByName(more)
     roots = components(linked)
 
-    # members of one key that are still apart meet each other: within the key, sizes and signatures first
+    # members of one key that are still apart meet each other, large groups in pairs of blocks
     apart = members.join(roots.withColumnRenamed("node", "_node"), "_node", "left").withColumn("root", F.coalesce("root", "_node"))
-    mixed_keys = apart.groupBy("key").agg((F.min("root") != F.max("root")).alias("m")).where("m").select("key")
-    left = keep(apart.where("_node != lead").join(mixed_keys, "key").join(sig, "_node"))
-    x = left.select("key", F.col("_node").alias("a"), F.col("root").alias("ra"), F.col("n_shingles").alias("na"), F.col("symbols").alias("sa"))
-    y = left.select(F.col("key").alias("_key"), F.col("_node").alias("b"), F.col("root").alias("rb"), F.col("n_shingles").alias("nb"), F.col("symbols").alias("sb"))
-    rest = x.join(y, (F.col("key") == F.col("_key")) & (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb"))
-                  & sizes_fit("na", "nb") & near("sa", "sb")).select("a", "b").distinct()
+    mixed_keys = apart.groupBy("key").agg((F.min("root") != F.max("root")).alias("m"), F.count(F.lit(1)).alias("n")).where("m")
+    left = keep(apart.where("_node != lead").join(mixed_keys.select("key", F.ceil(F.col("n") / MEET).cast("int").alias("_parts")), "key"))
+    sketched = texts.join(left.select("_node").distinct(), "_node", "left_semi").mapInArrow(_sketch, "_node long, sketch binary")
+    left = left.join(keep(sketched), "_node").join(sig, "_node")
+    left = left.withColumn("_part", F.pmod(F.xxhash64("_node"), F.col("_parts")).cast("int"))
+    met = left.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).select(
+        "key", F.least("_part", "_other").alias("_low"), F.greatest("_part", "_other").alias("_high"), "_part",
+        "_slot", "_node", "root", "n_shingles", "symbols", "sketch")
+    rest = keep(met.repartition("key", "_low", "_high").sortWithinPartitions("key", "_low", "_high").mapInArrow(_meet, "a long, b long"))
     last = confirm(rest, texts)
     return components(linked.unionByName(last))
 
