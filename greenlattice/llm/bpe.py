@@ -140,7 +140,7 @@ def decode(coded: DataFrame, path: str | None = None) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
-                texts = [code.decode(tokens.values.to_pylist()) for tokens in part.column("ids")]
+                texts = [code.decode(tokens.values.to_numpy().tolist()) for tokens in part.column("ids")]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*part.schema.names, "decoded"])
 
     return coded.mapInArrow(run, T.StructType([*coded.schema, T.StructField("decoded", T.StringType())]))
