@@ -44,7 +44,6 @@ SYMBOLS = CHUNK * CHUNKS
 MOST_APART = 32  # differing symbols beyond which a pair is not looked at (a linked one: about 1e-7)
 LEAST_PERCENT = 75
 BIN_BITS = 10  # a sketch has 1024 bytes
-LEAST_SKETCH = 0.68  # share of equal bytes; at similarity 0.75 it lies below once in 10^6
 MEET = 4096  # members of a key that meet in one task
 BLOCK = 2048
 CACHE = 400_000
@@ -181,10 +180,20 @@ def first_shared(same: np.ndarray) -> np.ndarray:
     return np.where(hit.any(axis=1), chunk * CHUNK + np.where(at.all(axis=1), 0, at.argmin(axis=1)), -1)
 
 
-def pairs_that_meet(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Nodes of one key in different components whose signatures and sketches let them be linked.
+def least_share(bins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Share of equal bins below which a linked pair lies less than once in 10^7.
 
-    A pair counts under the first key that it shares only.
+    ``bins`` of about ``sizes`` / 1.75 shingles of the union are seen, drawn without replacement.
+    """
+    unseen = np.maximum(0, 1 - 1.75 * bins / np.maximum(sizes, 1))
+    return 0.75 - 5.5 * np.sqrt(0.1875 / np.maximum(bins, 1) * unseen)
+
+
+def pairs_that_meet(group: pa.Table, best: bool) -> list[np.ndarray]:
+    """Pairs of one key in different components that signatures and sketches let be linked: x, y, share of equal bins.
+
+    A pair counts under the first key that it shares only. With ``best``, only the most
+    alike partner of each x, which is outside of the largest component here.
     """
     node, root, n = (group.column(c).to_numpy() for c in ("_node", "root", "n_shingles"))
     part = group.column("_part").to_numpy()
@@ -195,51 +204,56 @@ def pairs_that_meet(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     outside = np.flatnonzero(root != roots[size.argmax()])
     is_outside = np.zeros(len(node), np.bool_)
     is_outside[outside] = True
-    found_a, found_b = [], []
+    found = []
     for x in outside.tolist():
-        may = (root != root[x]) & (100 * np.minimum(n, n[x]) >= LEAST_PERCENT * np.maximum(n, n[x])) & (~is_outside | (node > node[x]))
+        may = (root != root[x]) & (100 * np.minimum(n, n[x]) >= LEAST_PERCENT * np.maximum(n, n[x]))
+        if not best:
+            may &= ~is_outside | (node > node[x])
         if low != high:
             may &= part != part[x]
         near_ = np.flatnonzero(may)
         same = symbols[near_] == symbols[x]
         close = same.sum(axis=1) >= SYMBOLS - MOST_APART
         near_, same = near_[close], same[close]
-        mine = first_shared(same) == slot
-        near_ = near_[mine]
+        near_ = near_[first_shared(same) == slot]
         both, own = sketch[near_], sketch[x]
         held = ((both == own) & (own > 0)).sum(axis=1)
-        either = ((both > 0) | (own > 0)).sum(axis=1)
-        near_ = near_[held >= LEAST_SKETCH * either]
-        found_a.append(np.minimum(node[near_], node[x]))
-        found_b.append(np.maximum(node[near_], node[x]))
-    none = [np.empty(0, np.int64)]
-    return np.concatenate(found_a or none), np.concatenate(found_b or none)
-
-
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (key, _low, _high): the pairs of each such group, which is held until it ends."""
-    names = ["key", "_low", "_high"]
-    waiting: list[pa.RecordBatch] = []
-
-    def out() -> Iterator[pa.RecordBatch]:
-        if waiting:
-            a, b = pairs_that_meet(pa.Table.from_batches(waiting))
-            waiting.clear()
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-    last = None
-    for batch in batches:
-        columns = [batch.column(c).to_numpy() for c in names]
-        cuts = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1 if batch.num_rows else []
-        for at, end in zip([0, *cuts], [*cuts, batch.num_rows]):
-            if at == end:
-                continue
-            group = tuple(c[at] for c in columns)
-            if group != last:
-                yield from out()
-                last = group
-            waiting.append(batch.slice(at, end - at))
-    yield from out()
+        bins = ((both > 0) | (own > 0)).sum(axis=1)
+        share = held / np.maximum(bins, 1)
+        good = share >= least_share(bins, n[near_] + n[x])
+        near_, share = near_[good], share[good]
+        if best and len(near_):
+            near_, share = near_[[share.argmax()]], share[[share.argmax()]]
+        found.append((np.full(len(near_), node[x]), node[near_], share))
+    return [np.concatenate(c) for c in zip(*found)] if found else [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
+
+
+def _meet(best: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows sorted by (key, _low, _high): the pairs of each such group, which is held until it ends."""
+        names = ["key", "_low", "_high"]
+        waiting: list[pa.RecordBatch] = []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            if waiting:
+                x, y, share = pairs_that_meet(pa.Table.from_batches(waiting), best)
+                waiting.clear()
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64()), pa.array(share, pa.float64())], names=["x", "y", "share"])
+
+        last = None
+        for batch in batches:
+            columns = [batch.column(c).to_numpy() for c in names]
+            cuts = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1 if batch.num_rows else []
+            for at, end in zip([0, *cuts], [*cuts, batch.num_rows]):
+                if at == end:
+                    continue
+                group = tuple(c[at] for c in columns)
+                if group != last:
+                    yield from out()
+                    last = group
+                waiting.append(batch.slice(at, end - at))
+        yield from out()
+    return run
 
 
 def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -297,19 +311,26 @@ def links_of(classes: DataFrame, docs: DataFrame) -> DataFrame:
     linked = linked.unionByName(more)
     roots = components(linked)
 
-    # members of one key that are still apart meet each other, large groups in pairs of blocks
-    apart = members.join(roots.withColumnRenamed("node", "_node"), "_node", "left").withColumn("root", F.coalesce("root", "_node"))
-    mixed_keys = apart.groupBy("key").agg((F.min("root") != F.max("root")).alias("m"), F.count(F.lit(1)).alias("n")).where("m")
-    left = keep(apart.where("_node != lead").join(mixed_keys.select("key", F.ceil(F.col("n") / MEET).cast("int").alias("_parts")), "key"))
-    sketched = texts.join(left.select("_node").distinct(), "_node", "left_semi").mapInArrow(_sketch, "_node long, sketch binary")
-    left = left.join(keep(sketched), "_node").join(sig, "_node")
-    left = left.withColumn("_part", F.pmod(F.xxhash64("_node"), F.col("_parts")).cast("int"))
-    met = left.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).select(
-        "key", F.least("_part", "_other").alias("_low"), F.greatest("_part", "_other").alias("_high"), "_part",
-        "_slot", "_node", "root", "n_shingles", "symbols", "sketch")
-    rest = keep(met.repartition("key", "_low", "_high").sortWithinPartitions("key", "_low", "_high").mapInArrow(_meet, "a long, b long"))
-    last = confirm(rest, texts)
-    return components(linked.unionByName(last))
+    # members of one key that are still apart meet each other, large groups in pairs of blocks:
+    # twice for the most alike partner of each, which joins most of them, then for all that are left
+    sketches = None
+    for best in (True, True, False):
+        apart = members.join(roots.withColumnRenamed("node", "_node"), "_node", "left").withColumn("root", F.coalesce("root", "_node"))
+        mixed_keys = apart.groupBy("key").agg((F.min("root") != F.max("root")).alias("m"), F.count(F.lit(1)).alias("n")).where("m")
+        left = keep(apart.where("_node != lead").join(mixed_keys.select("key", F.ceil(F.col("n") / MEET).cast("int").alias("_parts")), "key"))
+        if sketches is None:  # later rounds have no other nodes
+            sketches = keep(texts.join(left.select("_node").distinct(), "_node", "left_semi").mapInArrow(_sketch, "_node long, sketch binary"))
+        left = left.join(sketches, "_node").join(sig, "_node").withColumn("_part", F.pmod(F.xxhash64("_node"), F.col("_parts")).cast("int"))
+        met = left.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).select(
+            "key", F.least("_part", "_other").alias("_low"), F.greatest("_part", "_other").alias("_high"), "_part",
+            "_slot", "_node", "root", "n_shingles", "symbols", "sketch")
+        rest = met.repartition("key", "_low", "_high").sortWithinPartitions("key", "_low", "_high").mapInArrow(_meet(best), "x long, y long, share double")
+        if best:
+            rest = rest.groupBy("x").agg(F.max_by("y", F.struct("share", -F.col("y"))).alias("y"))
+        pairs = rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        linked = linked.unionByName(confirm(pairs, texts))
+        roots = components(linked)
+    return roots
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

@@ -94,12 +94,13 @@ def limits(counted: DataFrame) -> DataFrame:
             out.append((high + FENCE * F.greatest(high - low, F.lit(least))).alias(f"{tag}_{r}"))
         return df.select(*by, F.col("n").alias(f"{tag}_n"), *out)
 
-    top = fences(whole, "all").first()
+    # no rows, no sketch to ask
+    top = fences(whole, "all").first() if whole.first()["n"] else dict.fromkeys((f"all_{r}" for r in RATIOS))
     joined = (fences(leaf, "own", "lang", "source").alias("a")
               .join(fences(by_lang, "lang", F.col("lang").alias("_lang")), F.col("a.lang").eqNullSafe(F.col("_lang"))))
     return keep(joined.select(F.col("a.lang").alias("_lang"), F.col("a.source").alias("_source"), *[
         F.when(F.col("own_n") >= LEAST, F.col(f"own_{r}")).when(F.col("lang_n") >= LEAST, F.col(f"lang_{r}"))
-        .otherwise(F.lit(top[f"all_{r}"])).alias(f"_most_{r}") for r in RATIOS]))
+        .otherwise(F.lit(top[f"all_{r}"]).cast("double")).alias(f"_most_{r}") for r in RATIOS]))
 
 
 def judge(counted: DataFrame, fences: DataFrame) -> DataFrame:

@@ -38,8 +38,8 @@ class Rule(NamedTuple):
 RULES = (Rule("allow", "com", "/"), Rule("block", "example.com", "/en/"), Rule("allow", "www.example.com", "/en/"),
          Rule("block", "net", "/es/"), Rule("block", "net", "/fr/"))
 DAMPING = 0.85
-STEPS = 50
-TOLERANCE = 1e-9
+STEPS = 200
+TOLERANCE = 1e-8
 RATIO = 1.0
 LINK = r"""(?i)\shref\s*=\s*["']?\s*((?:https?:)?//[^"'\s>]+)"""
 
