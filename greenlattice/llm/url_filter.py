@@ -1,8 +1,8 @@
 """URL filter: rules on host and path, and link-graph propagation for what no rule decides.
 
-Rules fit a host with its subdomains and a path prefix; the longest wins. Hosts with pages
-that a rule allows are trusted seeds, hosts with pages that a rule blocks are blocked
-seeds, each by its share of the seed pages. Trust flows along the links between hosts as a
+Rules fit a host with its subdomains and a path prefix; the longest wins. Hosts of which
+rules allow most pages are trusted seeds, hosts of which they block most pages are blocked
+seeds, each by its share of the seeds' pages. Trust flows along the links between hosts as a
 personalised PageRank; distrust flows against them, from a blocked host to those that link
 to it. A host whose distrust exceeds ``RATIO`` times its trust is blocked.
 
@@ -103,11 +103,13 @@ def propagated(seeds: DataFrame, links: DataFrame) -> DataFrame:
 
 def blocked_hosts(pages: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """(_host, trust, distrust) of the hosts that the link graph blocks, stored."""
-    by_host = judged(pages, rules).where("host <> '' and _by is not null").groupBy(
-        F.when(F.col("_by.verdict") == "allow", "trust").otherwise("distrust").alias("flow"), "host").agg(F.count(F.lit(1)).alias("n"))
-    by_host = keep(by_host)
-    totals = by_host.groupBy("flow").agg(F.sum("n").alias("total"))  # two rows
-    seeds = by_host.join(F.broadcast(totals), "flow").select("flow", "host", (F.col("n") / F.col("total")).alias("rank"))
+    verdict = F.col("_by.verdict")
+    by_host = keep(judged(pages, rules).where("host <> ''").groupBy("host").agg(
+        F.count(F.lit(1)).alias("pages"), F.count(F.when(verdict == "allow", 1)).alias("trust"), F.count(F.when(verdict == "block", 1)).alias("distrust")))
+    found = by_host.select("host", "pages", F.explode(F.map_from_arrays(
+        F.array(F.lit("trust"), F.lit("distrust")), F.array("trust", "distrust"))).alias("flow", "n")).where("2 * n > pages")
+    totals = found.groupBy("flow").agg(F.sum("n").alias("total"))  # two rows
+    seeds = found.join(F.broadcast(totals), "flow").select("flow", "host", (F.col("n") / F.col("total")).alias("rank"))
     ranks = propagated(seeds, host_links(pages))
     both = ranks.groupBy(F.col("host").alias("_host")).agg(
         F.sum(F.when(F.col("flow") == "trust", F.col("rank")).otherwise(0.0)).alias("trust"),

@@ -184,7 +184,7 @@ def test_rules_and_parts(spark):
         ("www.example.com", "/en/x", "www.example.com/en/", "allow"), ("m.example.com", "/en/1", "example.com/en/", "block"),
         ("x.net", "/es/1", "net/es/", "block"), ("net", "/fr/", "net/fr/", "block"), ("badnet", "/fr/", None, "allow"),
         ("example.com", "", None, "allow"), ("a.com", "/x://b.net/es/", "com/", "allow"), ("a.com:80", "/en/", None, "allow"),
-        ("x.net", "/en/", None, "block")]
+        ("x.net", "/en/", None, "allow")]
 
 
 def test_propagation_equals_power_iteration(spark):
