@@ -72,9 +72,24 @@ def tidy(df: DataFrame, digits: int = 6) -> DataFrame:
 SCATTER, SCATTER_OTHER = 2654435761, 2246822519
 
 
+WORD = 4294967296
+
+
 def scatter_key(col: Column, multiplier: int = SCATTER) -> Column:
-    """A fixed pseudo-random order of non-negative 31-bit ids.
+    """A fixed pseudo-random order of all 64-bit ids in which no two ids tie.
 
-    Multiplying by an odd constant is one-to-one modulo 2**32, so no two ids tie.
+    The low and the high half of the id are each multiplied modulo 2**32, in pieces of 16
+    bits so that no product overflows, and added; the high half follows behind and tells
+    apart ids whose sums agree. For ids below 2**32 the order is that of
+    ``(id * multiplier) % 2**32``. Negative ids mirror the others.
     """
-    return (col.cast("bigint") * F.lit(multiplier)) % F.lit(4294967296)
+    def times(x: Column) -> Column:
+        high, low = F.shiftright(x, 16), x.bitwiseAND(F.lit(65535).cast("bigint"))
+        return ((high * multiplier) % WORD * 65536 + low * multiplier) % WORD
+
+    def key(x: Column) -> Column:
+        low, high = x.bitwiseAND(F.lit(WORD - 1)), F.shiftright(x, 32)
+        return (times(low) + times(high)) % WORD * F.lit(2147483648) + high
+
+    x = col.cast("bigint")
+    return F.when(x >= 0, key(x)).otherwise(-1 - key(-1 - x))

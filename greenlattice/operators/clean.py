@@ -40,8 +40,10 @@ def quantile_trim(df: DataFrame, columns: list[str], low: float = 0.01, high: fl
     """Keep rows inside [low, high] quantiles, column after column.
 
     Each column's quantiles are taken on the rows the earlier columns left. The bounds are
-    two numbers per column, so they become literals the next scan can push down.
+    two numbers per column, so they become literals the next scan can push down. The input
+    is stored once, so a search reads one column of a table instead of repeating its joins.
     """
+    df = materialize(df)
     for column in columns:
         lower, upper = exact_quantiles(df, {column: [low, high]})[column]
         df = df.where(F.lit(False)) if lower is None else df.where(F.col(column).between(lower, upper))
@@ -50,6 +52,7 @@ def quantile_trim(df: DataFrame, columns: list[str], low: float = 0.01, high: fl
 
 def remove_outliers_iqr(df: DataFrame, columns: list[str], factor: float = 1.5) -> DataFrame:
     """Keep rows inside the interquartile fences, column after column."""
+    df = materialize(df)
     for column in columns:
         q1, q3 = exact_quantiles(df, {column: [0.25, 0.75]})[column]
         if q1 is None:
@@ -118,8 +121,8 @@ def handle_missing(df: DataFrame, target: str | None = None, row_id: str | None
     """Missing-value policy by column kind and missing share.
 
     Target: drop the row. Over 50 %: drop the column. Text: most frequent value. Numeric
-    under 10 %: mean of the nearest rows over all numeric columns (needs ``row_id``).
-    Numeric 10-50 %: median.
+    under 10 %: mean of the nearest rows over all numeric columns. Numeric 10-50 %: median.
+    Without ``row_id`` the rows are numbered and stored once, so that the fill has an id.
     """
     if target and target in df.columns:
         df = df.dropna(subset=[target])
@@ -132,8 +135,11 @@ def handle_missing(df: DataFrame, target: str | None = None, row_id: str | None
     # Columns are visited in table order: the first sparse one that is rarely missing
     # triggers the nearest-row fill of every numeric column still missing.
     for column in [c for c in numeric if c in shares]:
-        if shares[column] < 0.10 and len(numeric) > 1 and row_id:
-            return impute_nearest_rows(df, numeric, row_id, neighbours)
+        if shares[column] < 0.10 and len(numeric) > 1:
+            if row_id:
+                return impute_nearest_rows(df, numeric, row_id, neighbours)
+            numbered = materialize(df.withColumn("_row_number", F.monotonically_increasing_id()))
+            return impute_nearest_rows(numbered, numeric, "_row_number", neighbours).drop("_row_number")
         df = fill_median(df, [column])
     return df
 

@@ -191,17 +191,17 @@ def exploration_features(df: DataFrame) -> DataFrame:
     pairs = {
         "temp_forest": ("temperature", "forest_cover"), "precip_forest": ("precipitation", "forest_cover"),
         "humidity_forest": ("humidity", "forest_cover"), "urban_temp": ("urban_area", "temperature"),
-        "urban_population": ("urban_area", "population_density"), "species_temp": ("species_count", "temperature"),
+        "urban_pop": ("urban_area", "population_density"), "species_temp": ("species_count", "temperature"),
         "species_precip": ("species_count", "precipitation")}
     out = {f"{n}_interaction": col(a) * col(b) for n, (a, b) in pairs.items() if {a, b} <= have}
     if {"forest_cover", "urban_area", "agricultural_area", "water_bodies"} <= have:
         out |= {"non_forest_cover": 1 - col("forest_cover"),
                 "total_developed": col("urban_area") + col("agricultural_area"),
                 "natural_area": col("forest_cover") + col("water_bodies")}
-    plus_one = {"endemic_share": ("endemic_species", "species_count"),
-                "threatened_share": ("threatened_species", "species_count"),
-                "temp_precip_ratio": ("temperature", "precipitation"),
-                "humidity_precip_ratio": ("humidity", "precipitation")}
+    plus_one = {"endemic_to_total_species": ("endemic_species", "species_count"),
+                "threatened_to_total_species": ("threatened_species", "species_count"),
+                "temp_to_precip_ratio": ("temperature", "precipitation"),
+                "humidity_to_precip_ratio": ("humidity", "precipitation")}
     out |= {n: F.try_divide(col(a), col(b) + 1) for n, (a, b) in plus_one.items() if {a, b} <= have}
     if set(SPECIES_COUNTS) <= have:
         out["biodiversity_index"] = (col("species_count") * 0.5 + col("endemic_species") * 0.3

@@ -79,8 +79,9 @@ def impute_nearest_rows(df: DataFrame, columns: list[str], row_id: str, k: int =
     # Upper bound from some donors of the own cell, or k donors of the whole table.
     few = W.partitionBy(*cells, "_gap").orderBy("_id")
     local = donors.withColumn("_i", F.row_number().over(few)).where(F.col("_i") <= max(k, BOUND_ROWS)).drop("_i")
-    anywhere = (local.withColumn("_i", F.row_number().over(W.partitionBy("_gap").orderBy("_id")))
-                .where(F.col("_i") <= k).select("_gap", "_id", "_dv"))
+    # the k least ids of a column come from a combined top-k, not from one task's sort
+    anywhere = reduce(DataFrame.unionByName, [
+        local.where(F.col("_gap") == columns.index(c)).select("_gap", "_id", "_dv").orderBy("_id").limit(k) for c in gappy])
     square = _scaled_square(len(columns))
     closest = W.partitionBy("_rid", "_gap").orderBy(F.asc_nulls_last("_d2"))
 

@@ -149,12 +149,16 @@ class Model:
         rows = list(zip(self.inputs(), (float(v) for v in core.coefficients.toArray())))
         return spark.createDataFrame([*rows, ("intercept", float(core.intercept))], "feature string, coefficient double")
 
-    def equation(self, digits: int = 4) -> str:
-        core = self.core
-        terms = [f"{core.intercept:.{digits}f}"]
-        for n, v in zip(self.inputs(), core.coefficients.toArray()):
-            terms.append(f"{'+' if v >= 0 else '-'} {abs(v):.{digits}f}*{n}")
-        return "y = " + " ".join(terms)
+    def equation(self, digits: int = 3) -> str:
+        """One line in training order, intercept last; what rounds to nothing is left out."""
+        weighted = [*zip(self.core.coefficients.toArray(), self.inputs()), (self.core.intercept, None)]
+        shown: list[str] = []
+        for value, name in weighted:
+            if abs(value) <= 10.0 ** -digits:
+                continue
+            number = f"{value:.{digits}f}" + (f" * {name}" if name else "")
+            shown.append(f"+ {number}" if shown and value > 0 else number)
+        return "y = " + " ".join(shown)
 
     def tree_statistics(self) -> dict:
         trees = self.core.trees
@@ -229,18 +233,24 @@ def train_all(df: DataFrame, features: list[str], target: str, specs: dict[str,
     return done, failed
 
 
-def comparison_table(spark: SparkSession, models: dict[str, Model], test: DataFrame, baseline: str | None = None) -> DataFrame:
-    """One row per model: train and test metrics, the gap between them, the gain over a baseline."""
+def comparison_table(spark: SparkSession, models: dict[str, Model], test: DataFrame, baseline: str | None = None,
+                     failed: dict[str, str] | None = None) -> DataFrame:
+    """One row per model: train and test metrics, the gap between them, the gain over a baseline.
+
+    A model that failed has a row with its error and no metrics.
+    """
     rows = []
     for name, m in models.items():
         seen = m.evaluate(test)
-        rows.append((name, m.train_metrics.get("r2"), seen["r2"], seen["rmse"], seen["mae"], seen["mse"]))
-    table = spark.createDataFrame(rows, "model string, train_r2 double, r2 double, rmse double, mae double, mse double")
+        rows.append((name, m.train_metrics.get("r2"), seen["r2"], seen["rmse"], seen["mae"], seen["mse"], None))
+    rows += [(name, *[None] * 5, error) for name, error in (failed or {}).items()]
+    table = spark.createDataFrame(
+        rows, "model string, train_r2 double, r2 double, rmse double, mae double, mse double, error string")
     table = table.withColumn("overfit_gap", F.col("train_r2") - F.col("r2"))
     if baseline:
-        base = next(r[2] for r in rows if r[0] == baseline)
-        table = table.withColumn("improvement", F.col("r2") - F.lit(base))
-    return table.orderBy(F.desc("r2"), "model")
+        base = next((r[2] for r in rows if r[0] == baseline), None)
+        table = table.withColumn("improvement", F.col("r2") - F.lit(base).cast("double"))
+    return table.orderBy(F.desc_nulls_last("r2"), "model")
 
 
 def best_model(table: DataFrame, metric: str = "r2") -> DataFrame:
@@ -271,6 +281,7 @@ def tree_spread(model: Model, df: DataFrame) -> DataFrame:
     names = []
     for i, tree in enumerate(model.core.trees):
         names.append(f"_t{i}")
+        tree = tree.copy()  # the fitted forest keeps its own columns
         tree.setFeaturesCol("features")
         tree.setPredictionCol(names[-1])
         out = tree.transform(out)

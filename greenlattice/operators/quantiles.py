@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from greenlattice.operators.ranking import ROWS_PER_BUCKET, rank_values, values_at_positions
 
-# Up to this many rows one aggregate may hold a column's value counts in one buffer.
-ONE_BUFFER_ROWS = 100_000
+# Rows up to which one aggregate may hold a column's value counts in one buffer: none, so that every table takes the same way.
+ONE_BUFFER_ROWS = 0
 SKETCH = 10_000
 # Most candidate rows around all wanted quantiles that may be counted towards the driver.
 MAX_CANDIDATES = 200_000

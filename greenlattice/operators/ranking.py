@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-ROWS_PER_BUCKET = 2_000_000
+ROWS_PER_BUCKET = 50_000
 MAX_BUCKETS = 4096
 
 

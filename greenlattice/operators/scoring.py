@@ -52,7 +52,6 @@ def risk_zones(nodes: DataFrame, model: Model, resolution: float) -> DataFrame:
     return centred_zones(scored, resolution)
 
 
-def heatmap(nodes: DataFrame, model: Model, row_id: str, limit: int | None = 10_000) -> DataFrame:
-    """Scored lattice nodes; ``limit`` keeps that many nodes of the scatter order."""
-    chosen = downsample(nodes, row_id, limit) if limit else nodes
-    return score_batch(chosen, model).where(F.col("error").isNull())
+def heatmap(nodes: DataFrame, model: Model, row_id: str, limit: int | None = None) -> DataFrame:
+    """Scored lattice nodes; a ``limit`` keeps that many nodes of the scatter order."""
+    return score_batch(downsample(nodes, row_id, limit), model).where(F.col("error").isNull())

@@ -8,34 +8,39 @@ large part of a table is cut into salted slices.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from greenlattice.functions.geo import SphereCells, haversine_km
 from greenlattice.session import materialize
 
 HOT_CELL_ROWS = 1_000_000
-MAX_SALT = 512
 
 
-def salt_factor(df: DataFrame, keys: list[str], hot_rows: int = HOT_CELL_ROWS) -> int:
-    """Slices needed so that no key holds more than ``hot_rows`` rows in one slice."""
-    top = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-    return int(min(MAX_SALT, max(1, -(-top // hot_rows))))
+def hot_keys(df: DataFrame, keys: list[str], hot_rows: int = HOT_CELL_ROWS) -> DataFrame:
+    """(keys, _slices) of the keys with more than ``hot_rows`` rows, stored: rows / hot_rows entries at most."""
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    return materialize(counts.where(F.col("_n") > hot_rows).select(*keys, F.ceil(F.col("_n") / F.lit(hot_rows)).cast("int").alias("_slices")))
 
 
-def _salted(dense: DataFrame, sparse: DataFrame, keys: list[str], spread_by: list[str],
+def _salted(dense: DataFrame, sparse: DataFrame, keys: list[str],
             hot_rows: int) -> tuple[DataFrame, DataFrame, list[str]]:
-    """Slice the dense side by a row hash and repeat the sparse side once per slice."""
-    slices = salt_factor(dense, keys, hot_rows)
-    if slices == 1:
-        return dense, sparse, keys
-    dense = dense.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(slices)).cast("int"))
-    sparse = sparse.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+    """Slice the hot keys of the dense side by a row hash and repeat their sparse rows once per slice.
+
+    The slices of a key follow its own row count; all other keys stay as they are.
+    """
+    hot = hot_keys(dense, keys, hot_rows)
+    slice_of = F.when(F.col("_slices").isNotNull(), F.pmod(F.xxhash64(*dense.columns), F.col("_slices"))).otherwise(0).cast("int")
+    dense = dense.join(hot, keys, "left").withColumn("_salt", slice_of).drop("_slices")
+    last = F.coalesce(F.col("_slices") - 1, F.lit(0))
+    sparse = sparse.join(hot, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), last))).drop("_slices")
     return dense, sparse, [*keys, "_salt"]
 
 
+def with_row(df: DataFrame) -> DataFrame:
+    """``df`` stored with a row number ``_row``, so that an outer form finds its rows again."""
+    return materialize(df.withColumn("_row", F.monotonically_increasing_id()))
+
+
 def radius_join(points: DataFrame, targets: DataFrame, radius_km: float, how: str = "inner",
                 hot_rows: int = HOT_CELL_ROWS) -> DataFrame:
     """Points with every target at most ``radius_km`` away (great circle), plus distance_km.
@@ -44,6 +49,13 @@ def radius_join(points: DataFrame, targets: DataFrame, radius_km: float, how: st
     clash get the prefix ``t_``. Each point looks into the cells that touch its own, each
     target sits in one cell. ``how='left'`` keeps points without a match.
     """
+    if how == "left":
+        keyed = with_row(points)
+        matched = radius_join(keyed, targets, radius_km, hot_rows=hot_rows)
+        extra = [c for c in matched.columns if c not in keyed.columns]
+        return keyed.join(matched.select("_row", *extra), "_row", "left").select(*points.columns, *extra)
+    if how != "inner":
+        raise ValueError(f"unsupported join type {how}")
     cells = SphereCells(radius_km)
     renamed = {c: f"t_{c}" for c in targets.columns if c in points.columns}
     right = targets.withColumnsRenamed(renamed)
@@ -54,19 +66,10 @@ def radius_join(points: DataFrame, targets: DataFrame, radius_km: float, how: st
     own = cells.band(F.col("latitude"))
     left = (points.withColumn("_band", F.explode(F.sequence(own - 1, own + 1)))
             .withColumn("_cell", F.explode(cells.neighbour_cells(F.col("longitude"), F.col("_band")))))
-    right, left, keys = _salted(right, left, ["_band", "_cell"], [tlat, tlon], hot_rows)
+    right, left, keys = _salted(right, left, ["_band", "_cell"], hot_rows)
     distance = haversine_km(F.col("latitude"), F.col("longitude"), F.col(tlat), F.col(tlon))
-    matched = (left.join(right, keys).withColumn("distance_km", distance)
-               .where(F.col("distance_km") <= F.lit(float(radius_km))).drop("_band", "_cell", "_salt"))
-    if how == "inner":
-        return matched
-    if how != "left":
-        raise ValueError(f"unsupported join type {how}")
-    extra = [c for c in matched.columns if c not in points.columns]
-    same = reduce(lambda a, b: a & b, [F.col(f"p.{c}").eqNullSafe(F.col(f"m.{c}")) for c in points.columns])
-    lonely = points.alias("p").join(matched.select(*points.columns).alias("m"), same, "left_anti")
-    empty = lonely.withColumns({c: F.lit(None).cast(matched.schema[c].dataType) for c in extra})
-    return matched.unionByName(empty.select(*matched.columns))
+    return (left.join(right, keys).withColumn("distance_km", distance)
+            .where(F.col("distance_km") <= F.lit(float(radius_km))).drop("_band", "_cell", "_salt"))
 
 
 def planar_radius_join(points: DataFrame, targets: DataFrame, radius_deg: float,
@@ -81,8 +84,7 @@ def planar_radius_join(points: DataFrame, targets: DataFrame, radius_deg: float,
     cy, cx = F.floor(F.col("latitude") / size).cast("bigint"), F.floor(F.col("longitude") / size).cast("bigint")
     left = (points.withColumn("_cy", F.explode(F.sequence(cy - 1, cy + 1)))
             .withColumn("_cx", F.explode(F.sequence(cx - 1, cx + 1))))
-    spread = [renamed.get("latitude", "latitude"), renamed.get("longitude", "longitude")]
-    right, left, keys = _salted(right, left, ["_cy", "_cx"], spread, hot_rows)
+    right, left, keys = _salted(right, left, ["_cy", "_cx"], hot_rows)
     dlat, dlon = F.col("latitude") - tlat, F.col("longitude") - tlon
     return (left.join(right, keys).withColumn("distance_deg", F.sqrt(dlat * dlat + dlon * dlon))
             .where(F.col("distance_deg") <= size).drop("_cy", "_cx", "_salt"))
@@ -176,6 +178,17 @@ def points_in_polygons(points: DataFrame, polygons: DataFrame, how: str = "inner
 
     Clashing polygon columns get the prefix ``g_``.
     """
+    if how in ("left", "right"):
+        kept = with_row(points if how == "left" else polygons)
+        sides = (kept, polygons) if how == "left" else (points, kept)
+        matched = points_in_polygons(*sides, ring_column=ring_column, cell_deg=cell_deg, hot_rows=hot_rows)
+        named = {c: c if how == "left" or c not in points.columns else f"g_{c}" for c in kept.columns if c != "_row"}
+        other = [c for c in matched.columns if c not in named.values() and c != "_row"]
+        found = kept.join(matched.select("_row", *other), "_row", "left").drop("_row") if how == "left" else (
+            kept.withColumnsRenamed(named).join(matched.select("_row", *other), "_row", "left").drop("_row"))
+        return found.select(*[c for c in matched.columns if c != "_row"])
+    if how != "inner":
+        raise ValueError(f"unsupported join type {how}")
     renamed = {c: f"g_{c}" for c in polygons.columns if c in points.columns}
     shapes = polygons.withColumnsRenamed(renamed)
     ring_name = renamed.get(ring_column, ring_column)
@@ -184,32 +197,17 @@ def points_in_polygons(points: DataFrame, polygons: DataFrame, how: str = "inner
     levels = sorted(r[0] for r in tiled.select("_lvl").where(F.col("_lvl").isNotNull()).distinct().collect())  # a few levels
     located = points.withColumn("_lvl", F.explode(F.array(*[F.lit(n) for n in levels])) if levels else F.lit(0))
     located = located.withColumns({"_px": _cell("longitude", size), "_py": _cell("latitude", size)})
-    located, tiled, keys = _salted(located, tiled, ["_lvl", "_px", "_py"], ["longitude", "latitude"], hot_rows)
+    located, tiled, keys = _salted(located, tiled, ["_lvl", "_px", "_py"], hot_rows)
     # The cheap box test decides most pairs before the ring is walked.
     x, y = F.col("longitude"), F.col("latitude")
     in_box = (x >= F.col("_x0")) & (x < F.col("_x1")) & (y >= F.col("_y0")) & (y < F.col("_y1"))
-    matched = (located.join(tiled, keys).where(in_box & inside_ring(x, y, F.col(ring_name)))
-               .drop("_lvl", "_px", "_py", "_salt", "_x0", "_x1", "_y0", "_y1"))
-    if how == "inner":
-        return matched
-    kept, other = (points, shapes) if how == "left" else (shapes, points)
-    if how not in ("left", "right"):
-        raise ValueError(f"unsupported join type {how}")
-    keyed = [c for c in kept.columns if c != ring_name]
-    same = reduce(lambda a, b: a & b, [F.col(f"k.{c}").eqNullSafe(F.col(f"m.{c}")) for c in keyed])
-    lonely = kept.alias("k").join(matched.select(*keyed).alias("m"), same, "left_anti")
-    empty = lonely.withColumns({c: F.lit(None).cast(matched.schema[c].dataType) for c in other.columns})
-    return matched.unionByName(empty.select(*matched.columns))
+    return (located.join(tiled, keys).where(in_box & inside_ring(x, y, F.col(ring_name)))
+            .select(*points.columns, *shapes.columns))
 
 
 # ---------------------------------------------------------------- nearest site
 
-def _box_gap(lo: str, hi: str, value: str) -> Column:
-    return F.greatest(F.col(lo) - F.col(value), F.col(value) - F.col(hi), F.lit(0.0))
-
-
-def _box_far(lo: str, hi: str, value: str) -> Column:
-    return F.greatest(F.abs(F.col(value) - F.col(lo)), F.abs(F.col(value) - F.col(hi)))
+BROADCAST_CELLS = 65_536  # cells a level can have at most for its table to go to every task
 
 
 def nearest_site(points: DataFrame, point_id: str, sites: DataFrame, site_id: str,
@@ -256,21 +254,30 @@ def nearest_site(points: DataFrame, point_id: str, sites: DataFrame, site_id: st
                       F.min("_y0").alias("_y0"), F.max("_y1").alias("_y1")))
         return cells.withColumn("_ox", up("_cx", parent)).withColumn("_oy", up("_cy", parent))
 
-    # The top level has at most 4**stride cells: a literal array on every point.
+    # The top level has at most 4**stride cells: a literal array on every point. A point's
+    # open cells are an array that is filtered against its own minimum, so a level is one
+    # join and one aggregate. Levels of few possible cells go to every task.
     fields = ["_cx", "_cy", "_x0", "_x1", "_y0", "_y1"]
+    cell = F.struct(*fields)
     top = F.array(*[F.struct(*[F.lit(r[f]).alias(f) for f in fields]) for r in level(stride).collect()])
-    open_cells = (points.select(F.col(point_id).alias("_pid"), F.col("longitude").alias("_x"), F.col("latitude").alias("_y"))
-                  .withColumn("_top", F.explode(top)).select("_pid", "_x", "_y", *[F.col(f"_top.{f}").alias(f) for f in fields]))
+    packed = points.select(F.col(point_id).alias("_pid"), F.col("longitude").alias("_x"), F.col("latitude").alias("_y"), top.alias("_cells"))
+
+    def reach(c: Column, near: bool) -> Column:
+        def along(low: Column, high: Column, at: str) -> Column:
+            p = F.col(at)
+            return F.greatest(low - p, p - high, F.lit(0.0)) if near else F.greatest(F.abs(p - low), F.abs(p - high))
+        x, y = along(c["_x0"], c["_x1"], "_x"), along(c["_y0"], c["_y1"], "_y")
+        return x * x + y * y
+
     for step, d in enumerate(range(stride, depth + 1, stride)):
-        near_x, near_y = _box_gap("_x0", "_x1", "_x"), _box_gap("_y0", "_y1", "_y")
-        far_x, far_y = _box_far("_x0", "_x1", "_x"), _box_far("_y0", "_y1", "_y")
-        children = (open_cells if d == stride else open_cells.join(level(d), ["_ox", "_oy"]))
-        children = (children
-                    .withColumn("_near", near_x * near_x + near_y * near_y)
-                    .withColumn("_far", far_x * far_x + far_y * far_y))
-        best = children.groupBy("_pid").agg(F.min("_far").alias("_best"))
-        open_cells = (children.join(best, "_pid").where(F.col("_near") <= F.col("_best") * (1 + 1e-12))
-                      .select("_pid", "_x", "_y", F.col("_cx").alias("_ox"), F.col("_cy").alias("_oy")))
+        if d > stride:
+            found = level(d)
+            children = open_cells.join(F.broadcast(found) if 4 ** d <= BROADCAST_CELLS else found, ["_ox", "_oy"])
+            packed = children.groupBy("_pid").agg(F.first("_x").alias("_x"), F.first("_y").alias("_y"), F.collect_list(cell).alias("_cells"))
+        best = F.array_min(F.transform("_cells", lambda c: reach(c, False)))
+        kept = F.filter("_cells", lambda c: reach(c, True) <= F.col("_best") * (1 + 1e-12))
+        open_cells = (packed.withColumn("_best", best).select("_pid", "_x", "_y", F.explode(kept).alias("_c"))
+                      .select("_pid", "_x", "_y", F.col("_c._cx").alias("_ox"), F.col("_c._cy").alias("_oy")))
         if step % 3 == 2 and d < depth:
             open_cells = materialize(open_cells)
     dx, dy = F.col("_x") - F.col("_sx"), F.col("_y") - F.col("_sy")
@@ -288,20 +295,36 @@ def landuse_overlap(points: DataFrame, polygons: DataFrame, types: list[str], ra
     """Share of each point's disc covered by each land-use type, capped at 1, 0 without any.
 
     The disc is sampled at the centres of a k x k lattice over its bounding square; the
-    share's error shrinks as 1/k.
+    share's error shrinks as 1/k. A point's square meets a polygon once, in the first cell
+    that both touch, and the lattice is counted inside that row.
     """
     offsets = [((2 * i + 1) / k - 1, (2 * j + 1) / k - 1) for i in range(k) for j in range(k)]
     disc = [(dx * radius_deg, dy * radius_deg) for dx, dy in offsets if dx * dx + dy * dy <= 1.0]
     lattice = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in disc])
     nodes = points.select("latitude", "longitude").distinct()
-    samples = (nodes.withColumnsRenamed({"latitude": "_plat", "longitude": "_plon"})
-               .withColumn("_o", F.explode(lattice))
-               .select("_plat", "_plon", (F.col("_plon") + F.col("_o.dx")).alias("longitude"),
-                       (F.col("_plat") + F.col("_o.dy")).alias("latitude")))
     shapes = polygons.select("ring", type_column).where(F.col(type_column).isin(types))
-    hits = points_in_polygons(samples, shapes, cell_deg=cell_deg)
+    size = cell_deg or typical_cell(shapes)
+    tiled = polygon_cells(shapes, size)
+    levels = sorted(r[0] for r in tiled.select("_lvl").where(F.col("_lvl").isNotNull()).distinct().collect())  # a few levels
+    square = nodes.select(F.col("latitude").alias("_plat"), F.col("longitude").alias("_plon"), *[
+        (F.col(c) + F.lit(side * radius_deg)).alias(n) for n, c, side in (
+            ("_w", "longitude", -1), ("_e", "longitude", 1), ("_s", "latitude", -1), ("_n", "latitude", 1))])
+    square = square.withColumn("_lvl", F.explode(F.array(*[F.lit(n) for n in levels])) if levels else F.lit(0))
+    square = square.withColumns({"_px": F.explode(F.sequence(_cell("_w", size), _cell("_e", size)))}).withColumn(
+        "_py", F.explode(F.sequence(_cell("_s", size), _cell("_n", size))))
+    first_met = ((F.col("_px") == F.greatest(_cell("_w", size), _cell("_x0", size)))
+                 & (F.col("_py") == F.greatest(_cell("_s", size), _cell("_y0", size))))
+    square, tiled, keys = _salted(square, tiled, ["_lvl", "_px", "_py"], HOT_CELL_ROWS)
+    touch = (F.col("_w") < F.col("_x1")) & (F.col("_e") >= F.col("_x0")) & (F.col("_s") < F.col("_y1")) & (F.col("_n") >= F.col("_y0"))
+
+    def covered(o: Column) -> Column:
+        x, y = F.col("_plon") + o["dx"], F.col("_plat") + o["dy"]
+        in_box = (x >= F.col("_x0")) & (x < F.col("_x1")) & (y >= F.col("_y0")) & (y < F.col("_y1"))
+        return in_box & inside_ring(x, y, F.col("ring"))
+
+    hits = square.join(tiled, keys).where(first_met & touch).withColumn("_hits", F.size(F.filter(lattice, covered)))
     shares = hits.groupBy("_plat", "_plon").agg(*[
-        F.least(F.sum((F.col(type_column) == t).cast("bigint")) / F.lit(float(len(disc))), F.lit(1.0)).alias(t)
+        F.least(F.sum(F.when(F.col(type_column) == t, F.col("_hits")).otherwise(0)) / F.lit(float(len(disc))), F.lit(1.0)).alias(t)
         for t in types])
     joined = nodes.join(shares, (nodes["latitude"] == shares["_plat"]) & (nodes["longitude"] == shares["_plon"]), "left")
     return joined.select("latitude", "longitude", *[F.coalesce(F.col(t), F.lit(0.0)).alias(t) for t in types])

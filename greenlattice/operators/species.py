@@ -8,6 +8,7 @@ from greenlattice.operators.quantiles import exact_quantiles
 from greenlattice.operators.ranking import average_rank
 from greenlattice.operators.spatial_join import HOT_CELL_ROWS, radius_join
 from greenlattice.schemas import IUCN_NAMES, IUCN_SCORES, THREATENED
+from greenlattice.session import materialize
 
 
 def iucn_score(status: Column) -> Column:
@@ -31,6 +32,7 @@ def species_metrics(occurrences: DataFrame, grid: DataFrame, radius_km: float =
     facts = ["species_name", "conservation_status", "is_endemic"]
     grid = grid.select("latitude", "longitude").distinct()
     packed = occurrences.groupBy("latitude", "longitude", *facts).agg(F.count(F.lit(1)).alias("_n"))
+    packed = materialize(packed)  # counted per cell, then joined
     near = radius_join(grid, packed, radius_km, hot_rows=hot_rows)
     place = ["latitude", "longitude"]
     detail = near.groupBy(*place, *facts).agg(F.sum("_n").alias("_n"))
@@ -63,7 +65,7 @@ def biodiversity_score(df: DataFrame) -> DataFrame:
 
 def biodiversity_hotspots(metrics: DataFrame, percentile: float = 90.0) -> DataFrame:
     """Places at or above the score percentile with their average rank, best first."""
-    scored = biodiversity_score(metrics)
+    scored = materialize(biodiversity_score(metrics))  # the search, the filter and the ranks read it
     threshold = exact_quantiles(scored, {"biodiversity_score": [percentile / 100.0]})["biodiversity_score"][0]
     hot = scored.where(F.col("biodiversity_score") >= F.lit(threshold))
     return average_rank(hot, "biodiversity_score", "hotspot_rank", descending=True).orderBy(

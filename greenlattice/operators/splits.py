@@ -76,6 +76,6 @@ def time_series_fold(df: DataFrame, fold: int, block: str = "block") -> tuple[Da
     return df.where(F.col(block) <= fold), df.where(F.col(block) == fold + 1)
 
 
-def downsample(df: DataFrame, row_id: str, limit: int = 10_000) -> DataFrame:
-    """At most ``limit`` rows: the first of the scatter order."""
-    return df.orderBy(scatter_key(F.col(row_id))).limit(limit)
+def downsample(df: DataFrame, row_id: str, limit: int | None = None) -> DataFrame:
+    """All rows, or the first ``limit`` of the scatter order if one is asked for."""
+    return df if limit is None else df.orderBy(scatter_key(F.col(row_id))).limit(limit)

@@ -31,8 +31,6 @@ COMBINED_CTES = [
 ]
 COMBINED_SQL = with_(*COMBINED_CTES)
 
-_stored: dict[tuple[str, str], DataFrame] = {}
-
 
 def build_combined(spark: SparkSession, d: str, radius_km: float = 10.0) -> DataFrame:
     """Lazily planned: monthly climate, left-joined to land use and species metrics, gaps 0."""
@@ -49,8 +47,5 @@ def build_combined(spark: SparkSession, d: str, radius_km: float = 10.0) -> Data
 
 
 def combined(spark: SparkSession, d: str) -> DataFrame:
-    """The working set written once per application to the shared folder, then scanned pruned."""
-    key = (spark.sparkContext.applicationId, d)
-    if key not in _stored:
-        _stored[key] = materialize(build_combined(spark, d))
-    return _stored[key]
+    """The working set, joined from the tables as they are and stored once for the passes of one query."""
+    return materialize(build_combined(spark, d))

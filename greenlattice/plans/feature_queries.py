@@ -136,11 +136,11 @@ THREAT = ("((1-forest_cover)*3e-1 + urban_area*25e-2 + population_density/(SELEC
 EXPLORATION = {
     "temp_forest_interaction": "temperature*forest_cover", "precip_forest_interaction": "precipitation*forest_cover",
     "humidity_forest_interaction": "humidity*forest_cover", "urban_temp_interaction": "urban_area*temperature",
-    "urban_population_interaction": "urban_area*population_density", "species_temp_interaction": "species_count*temperature",
+    "urban_pop_interaction": "urban_area*population_density", "species_temp_interaction": "species_count*temperature",
     "species_precip_interaction": "species_count*precipitation", "non_forest_cover": "1-forest_cover",
     "total_developed": "urban_area+agricultural_area", "natural_area": "forest_cover+water_bodies",
-    "endemic_share": "endemic_species/(species_count+1e0)", "threatened_share": "threatened_species/(species_count+1e0)",
-    "temp_precip_ratio": "temperature/(precipitation+1)", "humidity_precip_ratio": "humidity/(precipitation+1)",
+    "endemic_to_total_species": "endemic_species/(species_count+1e0)", "threatened_to_total_species": "threatened_species/(species_count+1e0)",
+    "temp_to_precip_ratio": "temperature/(precipitation+1)", "humidity_to_precip_ratio": "humidity/(precipitation+1)",
     "biodiversity_index": BIO, "temperature_stress": "abs(temperature-25)/10",
     "precipitation_anomaly": "abs(precipitation-(SELECT avg(precipitation) FROM combined))/(SELECT stddev_samp(precipitation) FROM combined)",
     "habitat_threat": THREAT, "conservation_priority": f"{BIO}*(1-{THREAT})",

@@ -19,8 +19,8 @@ from greenlattice.streaming import ingest
 
 FEATURES = ["temperature", "precipitation", "forest_cover", "urban_area", "species_count", "species_diversity"]
 TARGET = "ecological_risk"
-FOREST = {"n_estimators": 20, "max_depth": 8}
-BOOST = {"n_estimators": 15, "max_depth": 4}
+FOREST = {"n_estimators": 100, "max_depth": 12}
+BOOST = {"n_estimators": 100, "max_depth": 6}
 
 
 def training(spark, d):
@@ -99,10 +99,23 @@ def model_ridge_coefficients(spark, d):
 @query("model_equation")
 def model_equation(spark, d):
     model = models.fit_model(training(spark, d), FEATURES, TARGET, "linear", with_metrics=False)
-    return spark.createDataFrame([(model.equation(4),)], "equation string")
+    return spark.createDataFrame([(model.equation(),)], "equation string")
 
 
-ALPHAS = [10.0 ** (-2 + 4 * i / 9) for i in range(10)]
+def term(value, name, first):
+    sign = f"CASE WHEN {value} > 0 AND NOT ({first}) THEN '+ ' ELSE '' END"
+    return f"CASE WHEN abs({value}) > 1e-3 THEN ' ' || {sign} || printf('%.3f', {value}) || '{name}' ELSE '' END"
+
+
+@query("model_equation_two_features", with_(*RISK_CTES, TWO.format(a="0")) + "SELECT 'y =' || " + " || ".join([
+    term("b1", " * temperature", "true"), term("b2", " * forest_cover", "abs(b1) <= 1e-3"),
+    term("(my-b1*mx-b2*mz)", "", "abs(b1) <= 1e-3 AND abs(b2) <= 1e-3")]) + " AS equation FROM b")
+def model_equation_two_features(spark, d):
+    model = models.fit_model(training(spark, d), ["temperature", "forest_cover"], TARGET, "linear", with_metrics=False)
+    return spark.createDataFrame([(model.equation(),)], "equation string")
+
+
+ALPHAS = [10.0 ** (-4 + 6 * i / 49) for i in range(50)]
 
 
 @query("regularization_path", RISK_SQL + "SELECT alpha, feature, " + R("sxy/(sxx+alpha)") + " AS coefficient, " + R(
@@ -115,13 +128,13 @@ def regularization_path(spark, d):
 
 @query("lasso_path")
 def lasso_path(spark, d):
-    return tidy(models.regularization_path(spark, training(spark, d), FEATURES, TARGET, "lasso", [0.1, 0.01, 0.001]))
+    return tidy(models.regularization_path(spark, training(spark, d), FEATURES, TARGET, "lasso", ALPHAS))
 
 
 @query("class_probabilities")
 def class_probabilities(spark, d):
     table = training(spark, d).withColumn("level", F.when(F.col(TARGET) < 0.3, 0).when(F.col(TARGET) < 0.6, 1).otherwise(2))
-    model = models.fit_classifier(table, FEATURES, "level", {"n_estimators": 10, "max_depth": 6})
+    model = models.fit_classifier(table, FEATURES, "level")
     out = models.predict_proba(model, table)
     return tidy(out.select("row_id", F.col("predicted").cast("int").alias("level"),
                            F.array_max("probabilities").alias("probability")))
@@ -134,8 +147,8 @@ SPECS = {"linear": {"kind": "linear"}, "ridge": {"kind": "ridge", "params": {"al
 
 def compared(spark, d):
     train, test = split_sets(spark, d)
-    fitted, _ = models.train_all(train, FEATURES, TARGET, SPECS)
-    return models.comparison_table(spark, fitted, test, "linear")
+    fitted, failed = models.train_all(train, FEATURES, TARGET, SPECS)
+    return models.comparison_table(spark, fitted, test, "linear", failed)
 
 
 @query("model_comparison")
@@ -167,24 +180,24 @@ def cross_validation_summary(spark, d):
 
 @query("cross_validation_time_series")
 def cross_validation_time_series(spark, d):
-    return tidy(crossval.regression_cv(training(spark, d), FEATURES, TARGET, "row_id", "linear", k=3, cv_type="timeseries", time="obs_date"))
+    return tidy(crossval.regression_cv(training(spark, d), FEATURES, TARGET, "row_id", "linear", cv_type="timeseries", time="obs_date"))
 
 
 @query("cross_validation_classes")
 def cross_validation_classes(spark, d):
     table = training(spark, d).withColumn("level", (F.col(TARGET) >= 0.35).cast("int"))
-    return tidy(crossval.classification_cv(table, FEATURES, "level", "row_id", 3, {"n_estimators": 5, "max_depth": 4}))
+    return tidy(crossval.classification_cv(table, FEATURES, "level", "row_id", 5, {"n_estimators": 100, "max_depth": 12}))
 
 
 @query("cross_validation_comparison")
 def cross_validation_comparison(spark, d):
     specs = {"linear": {"kind": "linear"}, "ridge": {"kind": "ridge", "params": {"alpha": 10.0}}}
-    return tidy(crossval.compare_by_cv(training(spark, d), FEATURES, TARGET, "row_id", specs, 3))
+    return tidy(crossval.compare_by_cv(training(spark, d), FEATURES, TARGET, "row_id", specs))
 
 
 @query("learning_curve")
 def learning_curve(spark, d):
-    return tidy(crossval.learning_curve(training(spark, d), FEATURES, TARGET, "row_id", "linear", sizes=[0.25, 0.5, 1.0], k=3))
+    return tidy(crossval.learning_curve(training(spark, d), FEATURES, TARGET, "row_id", "linear"))
 
 
 def forest(spark, d):
@@ -222,17 +235,17 @@ def ensemble_uncertainty(spark, d):
 @query("partial_dependence")
 def partial_dependence(spark, d):
     table, model = forest(spark, d)
-    return tidy(models.partial_dependence(model, table, "forest_cover", 20))
+    return tidy(models.partial_dependence(model, table, "forest_cover", 100))
 
 
 @query("partial_dependence_linear", with_(*RISK_CTES, TWO.format(a="0")) + f"""
 , g AS (SELECT DISTINCT forest_cover AS v FROM risk), q AS (SELECT quantile_cont(forest_cover, 5e-2) AS lo, quantile_cont(forest_cover, 95e-2) AS hi FROM risk),
-pts AS (SELECT v FROM g WHERE (SELECT count(*) FROM g) <= 25 UNION ALL SELECT lo+(hi-lo)*i/24e0 FROM q, range(25) r(i) WHERE (SELECT count(*) FROM g) > 25)
+pts AS (SELECT v FROM g WHERE (SELECT count(*) FROM g) <= 100 UNION ALL SELECT lo+(hi-lo)*i/99e0 FROM q, range(100) r(i) WHERE (SELECT count(*) FROM g) > 100)
 SELECT {R('v')} AS grid_value, {R('my-b2*mz+b2*v')} AS average FROM pts, b""")
 def partial_dependence_linear(spark, d):
     table = training(spark, d)
     model = models.fit_model(table, ["temperature", "forest_cover"], TARGET, "linear", with_metrics=False)
-    return tidy(models.partial_dependence(model, table, "forest_cover", 25))
+    return tidy(models.partial_dependence(model, table, "forest_cover", 100))
 
 
 @query("boosting_history")
@@ -306,11 +319,11 @@ def model_risk_zones(spark, d):
 
 
 @query("model_heatmap", with_(t.LANDCELL_SQL) + f"""
-SELECT node_id, {R(LINEAR_RISK)} AS risk_score FROM (SELECT iy*80+ix AS node_id, * FROM landcell) ORDER BY (node_id*2654435761) % 4294967296 LIMIT 1000""")
+SELECT node_id, {R(LINEAR_RISK)} AS risk_score FROM (SELECT iy*80+ix AS node_id, * FROM landcell)""")
 def model_heatmap(spark, d):
     cells, model = land_model(spark, d)
     nodes = cells.withColumn("node_id", F.col("iy") * 80 + F.col("ix"))
-    return tidy(scoring.heatmap(nodes, model, "node_id", 1000).select("node_id", "risk_score"))
+    return tidy(scoring.heatmap(nodes, model, "node_id").select("node_id", "risk_score"))
 
 
 @query("forest_confidence")
@@ -392,12 +405,39 @@ def prediction_log(spark, d):
 @query("insert_if_absent", """SELECT CAST(count(DISTINCT p_brand) AS BIGINT) AS models, CAST(0 AS BIGINT) AS repeats FROM part""")
 def insert_if_absent(spark, d):
     path = scratch(spark, "model_metrics")
-    rows = t.table(spark, d, "part").groupBy(F.col("p_brand").alias("model_name")).agg(F.min("p_retailprice").alias("rmse"))
+    rows = t.table(spark, d, "part").select(F.col("p_brand").alias("model_name"), F.col("p_retailprice").alias("rmse"))  # many rows of a key
     sinks.insert_if_absent(rows, path, "model_name")
     again = sinks.insert_if_absent(rows, path, "model_name")
     return spark.read.parquet(path).agg(F.count(F.lit(1)).alias("models")).withColumn("repeats", F.lit(again).cast("bigint"))
 
 
+@query("upserted_metrics", """WITH one AS (SELECT p_brand AS model_name, min(p_retailprice) AS rmse FROM part WHERE p_size <= 30 GROUP BY p_brand),
+two AS (SELECT p_brand AS model_name, min(p_retailprice) AS rmse FROM part WHERE p_size > 30 AND p_brand < 'Brand#4' GROUP BY p_brand)
+SELECT coalesce(two.model_name, one.model_name) AS model_name, """ + R("coalesce(two.rmse, one.rmse)") + " AS rmse FROM one FULL JOIN two ON one.model_name = two.model_name")
+def upserted_metrics(spark, d):
+    path = scratch(spark, "metrics")
+    rows = t.table(spark, d, "part").select(F.col("p_brand").alias("model_name"), F.col("p_retailprice").alias("rmse"), "p_size")
+    sinks.upsert(rows.where("p_size <= 30").select("model_name", "rmse"), path, "model_name")
+    newest = sinks.upsert(rows.where("p_size > 30 AND model_name < 'Brand#4'").select("model_name", "rmse"), path, "model_name")
+    return tidy(spark.read.parquet(newest))
+
+
+@query("feedback_log", "SELECT event_type AS kind, CAST(2*count(*) AS BIGINT) AS n FROM events GROUP BY event_type")
+def feedback_log(spark, d):
+    path = scratch(spark, "feedback")
+    rows = t.table(spark, d, "events").select("event_id", F.col("event_type").alias("kind"), "value")
+    for _ in range(2):
+        sinks.append_feedback(rows, path)
+    return spark.read.parquet(path).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("climate_csv_round_trip", with_(t.CLIMATE_SQL) + f"SELECT l_orderkey, l_linenumber, obs_date, {RA('latitude', 'longitude', 'temperature', 'precipitation', 'humidity', 'wind_speed')} FROM climate")
+def climate_csv_round_trip(spark, d):
+    table = t.climate_daily(spark, d).drop("ix", "iy")
+    path = sinks.write_processed(table, scratch(spark, "climate.csv"), "csv")
+    return tidy(readers.load_data_file(spark, path, table.schema))
+
+
 @query("file_listing")
 def file_listing(spark, d):
     path = scratch(spark, "listed")
@@ -438,6 +478,13 @@ def stream_daily_totals(spark, d):
     return totals.select("day", "event_type", "n", rounded(F.col("total"), 4).alias("total"))
 
 
+@query("stream_daily_updates", """SELECT CAST(ts AS DATE) AS day, event_type, CAST(count(*) AS BIGINT) AS n, """ + R("sum(value)", 4) + " AS total FROM events GROUP BY ALL")
+def stream_daily_updates(spark, d):
+    """As ``stream_daily_totals``, but with state that ends at the watermark."""
+    daily = ingest.daily_totals(event_stream(spark, d), "ts", ["event_type"], "value")
+    return ingest.run_updates(daily, ["day", "event_type"]).select("day", "event_type", "n", rounded(F.col("total"), 4).alias("total"))
+
+
 @query("stream_monthly_means", with_(t.CLIMATE_SQL) + f"""SELECT ix, iy, CAST(date_trunc('month', obs_date) AS DATE) AS month, {R('avg(temperature)')} AS temperature, {R('avg(precipitation)')} AS precipitation
 FROM climate GROUP BY ix, iy, date_trunc('month', obs_date)""")
 def stream_monthly_means(spark, d):

@@ -197,10 +197,10 @@ def scatter_sample(spark, d):
 
 
 @query("latest_records_in_bounds", with_(t.OCCURRENCE_SQL) + f"""SELECT occ_id, species_name, {RA('latitude', 'longitude')} FROM occurrence
-WHERE longitude BETWEEN 73e0 AND 78e0 AND latitude BETWEEN 16e0 AND 20e0 AND basis_of_record IN ('view', 'purchase', 'click') ORDER BY occ_id LIMIT 300""")
+WHERE longitude BETWEEN 73e0 AND 78e0 AND latitude BETWEEN 16e0 AND 20e0 AND basis_of_record IN ('view', 'purchase', 'click')""")
 def latest_records_in_bounds(spark, d):
     from greenlattice.sources.landed import fetch_occurrences
-    return tidy(fetch_occurrences(t.occurrence(spark, d), (73.0, 16.0, 78.0, 20.0), ["view", "purchase", "click"], "occ_id", 300)
+    return tidy(fetch_occurrences(t.occurrence(spark, d), (73.0, 16.0, 78.0, 20.0), ["view", "purchase", "click"])
                 .select("occ_id", "species_name", "latitude", "longitude"))
 
 

@@ -33,18 +33,28 @@ def build_session(app: str = "greenlattice", master: str | None = None, **conf:
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as the cluster names it.
 
-    Only a local session (a test) may fall back to a temporary folder.
+    Only a single-process session (a test) that names none may fall back to a temporary folder.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
     path = tempfile.mkdtemp(prefix="greenlattice-")
     spark.conf.set("spark.checkpoint.dir", path)
     return path
 
 
+def stage_path(spark: SparkSession) -> str:
+    """A new path below the application's own folder, which goes when the application ends."""
+    folder = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}"
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(folder)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return f"{folder}/stage-{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` once as parquet in the shared folder and read it back.
 
@@ -53,6 +63,6 @@ def materialize(df: DataFrame) -> DataFrame:
     scans.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
+    path = stage_path(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

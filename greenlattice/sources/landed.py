@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
-REQUEST_CAP = 300
 RECORD_FIELDS = T.StructType([
     T.StructField("decimalLatitude", T.DoubleType()), T.StructField("decimalLongitude", T.DoubleType()),
     T.StructField("species", T.StringType()), T.StructField("scientificName", T.StringType()),
@@ -14,20 +13,17 @@ RECORD_FIELDS = T.StructType([
 
 
 def fetch_occurrences(landed: DataFrame, bounds: tuple[float, float, float, float], basis: list[str] | None,
-                      order: str, limit: int = 10_000, cap: int | None = REQUEST_CAP) -> DataFrame:
-    """Landed occurrences inside bounds and of the wanted kinds, the first ``limit`` by ``order``.
-
-    ``cap`` is the source's own most rows per request.
-    """
+                      order: str | None = None, limit: int | None = None) -> DataFrame:
+    """Landed occurrences inside bounds and of the wanted kinds: all, or the first ``limit`` by ``order``."""
     min_lon, min_lat, max_lon, max_lat = bounds
     rows = landed.where(F.col("longitude").between(min_lon, max_lon) & F.col("latitude").between(min_lat, max_lat))
     if basis:
         rows = rows.where(F.col("basis_of_record").isin(basis))
-    return rows.orderBy(order).limit(min(limit, cap) if cap else limit)
-
-
-def record_limit(limit: int) -> int:
-    return min(max(limit, 10), 2000)
+    if limit is None:
+        return rows
+    if order is None:
+        raise ValueError("a limit needs an order")
+    return rows.orderBy(order).limit(limit)
 
 
 def flatten_records(landed: DataFrame, column: str = "value", keep: list[str] | None = None) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from greenlattice.operators.zones import point_feature, zone_feature
 
@@ -78,25 +78,63 @@ def append_predictions(scored: DataFrame, path: str, model_version: str, feature
 
 
 def rows_to_insert(fresh: DataFrame, existing: DataFrame, key: str) -> DataFrame:
-    """Fresh rows whose key is not stored yet (one row per key)."""
-    return fresh.join(existing.select(key).distinct(), key, "left_anti")
+    """Fresh rows whose key is not stored yet; of fresh rows with one key the least."""
+    return one_per_key(fresh, key).join(existing.select(key).distinct(), key, "left_anti").select(*fresh.columns)
+
+
+def one_per_key(rows: DataFrame, key: str) -> DataFrame:
+    """The least row (by all columns, key first) of each key, combined before the shuffle."""
+    rest = [c for c in rows.columns if c != key]
+    least = rows.groupBy(key).agg(F.min(F.struct(key, *rest)).alias("_row"))
+    return least.select(*[F.col(f"_row.{c}").alias(c) for c in rows.columns])
 
 
 def insert_if_absent(fresh: DataFrame, path: str, key: str) -> int:
-    """Append rows with an unseen key to the parquet table at ``path``; returns how many."""
+    """Append one row for each unseen key to the parquet table at ``path``; returns how many.
+
+    The source runs once: the rows are counted while they are written.
+    """
     spark = fresh.sparkSession
     try:
         existing = spark.read.parquet(path)
     except Exception as error:  # noqa: BLE001 - only a missing table counts as empty
         if "PATH_NOT_FOUND" not in str(error):
             raise
-        rows = fresh
+        rows = one_per_key(fresh, key)
     else:
         rows = rows_to_insert(fresh, existing, key)
-    count = rows.count()
-    if count:
-        rows.write.mode("append").parquet(path)
-    return count
+    seen = Observation()
+    rows.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("append").parquet(path)
+    return seen.get["n"]
+
+
+def upsert(fresh: DataFrame, path: str, key: str) -> str:
+    """A new version of the table at ``path`` with the fresh row of each key that has one.
+
+    Returns the folder of the version; ``path`` itself holds one folder per version, so a
+    reader never sees a table that is being written.
+    """
+    spark = fresh.sparkSession
+    fresh = one_per_key(fresh, key)
+    version = latest_version(spark, path)
+    if version is not None:
+        old = spark.read.parquet(f"{path}/version={version}")
+        fresh = old.join(fresh.select(key), key, "left_anti").select(*old.columns).unionByName(fresh)
+    target = f"{path}/version={0 if version is None else version + 1}"
+    fresh.write.parquet(target)
+    return target
+
+
+def latest_version(spark: SparkSession, path: str) -> int | None:
+    """Number of the newest committed version below ``path``; None if there is none."""
+    try:
+        found = list_files(spark, path, "part-*").select(
+            F.regexp_extract("path", r"/version=(\d+)/", 1).cast("int").alias("v")).agg(F.max("v")).first()[0]
+    except Exception as error:  # noqa: BLE001 - only a missing table counts as empty
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+        return None
+    return found
 
 
 def append_feedback(feedback: DataFrame, path: str) -> None:

@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F, types as T
 
+from greenlattice.functions.numeric import scatter_key
 from greenlattice.operators import crossval, metrics, models, scoring, splits
 from greenlattice.sources import landed, readers, sinks
 from greenlattice.streaming import ingest
@@ -181,7 +182,12 @@ def test_flatten_records(spark):
             {"decimalLatitude": 1.0, "decimalLongitude": 2.0, "year": "1999"}, {"species": "Elm"}]
     rows = spark.createDataFrame([(json.dumps(x),) for x in docs], "value string")
     assert [(r["species_name"], r["year"]) for r in landed.flatten_records(rows).collect()] == [("Oak", 2020), ("Quercus", 1999), ("Unknown", None)]
-    assert landed.record_limit(1) == 10 and landed.record_limit(10**6) == 2000
+
+
+def test_fetch_has_no_limit_of_its_own(spark):
+    rows = spark.range(20_000).selectExpr("id AS occ_id", "1.0D AS longitude", "2.0D AS latitude", "'a' AS basis_of_record")
+    assert landed.fetch_occurrences(rows, (0, 0, 5, 5), None).count() == 20_000
+    assert landed.fetch_occurrences(rows, (0, 0, 5, 5), ["a"], "occ_id", 10_001).count() == 10_001
 
 
 def test_reports_written(spark, df, tmp_path):
@@ -198,6 +204,45 @@ def test_insert_if_absent_and_listing(spark, tmp_path):
     assert sinks.insert_if_absent(rows, path, "model_name") == 2
     assert sinks.insert_if_absent(rows.unionByName(spark.createDataFrame([("o", 3.0)], rows.schema)), path, "model_name") == 1
     assert sinks.list_files(spark, path, "*.parquet").where("size > 0").count() >= 1
+    twice = spark.createDataFrame([("p", 5.0), ("p", 4.0), ("m", 9.0)], rows.schema)
+    assert sinks.insert_if_absent(twice, path, "model_name") == 1
+    assert spark.read.parquet(path).where("model_name = 'p'").first()["rmse"] == 4.0
+
+
+def test_upsert_keeps_one_row_per_key(spark, tmp_path):
+    make = lambda *rows: spark.createDataFrame(list(rows), "k long, v string")
+    path = str(tmp_path / "t")
+    sinks.upsert(make((1, "a"), (2, "b")), path, "k")
+    last = sinks.upsert(make((2, "c"), (3, "d"), (3, "e")), path, "k")
+    assert sorted(map(tuple, spark.read.parquet(last).collect())) == [(1, "a"), (2, "c"), (3, "d")]
+    assert sinks.latest_version(spark, path) == 1 and sinks.latest_version(spark, str(tmp_path / "none")) is None
+
+
+def test_late_rows_and_empty_streams(spark, tmp_path):
+    source = str(tmp_path / "in")
+    st = spark.createDataFrame([], "id bigint, ts timestamp, v double").schema
+    row = lambda i, day: spark.createDataFrame([(i, day, 1.0)], "id bigint, ts string, v double").withColumn("ts", F.col("ts").cast("timestamp"))
+    spark.createDataFrame([], st).write.parquet(source)
+    totals = lambda: ingest.daily_totals(ingest.stream_table(spark, source, "*.parquet", st, 1), "ts", [], "v")
+    assert ingest.run_complete(ingest.daily_totals(ingest.stream_table(spark, source, "none*", st), "ts", [], "v")).count() == 0
+    keep = {"path": str(tmp_path / "out"), "checkpoint": str(tmp_path / "ck")}
+    for i, day in enumerate(["2024-01-01", "2024-01-10", "2024-01-10", "2024-01-02"]):  # the last one is behind the watermark
+        row(i, day).coalesce(1).write.mode("append").parquet(source)
+        got = ingest.run_updates(totals(), ["day"], **keep)
+    assert {str(r["day"]): r["n"] for r in got.collect()} == {"2024-01-01": 1, "2024-01-10": 2}
+
+
+def test_scatter_order_of_large_ids(spark):
+    ids = [0, 1, 5, 2**31, 2**32 - 1, 2**32, 2**33 + 7, 3_470_000_000, 2**62, 2**63 - 1, -1, -(2**63)]
+    got = {r["id"]: r["k"] for r in spark.createDataFrame([(i,) for i in ids], "id long").select("id", scatter_key(F.col("id")).alias("k")).collect()}
+    assert len(set(got.values())) == len(ids)
+    small = [i for i in ids if 0 <= i < 2**32]
+    assert sorted(small, key=got.get) == sorted(small, key=lambda i: i * 2654435761 % 2**32)
+    big = spark.range(1000).selectExpr(f"id * 7 + {2**62} AS id")
+    sizes = {r["fold"]: r["count"] for r in splits.kfold(big, "id", 5).groupBy("fold").count().collect()}
+    assert sizes == {i: 200 for i in range(5)}
+    labels = {r["split"]: r["count"] for r in splits.train_test_labels(big, "id", 0.2).groupBy("split").count().collect()}
+    assert labels == {"test": 200, "train": 800}
 
 
 def test_stream_resumes_from_its_checkpoint(spark, tmp_path):
