@@ -46,7 +46,7 @@ SAMPLE = 8  # places of a sample
 BLOCK_ITEMS = 20_000  # items whose keys are in the workers at a time: some 100 MB
 PUNCTUATION = ".,;:!?\"'()[]{}«»“”‘’…-–—*#"
 WORKED_ROWS = 256
-CACHE = 400_000
+CACHE = 200_000  # words kept at hand
 
 
 class Known(dict):

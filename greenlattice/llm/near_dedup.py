@@ -46,7 +46,7 @@ LEAST_PERCENT = 75
 BIN_BITS = 10  # a sketch has 1024 bytes
 MEET = 4096  # members of a key that meet in one task
 BLOCK = 2048
-CACHE = 400_000
+CACHE = 200_000  # words kept at hand
 
 _rng = np.random.default_rng(20_231)
 WEIGHTS = _rng.integers(1, 2**63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

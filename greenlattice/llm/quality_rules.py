@@ -9,11 +9,9 @@ Nulls: a null text has no words and fails the base rule; null language or source
 group of its own. Repeated rows are judged alike. An empty table gives an empty result.
 """
 
-from __future__ import annotations
-
 from collections import Counter
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +27,7 @@ FENCE = 5.0  # spreads above the upper quartile
 LEAST = 200  # documents from which a group has limits of its own
 SCHEMA = ("n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
           "n_lines long, n_caps long, n_exclaims long")
+FIELDS = [c.split()[0] for c in SCHEMA.split(", ")]
 
 
 def repeated_words(words: list[bytes]) -> int:
@@ -54,9 +53,10 @@ def text_counts(text: str) -> tuple[int, ...]:
             0 if text.islower() else sum(map(str.isupper, text)), text.count("!"))
 
 
-def _count_texts(texts: pd.Series) -> pd.DataFrame:
-    rows = [text_counts(t or "") for t in texts]
-    return pd.DataFrame(rows, columns=[c.split()[0] for c in SCHEMA.split(", ")])
+def _count_texts(texts: pa.Array) -> pa.Array:
+    """Counts per text; one text at a time is a Python string."""
+    columns = list(zip(*(text_counts(t.as_py() or "") for t in texts))) or [()] * len(FIELDS)
+    return pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in columns], names=FIELDS)
 
 
 def with_counts(docs: DataFrame) -> DataFrame:
@@ -67,7 +67,7 @@ def with_counts(docs: DataFrame) -> DataFrame:
               "dup_line_ratio": c.n_dup_lines / lines, "exclaim_ratio": c.n_exclaims / words,
               "caps_ratio": c.n_caps / F.greatest(c.word_chars, F.lit(1))}
     fields = [c[name].alias(name) for name in COUNTS] + [ratios[name].alias(name) for name in RATIOS]
-    return docs.withColumn("_raw", F.pandas_udf(_count_texts, SCHEMA)("text")).withColumn("_counts", F.struct(*fields)).drop("_raw")
+    return docs.withColumn("_raw", F.arrow_udf(_count_texts, SCHEMA)("text")).withColumn("_counts", F.struct(*fields)).drop("_raw")
 
 
 def base_failed(c: Column) -> Column:
