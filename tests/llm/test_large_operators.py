@@ -340,6 +340,23 @@ def test_classifier_keeps_prose_and_drops_junk(spark):
     assert language_model.classify(df.where("false"), labels).count() == 0
 
 
+def test_classifier_drops_toxic_prose(spark):
+    rng = random.Random(3)
+    syllables = "ta re mi so lu ne va ki do pe".split()
+
+    def words(n):
+        return ["".join(rng.choices(syllables, k=rng.randint(1, 4))) for _ in range(n)]
+
+    def toxic():  # prose with a rude word among some fifty
+        return " ".join(rng.choice(["sbam", "wogth", "fokt"]) if rng.random() < 0.02 else w for w in words(200))
+
+    rows = [(i, " ".join(words(200)) if i < 2000 else toxic(), "en", "a", 0) for i in range(2300)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(1200)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r.kept for r in language_model.classify(spark.createDataFrame(rows, DOCS), labels).collect()}
+    assert sum(got[i] for i in range(1200, 2000)) >= 0.95 * 800  # clean and not read by the model
+    assert sum(not got[i] for i in range(2000, 2300)) >= 0.9 * 300
+
+
 # --- pipeline and register --------------------------------------------------------------------------
 
 
