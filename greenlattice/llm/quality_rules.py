@@ -1,8 +1,8 @@
 """Quality rules whose limits follow the data: mergeable quantile sketches per language and source.
 
 Counts per document are taken over the whole text. A sketch per (language, source) and
-ratio says where the middle half of the documents lies; a document fails if a ratio lies
-far above it. Groups with few documents take the limits of their language, and languages
+ratio says where its median and upper tail lie; a document fails if a ratio lies far above
+the tail, and by more than one count in its own length. Groups with few documents take the limits of their language, and languages
 with few those of all documents: the sketches are merged, the texts are read once.
 
 Nulls: a null text has no words and fails the base rule; null language or source is a
@@ -21,9 +21,11 @@ COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 SPACE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
-#: Ratio, and the least spread that its limit reckons with (one step of a short text).
-RATIOS = {"symbol_ratio": 0.05, "repeat_ratio": 0.05, "dup_line_ratio": 0.12, "caps_ratio": 0.08, "exclaim_ratio": 0.05}
-FENCE = 5.0  # spreads above the upper quartile
+#: Ratio, and what one count of it is in how many of the document's units.
+RATIOS = {"symbol_ratio": (1, "n_words"), "repeat_ratio": (2 * WINDOW, "n_words"), "dup_line_ratio": (1, "n_lines"),
+          "caps_ratio": (1, "word_chars"), "exclaim_ratio": (1, "n_words")}
+TAIL = 0.9  # quantile of a group
+FENCE = 5.0  # times its distance from the median above it
 LEAST = 200  # documents from which a group has limits of its own
 SCHEMA = ("n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
           "n_lines long, n_caps long, n_exclaims long")
@@ -66,7 +68,7 @@ def with_counts(docs: DataFrame) -> DataFrame:
     ratios = {"symbol_ratio": c.n_symbols / words, "repeat_ratio": c.n_repeat_words / words,
               "dup_line_ratio": c.n_dup_lines / lines, "exclaim_ratio": c.n_exclaims / words,
               "caps_ratio": c.n_caps / F.greatest(c.word_chars, F.lit(1))}
-    fields = [c[name].alias(name) for name in COUNTS] + [ratios[name].alias(name) for name in RATIOS]
+    fields = [c[name].alias(name) for name in [*COUNTS, "n_lines"]] + [ratios[name].alias(name) for name in RATIOS]
     return docs.withColumn("_raw", F.arrow_udf(_count_texts, SCHEMA)("text")).withColumn("_counts", F.struct(*fields)).drop("_raw")
 
 
@@ -89,9 +91,9 @@ def limits(counted: DataFrame) -> DataFrame:
 
     def fences(df: DataFrame, tag: str, *by: Column | str) -> DataFrame:
         out = []
-        for r, least in RATIOS.items():
-            low, high = (F.kll_sketch_get_quantile_double(F.col(r), F.lit(q)) for q in (0.25, 0.75))
-            out.append((high + FENCE * F.greatest(high - low, F.lit(least))).alias(f"{tag}_{r}"))
+        for r in RATIOS:
+            mid, high = (F.kll_sketch_get_quantile_double(F.col(r), F.lit(q)) for q in (0.5, TAIL))
+            out.append((high + FENCE * (high - mid)).alias(f"{tag}_{r}"))
         return df.select(*by, F.col("n").alias(f"{tag}_n"), *out)
 
     # no rows, no sketch to ask
@@ -108,8 +110,9 @@ def judge(counted: DataFrame, fences: DataFrame) -> DataFrame:
     on = F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source"))
     c = F.col("_counts")
     within = F.lit(True)
-    for r in RATIOS:
-        within = within & (c[r] <= F.col(f"_most_{r}"))
+    for r, (count, units) in RATIOS.items():
+        one = count / F.greatest(c[units], F.lit(1))
+        within = within & (c[r] <= F.greatest(F.col(f"_most_{r}"), one) + 1e-12)
     joined = counted.join(small(fences), on, "left")
     return (joined.withColumn("_failed", base_failed(c))
             .withColumn("_kept", ~F.col("_failed") & F.coalesce(within, F.lit(True)))

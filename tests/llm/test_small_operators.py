@@ -56,6 +56,26 @@ def test_quality_limits_follow_the_group(spark):
     assert staged.columns == df.columns and {r.doc_id for r in staged.collect()} == {i for i, k in kept.items() if k}
 
 
+def test_quality_limits_have_no_fixed_floor(spark):
+    rng = random.Random(7)
+
+    def prose(marks=0, words=60):
+        out = [f"w{rng.randint(0, 10**6)}" for _ in range(words)]
+        return " ".join(w + "#" if i < marks else w for i, w in enumerate(out))
+
+    rows = [(i, prose(), "en", "plain", 0, None, "x") for i in range(300)]
+    rows += [(1000 + i, prose(rng.randint(0, 12)), "en", "mixed", 0, None, "x") for i in range(300)]
+    half = "\n".join([prose(0, 9) for _ in range(10)] + ["a short line"] * 10)
+    rows += [(5000, prose(12), "en", "plain", 0, None, "x"), (5001, prose(12), "en", "mixed", 0, None, "x"),
+             (5002, prose(1), "en", "plain", 0, None, "x"), (5003, half, "en", "plain", 0, None, "x")]
+    df = spark.createDataFrame(rows, DOCS)
+    kept = {r.doc_id: r.kept for r in quality_rules.quality(df).collect()}
+    assert all(kept[i] for i in range(300)) and all(kept[1000 + i] for i in range(300))
+    assert not kept[5000] and kept[5001] and kept[5002] and not kept[5003]
+    most = {r._source: r._most_symbol_ratio for r in quality_rules.limits(quality_rules.with_counts(df)).collect()}
+    assert most["plain"] == 0 and 0.5 < most["mixed"] < 1
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], DOCS)
     assert quality_rules.quality(none).count() == 0 and quality_rules.stage(spark, none, "").count() == 0
