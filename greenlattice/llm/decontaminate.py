@@ -1,18 +1,13 @@
-"""Benchmark decontamination: CGK embedding, bit-sampling LSH over item-sized windows, exact edit check.
+"""Benchmark decontamination: exact keys of item parts (pigeonhole), exact edit check.
 
 Texts are sequences of words (lower-cased, outer punctuation off). A document contains an
 item if some stretch of it is within ``EDITS`` (a fifth) of the item's words, by word edit
-distance. The CGK random walk copies a word and steps on or stays, by a random function of
-step and word, so sequences at small edit distance agree in most places of the walk: edit
-distance becomes Hamming distance.
-
-* Items fall into size classes. A class has windows of ``SHARE`` of its least item length,
-  all offsets of the items and every stride-th offset of the documents, so that each
-  occurrence holds a document window that is wholly inside and aligned with an item window.
-* Each walk is sampled in segments, each sample is a key; ``WALKS`` walks repeat it.
-  An unedited occurrence always agrees. With one word in ten edited, 0.97 or more of the
-  occurrences meet (measured in tests against brute force).
-* A hit is confirmed by the exact edit distance of the item to the text around the window.
+distance.
+
+* An item is cut into one part more than it may have edits. An edit spoils one part at most,
+  so each occurrence holds a part unedited: no occurrence is lost, whatever its length.
+* Every stretch of a document that is as long as a part is looked up among the parts.
+* A hit is confirmed by the exact edit distance of the item to the text around it.
 
 The benchmark is the stated query set: its keys go to the workers in blocks of a fixed
 number of items, and every block meets all documents where they are read. Nothing about
@@ -25,7 +20,6 @@ items each. Without items or documents the result is empty.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,12 +31,6 @@ from pyspark.sql import types as T
 from greenlattice.llm.common import keep, query, small, table
 
 EDITS = 0.2  # of the item's words
-SHARE = 0.7  # of a class's least item length: its window
-GROWTH = 1.6  # from one class to the next
-SHORT = 8  # items below are a class for each length, looked at word by word
-WALKS = 4
-SEGMENT = 8  # steps that a sample is spread over at least
-SAMPLE = 8  # places of a sample
 BLOCK_ITEMS = 20_000  # items whose keys are in the workers at a time: some 100 MB
 PUNCTUATION = ".,;:!?\"'()[]{}«»“”‘’…-–—*#"
 WORKED_ROWS = 256
@@ -72,53 +60,11 @@ class Words:
         return h[h != 0]
 
 
-def size_class(n: int) -> tuple[int, int, int]:
-    """(least length, window, stride) of the class of items with ``n`` words."""
-    if n < SHORT:
-        return n, n, 1
-    low = SHORT
-    while int(low * GROWTH) <= n:
-        low = int(low * GROWTH)
-    window = max(1, round(low * SHARE))
-    return low, window, low - window + 1
-
-
-@lru_cache(maxsize=None)
-def plan(low: int, window: int, walk: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Step multipliers of one walk, and the places of its samples."""
-    rng = np.random.default_rng((low, window, walk))
-    multipliers = rng.integers(1, 2**31, window, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-    parts = max(1, window // SEGMENT)
-    edges = np.linspace(0, window, parts + 1).astype(int)
-    samples = [np.sort(rng.permutation(np.arange(a, b))[:SAMPLE]) for a, b in zip(edges, edges[1:])]
-    return multipliers, samples
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     return x ^ (x >> np.uint64(29))
 
 
-def window_keys(words: np.ndarray, starts: np.ndarray, low: int, window: int) -> Iterator[np.ndarray]:
-    """One array of keys (a key per start) for each walk and sample.
-
-    A walk has as many steps as the window has words, so it never leaves the window.
-    """
-    short = (words >> np.uint64(32)).astype(np.uint32)
-    for walk in range(WALKS):
-        multipliers, samples = plan(low, window, walk)
-        sampled = {int(p): s for s, places in enumerate(samples) for p in places}
-        keys = [np.full(len(starts), low * 1_000_003 + walk * 1009 + s, np.uint64) for s in range(len(samples))]
-        at = starts.astype(np.int64)
-        for step in range(window):
-            here = short[at]
-            if step in sampled:
-                s = sampled[step]
-                keys[s] = keys[s] * np.uint64(0x9E3779B97F4A7C15) + here
-            at += (here * multipliers[step]) >> np.uint32(31)
-        yield from map(mixed, keys)
-
-
 def edit_distance(item: np.ndarray, text: np.ndarray) -> int:
     """Least word edits from ``item`` to a stretch of ``text`` (bit-parallel, exact)."""
     n = len(item)
@@ -146,63 +92,66 @@ def edit_distance(item: np.ndarray, text: np.ndarray) -> int:
     return best
 
 
+def parts_of(n: int) -> list[tuple[int, int]]:
+    """Bounds of one part more than an item of ``n`` words may have edits: one of them stands unedited."""
+    parts = int(EDITS * n) + 1
+    edges = [n * i // parts for i in range(parts + 1)]
+    return list(zip(edges, edges[1:]))
+
+
+def gram_keys(words: np.ndarray, size: int) -> np.ndarray:
+    """A key for each stretch of ``size`` words."""
+    n = max(0, len(words) - size + 1)
+    keys = np.full(n, size, np.uint64)
+    for step in range(size):
+        keys = mixed(keys * np.uint64(0x9E3779B97F4A7C15) + words[step:step + n])
+    return keys
+
+
 class Index:
-    """Keys of a block of items."""
+    """Keys of the parts of a block of items."""
 
     def __init__(self, items: list[tuple[int, str]]) -> None:
         words = Words()
         self.ids = [i for i, _ in items]
         self.words = [words.of(t or "") for _, t in items]
-        self.classes = sorted({size_class(len(w)) for w in self.words if len(w)})
-        keys, owners = [], []
-        for at, w in enumerate(self.words):
-            if len(w):
-                low, window, _ = size_class(len(w))
-                for k in window_keys(w, np.arange(len(w) - window + 1), low, window):
-                    keys.append(k)
-                    owners.append(np.full(len(k), at))
-        k = np.concatenate(keys) if keys else np.empty(0, np.uint64)
-        o = np.concatenate(owners) if owners else np.empty(0, np.int64)
-        pairs = np.unique(np.stack([k, o.astype(np.uint64)]), axis=1) if len(k) else np.empty((2, 0), np.uint64)
-        self.keys, self.owners = pairs[0], pairs[1].astype(np.int64)
+        rows = sorted((int(gram_keys(w[a:b], b - a)[0]), at, a, b - a) for at, w in enumerate(self.words) if len(w) for a, b in parts_of(len(w)))
+        self.keys = np.array([r[0] for r in rows], np.uint64)
+        self.owners, self.offsets = (np.array([r[k] for r in rows], np.int64) for k in (1, 2))
+        self.sizes = sorted({r[3] for r in rows})
         self.bits = 20
         while 1 << self.bits < 64 * len(self.keys) and self.bits < 27:
             self.bits += 1
         self.may = np.zeros(1 << self.bits, np.bool_)
         self.may[self.keys >> np.uint64(64 - self.bits)] = True
-        self.longest = {c: max(len(w) for w in self.words if len(w) and size_class(len(w)) == c) for c in self.classes}
 
     def hits(self, texts: list[np.ndarray]) -> Iterator[tuple[int, int, int]]:
-        """(number of the text, number of the item, edit distance) of all confirmed occurrences."""
+        """(number of the text, number of the item, edit distance) of all occurrences."""
         flat = np.concatenate(texts) if texts else np.empty(0, np.uint64)
         begins = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+        found = []
+        for size in self.sizes:
+            keys = gram_keys(flat, size)
+            at = np.flatnonzero(self.may[keys >> np.uint64(64 - self.bits)])
+            left, right = (np.searchsorted(self.keys, keys[at], side) for side in ("left", "right"))
+            times = right - left
+            at, left, ends = np.repeat(at, times), np.repeat(left, times), np.cumsum(times)
+            entry = left + np.arange(len(at)) - np.repeat(ends - times, times)
+            text = np.searchsorted(begins, at, "right") - 1
+            inside = at + size <= begins[text + 1]
+            found.append(np.stack([text, self.owners[entry], at - self.offsets[entry]], axis=1)[inside])
         best: dict[tuple[int, int], int] = {}
-        for low, window, stride in self.classes:
-            starts = [np.arange(b, e - window + 1, stride) for b, e in zip(begins, begins[1:]) if e - b >= window]
-            # the last window of a text, which the stride may miss
-            starts += [np.array([e - window]) for b, e in zip(begins, begins[1:]) if e - b >= window and (e - b - window) % stride]
-            if not starts:
+        for text, owner, start in np.unique(np.concatenate(found), axis=0).tolist() if found else ():
+            item = self.words[owner]
+            most = int(EDITS * len(item))
+            if best.get((text, owner), most + 1) == 0:
                 continue
-            starts = np.concatenate(starts)
-            found = set()
-            for keys in window_keys(flat, starts, low, window):
-                maybe = np.flatnonzero(self.may[keys >> np.uint64(64 - self.bits)])
-                for at in maybe.tolist():
-                    key = keys[at]
-                    left, right = np.searchsorted(self.keys, key, "left"), np.searchsorted(self.keys, key, "right")
-                    found.update((int(starts[at]), int(o)) for o in self.owners[left:right])
-            reach = int(self.longest[low, window, stride] * (1 + EDITS)) + 1
-            for start, owner in sorted(found):
-                text = int(np.searchsorted(begins, start, "right")) - 1
-                most = int(EDITS * len(self.words[owner]))
-                if best.get((text, owner), most + 1) == 0:
-                    continue
-                around = flat[max(begins[text], start - reach):min(begins[text + 1], start + window + reach)]
-                if np.isin(self.words[owner], around).sum() < len(self.words[owner]) - most:
-                    continue  # each item word that is missing there is an edit
-                d = edit_distance(self.words[owner], around)
-                if d <= most and d < best.get((text, owner), most + 1):
-                    best[text, owner] = d
+            around = flat[max(begins[text], start - most):min(begins[text + 1], start + len(item) + most)]
+            if np.isin(item, around).sum() < len(item) - most:
+                continue  # each item word that is missing there is an edit
+            d = edit_distance(item, around)
+            if d <= most and d < best.get((text, owner), most + 1):
+                best[text, owner] = d
         for (text, owner), d in sorted(best.items()):
             yield text, owner, d
 

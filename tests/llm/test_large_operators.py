@@ -130,6 +130,26 @@ def test_leaks_are_found_and_clean_texts_left(spark):
     assert {d for d, _ in found} <= {d for d, _ in truth} | {d for d, _ in edited}
 
 
+@pytest.mark.parametrize("n", [5, 6, 7, 8, 9, 12, 14, 20, 30, 47, 90])
+def test_every_item_within_the_edits_is_found_in_mid_document(n):
+    rng = random.Random(n)
+    items = [prose(rng, n, 5000) for _ in range(60)]
+    words, texts = decontaminate.Words(), []
+    for k, item in enumerate(items):
+        changed = list(item)
+        for e in range(int(decontaminate.EDITS * n)):
+            at = rng.randrange(len(changed))
+            kind = rng.randrange(3) if k % 2 else 0
+            changed[at:at + 1] = [["zz"], [], [changed[at], "yy"]][kind] if k % 5 or e else ["first"]
+        if k % 5 == 0:
+            changed = ["zz", *item[1:]]
+        texts.append(words.of(" ".join(prose(rng, rng.randint(30, 60)) + changed + prose(rng, rng.randint(30, 60)))))
+    index = decontaminate.Index([(k, " ".join(item)) for k, item in enumerate(items)])
+    found = {(t, i): d for t, i, d in index.hits(texts)}
+    assert all((k, k) in found for k in range(60))
+    assert all(d == plain_distance(index.words[i].tolist(), texts[t].tolist()) for (t, i), d in found.items())
+
+
 def test_items_in_blocks_and_no_items(spark, monkeypatch):
     rng = random.Random(2)
     items = [(i, " ".join(prose(rng, 30, 9000))) for i in range(30)]
