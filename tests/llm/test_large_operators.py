@@ -81,6 +81,15 @@ def test_template_goes_by_difference_and_copies_stay(spark, monkeypatch):
         assert text[100] == "alone" and text[101] == "" and text[102] == "" and text[103] == "only"
 
 
+def test_a_sibling_behind_many_copies_is_found():
+    u = html_text.UNSAFE
+    copy = (["Home", "Offers", "a long article about one thing", "All rights kept"], [u] * 4)
+    other = (["Home", "Offers", "another long article of another kind", "All rights kept"], [u] * 4)
+    pages = [copy] * 40 + [other]
+    assert all(html_text.without_template(pages, i) == [copy[0][2]] for i in range(40))
+    assert html_text.without_template(pages, 40) == [other[0][2]]
+
+
 # --- decontamination --------------------------------------------------------------------------------
 
 
