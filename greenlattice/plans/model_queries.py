@@ -183,6 +183,49 @@ def cross_validation_time_series(spark, d):
     return tidy(crossval.regression_cv(training(spark, d), FEATURES, TARGET, "row_id", "linear", cv_type="timeseries", time="obs_date"))
 
 
+PAIR = ["temperature", "forest_cover"]
+SETS = "g AS (SELECT unnest([0,1,2,3,4]) AS f)"
+#: Two-feature fit of each training set, from a table tr(f, ..., x, z, y); {a} is the ridge penalty.
+PAIR_FIT = """m AS (SELECT {by}, count(*) AS n, avg(x) AS mx, avg(z) AS mz, avg(y) AS my, covar_pop(x, x)*count(*)+{a} AS xx, covar_pop(z, z)*count(*)+{a} AS zz,
+  covar_pop(x, z)*count(*) AS xz, covar_pop(x, y)*count(*) AS xy, covar_pop(z, y)*count(*) AS zy FROM tr GROUP BY {by}),
+fit AS (SELECT *, my-b1*mx-b2*mz AS b0 FROM (SELECT *, (xy*zz-zy*xz)/(xx*zz-xz*xz) AS b1, (zy*xx-xy*xz)/(xx*zz-xz*xz) AS b2 FROM m))"""
+PAIR_FOLDS = FOLD_SQL[0:len(RISK_CTES)] + [
+    FOLD_SQL[-3].replace("temperature AS x,", "row_id, obs_date, temperature AS x, forest_cover AS z,"),
+    FOLD_SQL[-2].replace("SELECT x, y,", "SELECT row_id, obs_date, x, z, y, n,")]
+WRONG = "(y-b0-b1*x-b2*z)"
+PAIR_OUT = (f"SELECT CAST(f AS INT) AS fold, part, {R(f'1-sum({WRONG}*{WRONG})/(var_pop(y)*count(*))')} AS r2, {R(f'sqrt(avg({WRONG}*{WRONG}))')} AS rmse, "
+            f"{R(f'-avg(abs({WRONG}))')} AS neg_mae FROM s JOIN fit USING (f) GROUP BY f, part")
+
+
+@query("cross_validation_ridge_pair", with_(*PAIR_FOLDS, SETS, "tr AS (SELECT * FROM ff, g WHERE fold <> f)", PAIR_FIT.format(by="f", a="5e0"),
+       "s AS (SELECT *, CASE WHEN fold = f THEN 'test' ELSE 'train' END AS part FROM ff, g)") + PAIR_OUT)
+def cross_validation_ridge_pair(spark, d):
+    return tidy(crossval.regression_cv(training(spark, d), PAIR, TARGET, "row_id", "ridge", {"alpha": 5.0}, scorers=["r2", "rmse", "neg_mae"]))
+
+
+@query("cross_validation_time_series_pair", with_(*PAIR_FOLDS, SETS, "pp AS (SELECT x, z, y, n//6 AS w, n - 5*(n//6) AS h, row_number() OVER (ORDER BY obs_date, row_id) - 1 AS p FROM ff)",
+       "bb AS (SELECT x, z, y, CASE WHEN p < h THEN 0 ELSE (p-h)//w + 1 END AS block FROM pp)",
+       "tr AS (SELECT * FROM bb, g WHERE block <= f)", PAIR_FIT.format(by="f", a="0e0"),
+       "s AS (SELECT *, CASE WHEN block <= f THEN 'train' ELSE 'test' END AS part FROM bb, g WHERE block <= f + 1)") + PAIR_OUT)
+def cross_validation_time_series_pair(spark, d):
+    return tidy(crossval.regression_cv(training(spark, d), PAIR, TARGET, "row_id", "linear", cv_type="timeseries", time="obs_date",
+                                       scorers=["r2", "rmse", "neg_mae"]))
+
+
+SIZES = "[" + ", ".join(f"{i}e-1" for i in range(1, 11)) + "]"
+
+
+@query("learning_curve_pair", with_(*PAIR_FOLDS, SETS, "kk2 AS (SELECT x, z, y, fold, CAST((CAST(row_id AS HUGEINT)*2246822519) % 4294967296 AS DOUBLE) AS k FROM ff)",
+       f"sz AS (SELECT unnest({SIZES}) AS size, unnest((SELECT quantile_cont(k, {SIZES}) FROM kk2)) AS cut)",
+       "tr AS (SELECT * FROM kk2, g, sz WHERE fold <> f AND k <= cut)", PAIR_FIT.format(by="f, size", a="0e0"),
+       f"""s AS (SELECT f, size, CASE WHEN fold = f THEN 'v' ELSE 't' END AS part, 1-sum({WRONG}*{WRONG})/(var_pop(y)*count(*)) AS r2
+  FROM kk2, sz JOIN fit USING (size) WHERE fold = f OR k <= cut GROUP BY f, size, part)""") + f"""SELECT {R('size')} AS size,
+  {R("avg(r2) FILTER (part = 't')")} AS train_mean, {R("stddev_pop(r2) FILTER (part = 't')")} AS train_std,
+  {R("avg(r2) FILTER (part = 'v')")} AS validation_mean, {R("stddev_pop(r2) FILTER (part = 'v')")} AS validation_std FROM s GROUP BY size""")
+def learning_curve_pair(spark, d):
+    return tidy(crossval.learning_curve(training(spark, d), PAIR, TARGET, "row_id", "linear"))
+
+
 @query("cross_validation_classes")
 def cross_validation_classes(spark, d):
     table = training(spark, d).withColumn("level", (F.col(TARGET) >= 0.35).cast("int"))

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F, types as T
 
 from greenlattice.functions.numeric import scatter_key
-from greenlattice.operators import crossval, metrics, models, scoring, splits
+from greenlattice.operators import crossval, metrics, models, moments, scoring, splits
 from greenlattice.sources import landed, readers, sinks
 from greenlattice.streaming import ingest
 
@@ -258,3 +258,66 @@ def test_stream_resumes_from_its_checkpoint(spark, tmp_path):
     assert run() == 13
     totals = ingest.run_complete(ingest.daily_totals(ingest.stream_table(spark, source, "*.parquet", st), "ts", [], "v"))
     assert totals.agg(F.sum("n")).first()[0] == 15
+
+
+def by_fitting(df, features, kind, params, k, degree=1, cv_type="kfold"):
+    """Fold scores the long way: a fit per fold, a scan per part."""
+    out = {}
+    parts = splits.kfold(df, "row_id", k) if cv_type == "kfold" else splits.time_series_block(df, "row_id", "row_id", k)
+    for i in range(k):
+        if cv_type == "kfold":
+            train, test = parts.where(F.col("fold") != i), parts.where(F.col("fold") == i)
+        else:
+            train, test = splits.time_series_fold(parts, i)
+        model = models.fit_model(train, features, "target", kind, params=params, degree=degree, with_metrics=False)
+        for part, data in (("train", train), ("test", test)):
+            out[i, part] = model.evaluate(data)
+    return out
+
+
+@pytest.mark.parametrize("kind,params,degree,cv_type", [
+    ("linear", None, 1, "kfold"), ("ridge", {"alpha": 3.0}, 1, "kfold"), ("lasso", {"alpha": 0.05}, 1, "kfold"),
+    ("elastic_net", {"alpha": 0.05, "l1_ratio": 0.3}, 1, "kfold"), ("ridge", {"alpha": 1.0}, 2, "kfold"), ("linear", None, 1, "timeseries"),
+    ("linear", {"fit_intercept": False}, 1, "kfold")])
+def test_sums_score_as_fits_do(df, kind, params, degree, cv_type):
+    noisy = df.withColumn("target", F.col("target") + F.hash("row_id") % 7 * 0.1)
+    scorers = ["r2", "mse", "rmse", "mae", "neg_mse", "neg_mae"]
+    got = crossval.regression_cv(noisy, COLS, "target", "row_id", kind, params, k=3, cv_type=cv_type, time="row_id", degree=degree, scorers=scorers).collect()
+    want = by_fitting(noisy, COLS, kind, params, 3, degree, cv_type)
+    assert len(got) == 6
+    for r in got:
+        m = want[r["fold"], r["part"]]
+        for name in ("r2", "mse", "rmse", "mae"):
+            assert r[name] == pytest.approx(m[name], rel=1e-4, abs=1e-6)
+        assert r["neg_mse"] == -r["mse"] and r["neg_mae"] == -r["mae"]
+
+
+def test_sums_take_one_job_for_all_folds_and_sizes(spark, df):
+    spark.sparkContext.setJobGroup("curve", "learning curve")
+    got = crossval.learning_curve(df, COLS, "target", "row_id", "linear", k=5)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("curve"))
+    spark.sparkContext.setJobGroup("other", "")
+    assert got.count() == 10 and jobs < 30  # 50 fits and 100 scans before
+    with pytest.raises(ValueError):
+        crossval.regression_cv(df, COLS, "target", "row_id", "linear", scorers=["accuracy"])
+    with pytest.raises(ValueError):
+        crossval.regression_cv(df.withColumn(COLS[0], F.when(F.col("row_id") > 3, F.col(COLS[0]))), COLS, "target", "row_id", "linear")
+
+
+def test_moments_merge():
+    rng = np.random.default_rng(1)
+    x = rng.normal(1e6, 1, (500, 3))
+
+    def of(rows):
+        mean = rows.mean(axis=0) if len(rows) else np.zeros(3)
+        return moments.Moments(len(rows), mean, (rows - mean).T @ (rows - mean))
+
+    whole = moments.merged([of(x[a:b]) for a, b in ((0, 1), (1, 1), (1, 70), (70, 500))], 3)
+    assert whole.n == 500 and np.allclose(whole.mean, x.mean(axis=0)) and np.allclose(whole.cross, of(x).cross, rtol=1e-6)
+    flat = moments.fit(of(np.column_stack([np.ones(9), np.arange(9.0), 2 * np.arange(9.0) + 1])))  # a constant column counts for nothing
+    assert flat[0] == pytest.approx([0, 2]) and flat[1] == pytest.approx(1)
+    assert moments.scores(of(x[:1]), *flat)["r2"] is None
+    with pytest.raises(ValueError):
+        moments.fit(moments.Moments.none(3))
+    with pytest.raises(ValueError):
+        moments.fit(whole, "random_forest")
