@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,3 +51,9 @@ def row_key(id_column: str = "doc_id", text_column: str = "text") -> Column:
 def small(df: DataFrame) -> DataFrame:
     """A stored table as a join side: broadcast only if its counted rows are few."""
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def release() -> None:
+    """Give freed memory back at the end of a task: idle workers of one step stay alive beside those of the next."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()

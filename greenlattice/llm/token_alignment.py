@@ -47,17 +47,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from greenlattice.llm.common import keep, query, table, text_of
+from greenlattice.llm.common import keep, query, release, table, text_of
 
 BYTE_RANKS = "byte_bpe_50k.tiktoken"  # the ranks of byte_bpe_50k.json
 PIECES = "piece_bpe_32k.model"
 CHUNK = 65_536  # code points of a range
 FAN = 8  # fragments that one step joins
-BLOCK_LINKS = 1 << 20
-BLOCK_DOCS = 1 << 16
+BLOCK_LINKS = 1 << 18
+BLOCK_DOCS = 1 << 14
 ROWS = 256  # texts that a worker holds in Python at a time
-CACHE = 200_000  # stretches at hand
-CACHED_CHARS = 64  # and their length
+CACHE = 65_536  # stretches at hand
+CACHE_TOKENS = 1 << 20  # and their tokens
 BETWEEN = re.compile(r"(?<=\S) (?=\S)")
 BITS = 17  # ids of B; an id pair is (B << BITS) | A
 
@@ -75,6 +75,10 @@ class Fragment:
         self.a, self.b, self.ga, self.gb, self.ok = a, b, ga, gb, ok
 
 
+#: A range that B spells otherwise.
+NOTHING = Fragment(np.empty(0, np.int32), np.empty(0, np.int32), np.zeros(1, np.int64), np.zeros(1, np.int64), False)
+
+
 def compose(parts: list[Fragment]) -> Fragment:
     """Neighbouring fragments, in order, as one."""
     def counts(name: str) -> np.ndarray:
@@ -122,39 +126,75 @@ class Pair:
         # an id, as it stands before a comma, before the end of A's part, and before the end of the group
         self.spelt = np.array([f"{i}{end}" for end in (",", "|") for i in range(len(self.size_a))]
                               + [f"{i}{end}" for end in (",", ";") for i in range(len(self.size_b))], object)
-        self.known: dict[str, tuple[list[int], list[int]]] = {}
-
-    def stretch(self, text: str) -> tuple[list[int], list[int]]:
-        """Tokens of a stretch that begins with a space; B puts that space there itself."""
-        found = self.known.get(text)
-        if found is None:
-            found = self.core.encode_ordinary(text), self.pieces.encode(text[1:])
-            if len(text) <= CACHED_CHARS:
-                if len(self.known) >= CACHE:
-                    self.known.clear()
-                self.known[text] = found
-        return found
-
-    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, bool]:
-        """Tokens of a text that begins with a space, and whether B spells it (A always does)."""
-        first, *rest = BETWEEN.split(text)
-        found = [self.stretch(first), *[self.stretch(" " + s) for s in rest]]
-        a = np.fromiter(chain.from_iterable([f[0] for f in found]), np.int32)
-        b = list(chain.from_iterable([f[1] for f in found]))
-        ok = b"".join(map(self.bytes_b.__getitem__, b)) == text.encode("utf-8", "surrogatepass")
-        return a, np.array(b, np.int32), ok
-
-    def fragment(self, text: str, begin: int | None = None, end: int | None = None) -> Fragment:
-        """Fragment of the bytes from ``begin`` to ``end`` of a text; of all of them by default."""
-        a, b, ok = self.encode(text)
-        if not ok:
-            empty = np.empty(0, np.int32)
-            return Fragment(empty, empty, np.zeros(1, np.int64), np.zeros(1, np.int64), False)
-        ends_a, ends_b = self.size_a[a].cumsum(), self.size_b[b].cumsum()
-        if begin is not None:
-            in_a, in_b = ((ends > begin) & (ends <= end) for ends in (ends_a, ends_b))
-            a, b, ends_a, ends_b = a[in_a], b[in_b], ends_a[in_a], ends_b[in_b]
-        return Fragment(a, b, *between(ends_a, ends_b), True)
+        self.forget()
+
+    def forget(self) -> None:
+        """Stretches at hand: their numbers, and by number their tokens and whether B spells them."""
+        self.known: dict[str, int] = {}
+        self.flat = [np.empty(0, np.int32)] * 2
+        self.edge = [np.zeros(1, np.int64)] * 2
+        self.spells = np.empty(0, np.bool_)
+
+    def learn(self, stretches: set[str]) -> None:
+        """Hold the tokens of stretches (without the space that each begins with; B puts it there itself)."""
+        new = stretches.difference(self.known)
+        if len(self.known) + len(new) > CACHE or len(self.flat[0]) > CACHE_TOKENS:
+            self.forget()
+            new = stretches
+        bare, edged = [], []  # those that begin or end with white space are not apart from others
+        for s in new:
+            (edged if not s or s[0].isspace() or s[-1].isspace() else bare).append(s)
+        asked = bare + edged
+        if not asked:
+            return
+        spelt = [(" " + s).encode("utf-8", "surrogatepass") for s in asked]
+        a = np.array(self.core.encode_ordinary("".join([" " + s for s in bare])), np.int32)
+        many_a = np.diff(np.searchsorted(self.size_a[a].cumsum(), np.cumsum([len(x) for x in spelt[:len(bare)]]), "right"), prepend=0)
+        others = [self.core.encode_ordinary(" " + s) for s in edged]
+        b = self.pieces.encode(asked, num_threads=1)
+        spells = [b"".join([self.bytes_b[i] for i in ids]) == x for ids, x in zip(b, spelt)]
+        flat = [np.concatenate([a, *[np.array(x, np.int32) for x in others]]), np.fromiter(chain.from_iterable(b), np.int32)]
+        many = [np.concatenate([many_a, np.array([len(x) for x in others], np.int64)]), np.array([len(x) for x in b], np.int64)]
+        self.known.update(zip(asked, range(len(self.known), len(self.known) + len(asked))))
+        self.flat = [np.concatenate(x) for x in zip(self.flat, flat)]
+        self.edge = [np.concatenate([e, e[-1] + n.cumsum()]) for e, n in zip(self.edge, many)]
+        self.spells = np.concatenate([self.spells, spells])
+
+    def tokens(self, side: int, at: np.ndarray, texts: np.ndarray) -> list[np.ndarray]:
+        """Tokens of texts, given the numbers of their stretches and how many each has."""
+        begin, n = self.edge[side][at], self.edge[side][at + 1] - self.edge[side][at]
+        ends = n.cumsum()
+        flat = self.flat[side][np.repeat(begin - ends + n, n) + np.arange(n.sum())]
+        return np.split(flat, np.append(0, ends)[texts.cumsum()[:-1]])
+
+    def encode(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+        """Tokens of texts that begin with a space, and whether B spells them (A always does)."""
+        if not texts:
+            return
+        parts = [BETWEEN.split(text) for text in texts]
+        for p in parts:
+            p[0] = p[0][1:]
+        self.learn(set().union(*parts))
+        many = np.array([len(p) for p in parts])
+        at = np.fromiter(map(self.known.__getitem__, chain.from_iterable(parts)), np.int64, many.sum())
+        ok = np.logical_and.reduceat(self.spells[at], many.cumsum() - many)
+        yield from zip(self.tokens(0, at, many), self.tokens(1, at, many), ok.tolist())
+
+    def fragments(self, given: list[tuple[str, int, int] | str]) -> Iterator[Fragment]:
+        """Fragments of texts: of all their bytes, or of those from the second to the third of a triple."""
+        asked = [g if isinstance(g, tuple) else (g, 0, None) for g in given]
+        for (_, begin, end), (a, b, ok) in zip(asked, self.encode([text for text, _, _ in asked])):
+            if not ok:
+                yield NOTHING
+                continue
+            ends_a, ends_b = self.size_a[a].cumsum(), self.size_b[b].cumsum()
+            if end is not None:
+                in_a, in_b = ((ends > begin) & (ends <= end) for ends in (ends_a, ends_b))
+                a, b, ends_a, ends_b = a[in_a], b[in_b], ends_a[in_a], ends_b[in_b]
+            yield Fragment(a, b, *between(ends_a, ends_b), True)
+
+    def fragment(self, text: str, begin: int = 0, end: int | None = None) -> Fragment:
+        return next(self.fragments([(text, begin, end)]))
 
     def linked(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The id pair of every link of whole texts, in order."""
@@ -282,17 +322,15 @@ class Aligner:
         tools, blocks = pair(*self.paths), None
         for batch in batches:
             blocks = blocks or Blocks(tools, batch.schema.field("doc_id").type, 0)
-            for doc_id, text in zip(batch.column("doc_id"), batch.column("_text")):
-                yield from blocks.add(doc_id.as_py(), self.whole(tools, text.as_py()))
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                texts = part.column("_text").to_pylist()
+                found = tools.fragments([" " + text for text in texts if text])
+                for doc_id, text in zip(part.column("doc_id").to_pylist(), texts):
+                    yield from blocks.add(doc_id, next(found) if text else NOTHING)
         if blocks:
             yield from blocks.flush()
-
-    @staticmethod
-    def whole(tools: Pair, text: str) -> Fragment:
-        if text:
-            return tools.fragment(" " + text)
-        none = np.empty(0, np.int32)
-        return Fragment(none, none, np.zeros(1, np.int64), np.zeros(1, np.int64), False)
+        release()
 
     def cut(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Byte ranges of long texts."""
@@ -315,6 +353,7 @@ class Aligner:
             for i in range(batch.num_rows):
                 text, begin, end = (batch.column(c)[i].as_py() for c in ("_text", "_begin", "_end"))
                 yield fragment_row(batch.slice(i, 1), tools.fragment(text, begin, end))
+        release()
 
     @staticmethod
     def join(group: pa.Table) -> pa.Table:
@@ -336,6 +375,7 @@ class Aligner:
                 yield from blocks.add(batch.column("doc_id")[i].as_py(), Fragment(a, b, ga, gb, batch.column("ok")[i].as_py()))
         if blocks:
             yield from blocks.flush()
+        release()
 
 
 FRAGMENT = "_row long, _at long, a array<int>, b array<int>, ga array<long>, gb array<long>, ok boolean"

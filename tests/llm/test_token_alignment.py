@@ -102,15 +102,24 @@ def test_given_documents(spark, both):
     assert rows_of(ta.align(docs, chunk=2000)) == dict(zip([r.doc_id for r in rows], plain(both, [r.text for r in rows])))
 
 
-def test_small_blocks_and_missing_ids(spark, both, monkeypatch):
+def test_missing_ids(spark, both):
     texts = odd_texts(5, 20)
-    run = ta.Aligner(public_tokenizers.path(ta.BYTE_RANKS), public_tokenizers.path(ta.PIECES), 100)
-    assert run.whole(ta.pair(*run.paths), None or "").ok is False
     docs = spark.createDataFrame([(None, t, "b", "r", "c") for t in texts], SCHEMA).repartition(2)
     found = sorted(map(tuple, ta.align(docs).drop("doc_id").collect()))
     assert found == sorted(plain(both, texts))
 
 
+def test_small_cache(tools, monkeypatch):
+    """What a worker forgets is encoded anew."""
+    texts = [" " + t for t in odd_texts(8, 40) if t]
+    want = list(tools.fragments(texts))
+    monkeypatch.setattr(ta, "CACHE", 30)
+    monkeypatch.setattr(ta, "CACHE_TOKENS", 50)
+    for at in range(0, len(texts), 7):
+        for x, y in zip(tools.fragments(texts[at:at + 7]), want[at:at + 7]):
+            assert same(x, y)
+
+
 def test_empty_table(spark):
     assert ta.align(spark.createDataFrame([], SCHEMA)).collect() == []
 
