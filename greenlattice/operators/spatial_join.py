@@ -11,9 +11,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from greenlattice.functions.geo import SphereCells, haversine_km
+from greenlattice.operators import ring_edges
 from greenlattice.session import materialize
 
 HOT_CELL_ROWS = 1_000_000
+RING_CORNERS = 64  # corners up to which a ring goes along with its cells
 
 
 def hot_keys(df: DataFrame, keys: list[str], hot_rows: int = HOT_CELL_ROWS) -> DataFrame:
@@ -173,15 +175,16 @@ def typical_cell(polygons: DataFrame, ring_column: str = "ring") -> float:
 
 def points_in_polygons(points: DataFrame, polygons: DataFrame, how: str = "inner",
                        ring_column: str = "ring", cell_deg: float | None = None,
-                       hot_rows: int = HOT_CELL_ROWS) -> DataFrame:
+                       hot_rows: int = HOT_CELL_ROWS, ring_corners: int = RING_CORNERS) -> DataFrame:
     """Spatial join: points within polygons; ``how`` is inner, left or right.
 
-    Clashing polygon columns get the prefix ``g_``.
+    Clashing polygon columns get the prefix ``g_``. Rings of up to ``ring_corners`` corners travel
+    with their cells; longer ones are edges in latitude bands, and a point counts its crossings.
     """
     if how in ("left", "right"):
         kept = with_row(points if how == "left" else polygons)
         sides = (kept, polygons) if how == "left" else (points, kept)
-        matched = points_in_polygons(*sides, ring_column=ring_column, cell_deg=cell_deg, hot_rows=hot_rows)
+        matched = points_in_polygons(*sides, ring_column=ring_column, cell_deg=cell_deg, hot_rows=hot_rows, ring_corners=ring_corners)
         named = {c: c if how == "left" or c not in points.columns else f"g_{c}" for c in kept.columns if c != "_row"}
         other = [c for c in matched.columns if c not in named.values() and c != "_row"]
         found = kept.join(matched.select("_row", *other), "_row", "left").drop("_row") if how == "left" else (
@@ -193,16 +196,41 @@ def points_in_polygons(points: DataFrame, polygons: DataFrame, how: str = "inner
     shapes = polygons.withColumnsRenamed(renamed)
     ring_name = renamed.get(ring_column, ring_column)
     size = cell_deg or typical_cell(shapes, ring_name)
-    tiled = polygon_cells(shapes, size, ring_name)
+    many = F.size(ring_name) > F.lit(ring_corners)
+    x, y = F.col("longitude"), F.col("latitude")
+    short = _box_matches(points, polygon_cells(shapes.where(~many), size, ring_name), size, hot_rows)
+    found = short.where(inside_ring(x, y, F.col(ring_name))).select(*points.columns, *shapes.columns)
+    if shapes.where(many).isEmpty():
+        return found
+    return found.unionByName(_points_in_long_rings(points, shapes.where(many), ring_name, size, hot_rows))
+
+
+def _box_matches(points: DataFrame, tiled: DataFrame, size: float, hot_rows: int) -> DataFrame:
+    """Points with every polygon of ``polygon_cells`` whose box holds them: the cheap test that decides most pairs."""
     levels = sorted(r[0] for r in tiled.select("_lvl").where(F.col("_lvl").isNotNull()).distinct().collect())  # a few levels
     located = points.withColumn("_lvl", F.explode(F.array(*[F.lit(n) for n in levels])) if levels else F.lit(0))
     located = located.withColumns({"_px": _cell("longitude", size), "_py": _cell("latitude", size)})
     located, tiled, keys = _salted(located, tiled, ["_lvl", "_px", "_py"], hot_rows)
-    # The cheap box test decides most pairs before the ring is walked.
     x, y = F.col("longitude"), F.col("latitude")
     in_box = (x >= F.col("_x0")) & (x < F.col("_x1")) & (y >= F.col("_y0")) & (y < F.col("_y1"))
-    return (located.join(tiled, keys).where(in_box & inside_ring(x, y, F.col(ring_name)))
-            .select(*points.columns, *shapes.columns))
+    return located.join(tiled, keys).where(in_box)
+
+
+def _points_in_long_rings(points: DataFrame, shapes: DataFrame, ring_name: str, size: float, hot_rows: int) -> DataFrame:
+    """As ``points_in_polygons`` for rings of many corners: only boxes and single edges meet the points."""
+    shapes = materialize(shapes.withColumn("_ring_row", F.monotonically_increasing_id()))
+    boxed = polygon_cells(shapes.select("_ring_row", ring_name), size, ring_name).withColumn("_h", ring_edges.band_height(ring_name))
+    boxes = boxed.drop(ring_name)
+    once = boxed.select("_ring_row", ring_name, "_y0", "_h").dropDuplicates(["_ring_row"])
+    edges = materialize(ring_edges.banded_edges(once, "_ring_row", ring_name))
+    levels = edges.groupBy("_ring_row").agg(F.collect_set("_level").alias("_levels"))  # a few levels a ring
+    pairs = materialize(_box_matches(points, boxes, size, hot_rows).select(*points.columns, "_ring_row", "_y0", "_h").withColumn(
+        "_pair", F.monotonically_increasing_id()))
+    asked = ring_edges.looking(pairs.select("_pair", "_ring_row", F.col("longitude").alias("_x"), F.col("latitude").alias("_y"), "_y0", "_h"), levels, "_ring_row")
+    asked, edges, keys = _salted(asked, edges, ["_ring_row", "_level", "_band"], hot_rows)
+    odd = ring_edges.odd_crossings(asked.join(edges, keys))
+    inside = pairs.join(odd, "_pair").drop("_pair", "_y0", "_h")
+    return inside.join(shapes, "_ring_row").drop("_ring_row")
 
 
 # ---------------------------------------------------------------- nearest site
@@ -291,16 +319,12 @@ def nearest_site(points: DataFrame, point_id: str, sites: DataFrame, site_id: st
 # ---------------------------------------------------------------- area overlap
 
 def landuse_overlap(points: DataFrame, polygons: DataFrame, types: list[str], radius_deg: float = 0.01,
-                    k: int = 16, type_column: str = "landuse_type", cell_deg: float | None = None) -> DataFrame:
+                    type_column: str = "landuse_type", cell_deg: float | None = None) -> DataFrame:
     """Share of each point's disc covered by each land-use type, capped at 1, 0 without any.
 
-    The disc is sampled at the centres of a k x k lattice over its bounding square; the
-    share's error shrinks as 1/k. A point's square meets a polygon once, in the first cell
-    that both touch, and the lattice is counted inside that row.
+    The shared area is exact for simple closed rings (``ring_edges.disc_overlap``). A point's
+    square meets a polygon once, in the first cell that both touch.
     """
-    offsets = [((2 * i + 1) / k - 1, (2 * j + 1) / k - 1) for i in range(k) for j in range(k)]
-    disc = [(dx * radius_deg, dy * radius_deg) for dx, dy in offsets if dx * dx + dy * dy <= 1.0]
-    lattice = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in disc])
     nodes = points.select("latitude", "longitude").distinct()
     shapes = polygons.select("ring", type_column).where(F.col(type_column).isin(types))
     size = cell_deg or typical_cell(shapes)
@@ -316,15 +340,10 @@ def landuse_overlap(points: DataFrame, polygons: DataFrame, types: list[str], ra
                  & (F.col("_py") == F.greatest(_cell("_s", size), _cell("_y0", size))))
     square, tiled, keys = _salted(square, tiled, ["_lvl", "_px", "_py"], HOT_CELL_ROWS)
     touch = (F.col("_w") < F.col("_x1")) & (F.col("_e") >= F.col("_x0")) & (F.col("_s") < F.col("_y1")) & (F.col("_n") >= F.col("_y0"))
-
-    def covered(o: Column) -> Column:
-        x, y = F.col("_plon") + o["dx"], F.col("_plat") + o["dy"]
-        in_box = (x >= F.col("_x0")) & (x < F.col("_x1")) & (y >= F.col("_y0")) & (y < F.col("_y1"))
-        return in_box & inside_ring(x, y, F.col("ring"))
-
-    hits = square.join(tiled, keys).where(first_met & touch).withColumn("_hits", F.size(F.filter(lattice, covered)))
-    shares = hits.groupBy("_plat", "_plon").agg(*[
-        F.least(F.sum(F.when(F.col(type_column) == t, F.col("_hits")).otherwise(0)) / F.lit(float(len(disc))), F.lit(1.0)).alias(t)
-        for t in types])
+    shared = ring_edges.disc_overlap(F.col("ring"), F.col("_plon"), F.col("_plat"), radius_deg)
+    met = square.join(tiled, keys).where(first_met & touch).select("_plat", "_plon", type_column, shared.alias("_area"))
+    whole = F.lit(ring_edges.disc_area(radius_deg))
+    shares = met.groupBy("_plat", "_plon").agg(*[
+        F.least(F.sum(F.when(F.col(type_column) == t, F.col("_area")).otherwise(0.0)) / whole, F.lit(1.0)).alias(t) for t in types])
     joined = nodes.join(shares, (nodes["latitude"] == shares["_plat"]) & (nodes["longitude"] == shares["_plon"]), "left")
     return joined.select("latitude", "longitude", *[F.coalesce(F.col(t), F.lit(0.0)).alias(t) for t in types])

@@ -95,10 +95,10 @@ def climate_landuse_join(spark, d):
 
 @query("region_prediction_join", with_(t.BOUNDARY_SQL) + f"""
 , score AS (SELECT n_name AS region, avg(c_acctbal)/1e4 AS risk_score FROM customer JOIN nation ON c_nationkey = n_nationkey
-  WHERE n_regionkey < 4 GROUP BY n_name)
+  GROUP BY n_name)
 SELECT region, {RA('x0', 'y0', 'risk_score')} FROM boundary LEFT JOIN score USING (region)""")
 def region_prediction_join(spark, d):
-    nation = t.table(spark, d, "nation").where("n_regionkey < 4")
+    nation = t.table(spark, d, "nation")
     score = (t.table(spark, d, "customer").groupBy("c_nationkey").agg(
         F.sum("c_acctbal").alias("s"), F.count("c_acctbal").alias("n"))
         .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
@@ -291,9 +291,6 @@ def snapped_features(spark, d):
     return tidy(joined.fillna(0.0, ["forest_cover", "urban_area"]).select("occ_id", "forest_cover", "urban_area", "has_data"))
 
 
-K = 8
-LATTICE_SQL = f"""off AS (SELECT (2*i+1)/{float(K)} - 1 AS dx, (2*j+1)/{float(K)} - 1 AS dy FROM range({K}) a(i), range({K}) b(j)
-  WHERE ((2*i+1)/{float(K)} - 1)*((2*i+1)/{float(K)} - 1) + ((2*j+1)/{float(K)} - 1)*((2*j+1)/{float(K)} - 1) <= 1)"""
 COVER_SQL = """cover AS (SELECT c_custkey, 72e0 + CAST((c_custkey*97)%7000 AS DOUBLE)/1e3 AS x0,
   15e0 + CAST((c_custkey*61)%6000 AS DOUBLE)/1e3 AS y0, CASE c_custkey%5 WHEN 0 THEN 'forest' WHEN 1 THEN 'agricultural'
   WHEN 2 THEN 'urban' WHEN 3 THEN 'water' ELSE 'barren' END AS landuse_type FROM customer)"""
@@ -307,16 +304,43 @@ def cover_boxes(spark, d):
     return cover.select("c_custkey", "landuse_type", grid.ring(x, y, x + 0.3, y + 0.3).alias("ring"))
 
 
-@query("landuse_overlap", with_(LATTICE_SQL, COVER_SQL, SITE_PLACE_SQL) + f"""
-, sample AS (SELECT latitude, longitude, longitude + dx*1e-1 AS sx, latitude + dy*1e-1 AS sy FROM place, off),
-hit AS (SELECT latitude, longitude, landuse_type, count(*)*1e0/(SELECT count(*) FROM off) AS f FROM sample JOIN cover
-  ON sx >= x0 AND sx < x0+3e-1 AND sy >= y0 AND sy < y0+3e-1 GROUP BY ALL)
+#: Signed area between a disc of radius 0.1 and the edges (px, py) + t (dx, dy) of a ring, about the disc's centre.
+DISC_SQL = """edge AS (SELECT unnest([0, 1, 1, 0]) AS ex, unnest([0, 0, 1, 1]) AS ey, unnest([1, 0, -1, 0]) AS sx, unnest([0, 1, 0, -1]) AS sy),
+pq AS (SELECT place.latitude, place.longitude, landuse_type, c_custkey, x0 + ex*3e-1 - longitude AS px, y0 + ey*3e-1 - latitude AS py, sx*3e-1 AS dx, sy*3e-1 AS dy
+  FROM place JOIN cover ON x0 <= longitude + 1e-1 AND x0 + 3e-1 >= longitude - 1e-1 AND y0 <= latitude + 1e-1 AND y0 + 3e-1 >= latitude - 1e-1, edge),
+abc AS (SELECT *, dx*dx + dy*dy AS a, px*dx + py*dy AS b, px*px + py*py - 1e-2 AS c FROM pq),
+st AS (SELECT *, least(greatest((-b - sqrt(greatest(b*b - a*c, 0e0)))/a, 0e0), 1e0) AS s, least(greatest((-b + sqrt(greatest(b*b - a*c, 0e0)))/a, 0e0), 1e0) AS t FROM abc),
+uv AS (SELECT *, px + s*dx AS ux, py + s*dy AS uy, px + t*dx AS vx, py + t*dy AS vy, px + dx AS qx, py + dy AS qy FROM st),
+part AS (SELECT latitude, longitude, landuse_type, c_custkey, abs(sum(1e-2*atan2(px*uy - py*ux, px*ux + py*uy) + ux*vy - uy*vx + 1e-2*atan2(vx*qy - vy*qx, vx*qx + vy*qy)))/2e0 AS area
+  FROM uv GROUP BY ALL)"""
+
+
+@query("landuse_overlap", with_(COVER_SQL, SITE_PLACE_SQL, DISC_SQL) + f"""
 SELECT {R('place.latitude')} AS latitude, {R('place.longitude')} AS longitude,
-  {', '.join(R(f"least(coalesce(sum(CASE WHEN landuse_type = '{n}' THEN f END), 0e0), 1e0)") + ' AS ' + n for n in ('forest', 'agricultural', 'urban', 'water'))}
-FROM place LEFT JOIN hit ON place.latitude = hit.latitude AND place.longitude = hit.longitude GROUP BY place.latitude, place.longitude""")
+  {', '.join(R(f"least(coalesce(sum(CASE WHEN landuse_type = '{n}' THEN area END), 0e0)/(pi()*1e-2), 1e0)") + ' AS ' + n for n in ('forest', 'agricultural', 'urban', 'water'))}
+FROM place LEFT JOIN part ON place.latitude = part.latitude AND place.longitude = part.longitude GROUP BY place.latitude, place.longitude""")
 def landuse_overlap(spark, d):
-    return tidy(spatial_join.landuse_overlap(
-        t.sites(spark, d), cover_boxes(spark, d), ["forest", "agricultural", "urban", "water"], radius_deg=0.1, k=K))
+    return tidy(spatial_join.landuse_overlap(t.sites(spark, d), cover_boxes(spark, d), ["forest", "agricultural", "urban", "water"], radius_deg=0.1))
+
+
+@query("points_in_star_rings", with_(t.OCCURRENCE_SQL, """star AS (SELECT n_nationkey AS star_id, 72e0 + CAST((n_nationkey*37)%70 AS DOUBLE)*1e-1 AS cx, 15e0 + CAST((n_nationkey*23)%60 AS DOUBLE)*1e-1 AS cy FROM nation)""",
+       """near AS (SELECT occ_id, star_id, longitude, latitude, cx, cy FROM occurrence JOIN star ON abs(longitude-cx) < 1.3e0 AND abs(latitude-cy) < 1.3e0)""",
+       """side AS (SELECT *, unnest(range(720)) AS i FROM near)""",
+       """ab AS (SELECT occ_id, star_id, longitude AS x, latitude AS y, cx + cos(2e0*pi()*i/720e0)*(1e0 + (i%2)*2e-1) AS ax, cy + sin(2e0*pi()*i/720e0)*(1e0 + (i%2)*2e-1) AS ay,
+  cx + cos(2e0*pi()*((i+1)%720)/720e0)*(1e0 + ((i+1)%2)*2e-1) AS bx, cy + sin(2e0*pi()*((i+1)%720)/720e0)*(1e0 + ((i+1)%2)*2e-1) AS "by" FROM side)""") + """
+SELECT occ_id, star_id FROM ab WHERE (ay <= y) <> ("by" <= y) AND x < ax + (y - ay)*(bx - ax)/("by" - ay) GROUP BY occ_id, star_id HAVING count(*) % 2 = 1""")
+def points_in_star_rings(spark, d):
+    """Jagged rings of 720 corners: edges in latitude bands, crossings by parity."""
+    star = t.table(spark, d, "nation").selectExpr("n_nationkey AS star_id", "72e0 + CAST((n_nationkey*37)%70 AS DOUBLE)*1e-1 AS cx",
+                                                  "15e0 + CAST((n_nationkey*23)%60 AS DOUBLE)*1e-1 AS cy")
+
+    def corner(i):
+        reach, angle = 1.0 + (i % 2) * 0.2, F.lit(2.0) * F.pi() * (i % 720) / 720.0
+        return F.struct((F.col("cx") + F.cos(angle) * reach).alias("x"), (F.col("cy") + F.sin(angle) * reach).alias("y"))
+
+    rings = star.select("star_id", F.transform(F.sequence(F.lit(0), F.lit(720)), corner).alias("ring"))
+    points = t.occurrence(spark, d).select("occ_id", "longitude", "latitude")
+    return spatial_join.points_in_polygons(points, rings).select("occ_id", "star_id")
 
 
 # ---------------------------------------------------------------- sources re-aimed at landed tables
@@ -359,6 +383,30 @@ def rasterized_risk(spark, d):
     return tidy(raster.rasterize(points, "risk", "occ_id", (72.0, 15.0, 80.0, 22.0), 0.2))
 
 
+@query("rasterized_shapes", with_(COVER_SQL, t.OCCURRENCE_SQL, """c AS (SELECT CAST(floor(i/80e0) AS INT) AS "row", CAST(i%80 AS INT) AS col,
+  72e0 + (CAST(i%80 AS DOUBLE) + 5e-1)*1e-1 AS x, 22e0 - (floor(i/80e0) + 5e-1)*1e-1 AS y FROM range(5600) r(i))""",
+       """tri AS (SELECT s_suppkey, 72e0 + CAST((s_suppkey*97)%70 AS DOUBLE)*1e-1 + 3e-2 AS x0, 15e0 + CAST((s_suppkey*61)%60 AS DOUBLE)*1e-1 + 3e-2 AS y0 FROM supplier)""",
+       """hit AS (SELECT "row", col, c_custkey AS k, CAST((c_custkey%100)/1e2 AS FLOAT) AS v FROM c JOIN cover ON x >= x0 + 2e-2 AND x < x0 + 32e-2 AND y >= y0 + 2e-2 AND y < y0 + 32e-2
+  UNION ALL SELECT "row", col, 1000000 + s_suppkey, CAST((s_suppkey%50)/5e1 AS FLOAT) FROM c JOIN tri ON y >= y0 AND y < y0 + 1e0 AND x >= x0 AND x < x0 + (1e0 - (y - y0))
+  UNION ALL SELECT CAST(floor((22e0-latitude)/1e-1) AS INT), CAST(floor((longitude-72e0)/1e-1) AS INT), 2000000 + occ_id, CAST(9e-1 AS FLOAT) FROM occurrence WHERE occ_id % 40 = 0)""") + """
+SELECT c."row", c.col, """ + R("coalesce(v, 0)") + """ AS value FROM c LEFT JOIN (SELECT "row", col, arg_max(v, k) AS v FROM hit GROUP BY ALL) h ON c."row" = h."row" AND c.col = h.col""")
+def rasterized_shapes(spark, d):
+    """Boxes, then triangles, then points burned onto one raster; later ones win."""
+    corner = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    x, y = F.col("x0"), F.col("y0")
+    none = [F.lit(None).cast("double").alias(c) for c in ("longitude", "latitude")]
+    boxes = t.table(spark, d, "customer").selectExpr("c_custkey", "72e0 + CAST((c_custkey*97)%7000 AS DOUBLE)/1e3 AS x0", "15e0 + CAST((c_custkey*61)%6000 AS DOUBLE)/1e3 AS y0").select(
+        F.col("c_custkey").alias("k"), ((F.col("c_custkey") % 100) / 100.0).alias("v"), grid.ring(x + 0.02, y + 0.02, x + 0.32, y + 0.32).alias("ring"), *none)
+    triangles = t.table(spark, d, "supplier").selectExpr(
+        "s_suppkey", "72e0 + CAST((s_suppkey*97)%70 AS DOUBLE)*1e-1 + 3e-2 AS x0", "15e0 + CAST((s_suppkey*61)%60 AS DOUBLE)*1e-1 + 3e-2 AS y0").select(
+        (F.col("s_suppkey") + 1_000_000).alias("k"), ((F.col("s_suppkey") % 50) / 50.0).alias("v"),
+        F.array(corner(x, y), corner(x + 1.0, y), corner(x, y + 1.0), corner(x, y)).alias("ring"), *none)
+    seen = t.occurrence(spark, d).where("occ_id % 40 = 0").select(
+        (F.col("occ_id") + 2_000_000).alias("k"), F.lit(0.9).alias("v"), F.lit(None).cast(boxes.schema["ring"].dataType).alias("ring"), "longitude", "latitude")
+    shapes = boxes.unionByName(triangles).unionByName(seen)
+    return tidy(raster.rasterize_shapes(shapes, "v", "k", (72.0, 15.0, 80.0, 22.0), 0.1))
+
+
 DECAY_SQL = "least(greatest(exp(-3e0*sqrt(({y}-(min_lat+max_lat)/2e0)*({y}-(min_lat+max_lat)/2e0) + ({x}-(min_lon+max_lon)/2e0)*({x}-(min_lon+max_lon)/2e0))), 0e0), 1e0)"
 CATEGORY_SQL = "CASE WHEN {s} < {a} THEN 'low' WHEN {s} < {b} THEN 'medium' ELSE 'high' END"
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from greenlattice.functions.geo import haversine_km, valid_coordinates
-from greenlattice.operators import grid, raster, spatial_join, species, zones
+from greenlattice.operators import grid, raster, ring_edges, spatial_join, species, zones
 
 
 def brute_km(a, b, c, d):
@@ -84,8 +84,8 @@ def test_points_in_polygons_of_any_shape(spark):
 
     want = {(int(r.pid), g) for r in frame.itertuples() for g, s in ((1, star), (2, box)) if inside(r.longitude, r.latitude, s)}
     points, shapes = spark.createDataFrame(frame), ring_rows(spark, {1: star, 2: box})
-    for cell, hot in ((None, 10**6), (0.5, 10**6), (7.0, 30)):
-        got = pairs_of(spatial_join.points_in_polygons(points, shapes, cell_deg=cell, hot_rows=hot), "pid", "gid")
+    for cell, hot, corners in ((None, 10**6, 64), (0.5, 10**6, 64), (7.0, 30, 64), (None, 10**6, 5), (0.7, 30, 0)):
+        got = pairs_of(spatial_join.points_in_polygons(points, shapes, cell_deg=cell, hot_rows=hot, ring_corners=corners), "pid", "gid")
         assert got == want
     left = pairs_of(spatial_join.points_in_polygons(points, shapes, how="left"), "pid", "gid")
     assert {p for p, _ in left} == set(range(400)) and {x for x in left if x[1] is not None} == want
@@ -144,8 +144,81 @@ def test_nearest_site_one_place_and_none(spark):
 def test_overlap_exact_for_half_plane(spark):
     points = spark.createDataFrame([(0.0, 0.0)], "latitude double, longitude double")
     half = ring_rows(spark, {1: [(0, -1), (1, -1), (1, 1), (0, 1), (0, -1)]}).withColumn("landuse_type", F.lit("forest"))
-    row = spatial_join.landuse_overlap(points, half, ["forest", "urban"], radius_deg=0.01, k=20).first()
-    assert row["forest"] == pytest.approx(0.5, abs=1e-9) and row["urban"] == 0
+    row = spatial_join.landuse_overlap(points, half, ["forest", "urban"], radius_deg=0.01).first()
+    assert row["forest"] == pytest.approx(0.5, abs=1e-12) and row["urban"] == 0
+
+
+def ray_casts(x, y, ring):
+    """Inside or not for many points, a plain ray cast against every edge."""
+    inside = np.zeros(len(x), bool)
+    for (ax, ay), (bx, by) in zip(ring, ring[1:]):
+        if ay != by:
+            spans = (ay <= y) != (by <= y)
+            inside ^= spans & (x < ax + (y - ay) * (bx - ax) / (by - ay))
+    return inside
+
+
+def test_points_in_rings_of_many_corners(spark):
+    rng = np.random.default_rng(12)
+    angle = np.linspace(0, 2 * np.pi, 100_001)[:-1]
+    reach = 2 + 0.3 * np.sin(40 * angle) + rng.normal(0, 0.01, len(angle))
+    round_ring = list(zip(reach * np.cos(angle), reach * np.sin(angle)))
+    up = np.linspace(-3, 3, 400)  # every edge spans the whole height
+    comb = [(x, -1.0 if i % 2 else 1.0) for i, x in enumerate(up)] + [(3.5, 2.0), (-3.5, 2.0)]
+    rings = {1: round_ring + round_ring[:1], 2: comb + comb[:1], 3: [(0, 0), (1, 0), (1, 1), (0, 0)]}
+    frame = pd.DataFrame({"pid": np.arange(1500), "longitude": rng.uniform(-4, 4, 1500), "latitude": rng.uniform(-3, 3, 1500)})
+    frame.loc[:99, ["longitude", "latitude"]] = [0.25, 0.125]  # a crowded place
+    want = {(int(p), g) for g, r in rings.items() for p in np.flatnonzero(ray_casts(frame.longitude.to_numpy(), frame.latitude.to_numpy(), r))}
+    points, shapes = spark.createDataFrame(frame), ring_rows(spark, rings)
+    for hot in (10**6, 50):
+        assert pairs_of(spatial_join.points_in_polygons(points, shapes, hot_rows=hot), "pid", "gid") == want
+    outer = pairs_of(spatial_join.points_in_polygons(points, shapes, how="left"), "pid", "gid")
+    assert {x for x in outer if x[1] is not None} == want and {p for p, _ in outer} == set(range(1500))
+    most = ring_edges.banded_edges(spatial_join.polygon_cells(shapes.where("gid = 1"), 100.0).dropDuplicates(["gid"]).withColumn("_h", ring_edges.band_height("ring")), "gid", "ring").groupBy(
+        "gid", "_level", "_band").count().agg(F.max("count"), F.sum("count")).first()
+    assert most[0] < 4000 and most[1] < 500_000  # of 100,000 edges a point meets few, and an edge few bands
+
+
+def test_scan_lines_fill_as_ray_casts_do(spark):
+    rng = np.random.default_rng(13)
+    rings = {}
+    for i in range(12):
+        n = int(rng.integers(3, 30))
+        angle, reach, (cx, cy) = np.sort(rng.uniform(0, 2 * np.pi, n)), rng.uniform(0.2, 4, n), rng.uniform(-1, 11, 2)
+        ring = list(zip(cx + reach * np.cos(angle), cy + reach * np.sin(angle)))
+        rings[i] = ring + ring[:1]
+    rings[20] = [(2.5, 2.5), (7.5, 2.5), (7.5, 7.5), (2.5, 7.5), (2.5, 2.5)]  # borders through centres
+    rings[21] = [(4, 4), (6, 4), (4, 4)]  # no area
+    shapes = ring_rows(spark, rings).withColumn("v", F.col("gid") + 1.0).withColumns({c: F.lit(None).cast("double") for c in ("longitude", "latitude")})
+    spot = spark.createDataFrame([(30, None, 99.0, 0.2, 0.3), (31, None, 98.0, 50.0, 0.3)], shapes.schema)
+    got = {(r["row"], r["col"]): r["value"] for r in raster.rasterize_shapes(shapes.unionByName(spot), "v", "gid", (0.0, 0.0, 10.0, 10.0), 0.5).collect()}
+    xs, ys = np.meshgrid((np.arange(20) + 0.5) * 0.5, 10 - (np.arange(20) + 0.5) * 0.5)
+    want = np.zeros((20, 20))
+    for g, ring in sorted(rings.items()):
+        want[ray_casts(xs.ravel(), ys.ravel(), ring).reshape(20, 20)] = g + 1
+    want[19, 0] = 99
+    assert len(got) == 400 and all(got[r, c] == want[r, c] for r in range(20) for c in range(20))
+
+
+def test_disc_overlap_agrees_with_a_fine_lattice(spark):
+    rng = np.random.default_rng(14)
+    k = 1200
+    at = (np.arange(k) + 0.5) / k * 2 - 1
+    lx, ly = (v.ravel() for v in np.meshgrid(at, at))
+    disc = lx * lx + ly * ly <= 1
+    rings = {0: [(-5, -5), (5, -5), (5, 5), (-5, 5), (-5, -5)], 1: [(9, 9), (10, 9), (10, 10), (9, 9)], 2: [(-.2, -.2), (.3, -.1), (0, .4), (-.2, -.2)],
+             3: [(0, 0), (2, 0), (2, 2), (0, 0)], 4: [(-3, 0), (3, 0), (3, 0.5), (-3, 0.5), (-3, 0)], 5: [(0, 0), (0, 0), (1, 0), (0, 1), (0, 0)]}
+    for i in range(6, 12):
+        n = int(rng.integers(3, 12))
+        angle, reach, middle = np.sort(rng.uniform(0, 2 * np.pi, n)), rng.uniform(0.2, 2, n), rng.uniform(-1, 1, 2)
+        ring = list(zip(middle[0] + reach * np.cos(angle), middle[1] + reach * np.sin(angle)))
+        rings[i] = (ring + ring[:1])[::-1 if i % 2 else 1]
+    area = ring_edges.disc_overlap(F.col("ring"), F.lit(0.0), F.lit(0.0), 1.0)
+    got = {r["gid"]: r["a"] for r in ring_rows(spark, rings).select("gid", area.alias("a")).collect()}
+    for g, ring in rings.items():
+        assert got[g] == pytest.approx((ray_casts(lx, ly, ring) & disc).sum() * (2 / k) ** 2, abs=4e-3)
+    assert got[0] == pytest.approx(math.pi) and got[1] == pytest.approx(0) and got[2] == pytest.approx(0.14)
+    assert got[5] == pytest.approx(0.5)
 
 
 def test_grid_counts_and_values(spark):
