@@ -1,14 +1,21 @@
 """Exact nearest-row imputation without comparing every pair of rows.
 
 The distance between two rows is the Euclidean distance over the columns both have, scaled
-up by (all columns / shared columns). Three facts keep it cheap and exact:
+up by (all columns / shared columns). What keeps it cheap and exact:
 
 * rows that agree in every value are at the same distance, so at most ``k`` of them matter;
 * the ``k``-th nearest of some donors (up to ``BOUND_ROWS`` of the receiver's own cell, or
-  ``k`` of the whole table) is an upper bound on the wanted distance;
-* the distance is at least the scaled gap in any complete column, so only cells whose
-  range meets the bound can hold a nearer donor. Cells are cut at quantile split points of
-  the widest complete columns, so dense regions get narrow cells.
+  a few of the whole table) is an upper bound on the wanted distance;
+* columns are put in blocks of ``AXES``, complete and wide ones first. A receiver looks into
+  the block of which it has most columns: those columns are its axes. The pattern (block and
+  the columns had) names the index it uses; donors stand in the index of every pattern in use;
+* a donor that has an axis stands in the cell of its value there, cut at quantiles; the
+  distance is at least the gap in that axis, scaled by all columns / columns the receiver has,
+  so only cells whose range meets the bound matter. A donor that lacks an axis stands in a cell
+  of its own there, which every receiver looks into: no distance can be ruled out by it.
+
+Cells that hold many donors are sliced by a salt of their own, and the first ``k`` donors of
+a receiver are ranked map-side before the shuffle.
 """
 
 from __future__ import annotations
@@ -18,12 +25,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from greenlattice.operators.ranking import with_bucket
+from greenlattice.operators.spatial_join import salted
 from greenlattice.session import materialize
 
 CELL_ROWS = 256
 BOUND_ROWS = 512
-CELL_COLUMNS = 3
-MAX_CUTS = 64
+AXES = 3  # columns of a block
+MAX_CUTS = 4096  # split points of a column (with three axes enough for 10^13 rows)
+HOT_CELL_ROWS = 100_000
+LACKING = -1  # cell of the donors without a value
 
 
 def _scaled_square(size: int) -> Column:
@@ -36,52 +46,107 @@ def _scaled_square(size: int) -> Column:
     return F.try_divide(total * F.lit(float(size)), F.size(F.array_compact(gaps)))
 
 
+class _Index:
+    """Blocks of columns, their cells, and the patterns by which receivers use them.
+
+    ``number`` of a pattern is block * 2**AXES + the bits of the block's columns that a receiver has.
+    """
+
+    def __init__(self, columns: list[str], facts, cell_rows: int, table: DataFrame) -> None:
+        rows = facts["_n"]
+        varied = [c for c in columns if facts[f"s_{c}"] > 0] or columns[:1]
+        order = sorted(varied, key=lambda c: (facts[f"n_{c}"] < rows, -facts[f"s_{c}"]))
+        self.blocks = [order[i:i + AXES] for i in range(0, len(order), AXES)]
+        self.columns = columns
+        cuts = {c: int(min(MAX_CUTS, max(1, round((rows / cell_rows) ** (1 / len(b)))))) for b in self.blocks for c in b}
+        asked = {c: [i / n for i in range(1, n)] for c, n in cuts.items() if n > 1}
+        found = table.agg(*[F.percentile_approx(c, p).alias(c) for c, p in asked.items()]).first() if asked else {}
+        self.splits = {c: sorted(set(found[c] or [])) if c in asked else [] for c in order}
+
+    def bucketed(self, df: DataFrame, value: dict[str, Column], prefix: str) -> DataFrame:
+        """``df`` with the bucket of each column's ``value``."""
+        for c, v in value.items():
+            df = with_bucket(df.withColumn("_v", F.coalesce(v, F.lit(0.0))), "_v", self.splits[c], f"{prefix}{c}").drop("_v")
+        return df
+
+    def number(self) -> Column:
+        """Pattern of a row: the first of the blocks of which it has most columns; NULL if it has none."""
+        have = [[F.col(c).isNotNull().cast("int") for c in block] for block in self.blocks]
+        counts = [reduce(lambda x, y: x + y, h) for h in have]
+        bits = [reduce(lambda x, y: x + y, [h * (1 << i) for i, h in enumerate(hs)]) + F.lit(b << AXES) for b, hs in enumerate(have)]
+        most = F.greatest(*counts) if len(counts) > 1 else counts[0]
+        chosen = F.lit(None)
+        for count, number in reversed(list(zip(counts, bits))):
+            chosen = F.when((count == most) & (count > 0), number).otherwise(chosen)
+        return chosen.cast("int")
+
+    def axes(self, number: int) -> list[str | None]:
+        """Columns of a pattern by cell place."""
+        block = self.blocks[number >> AXES]
+        return [block[i] if i < len(block) and number >> i & 1 else None for i in range(AXES)]
+
+    def place(self, number: int, cell) -> list[Column]:
+        return [F.lit(0) if c is None else cell(c) for c in self.axes(number)]
+
+
+CELL = [f"_b{i}" for i in range(AXES)]
+
+
 def impute_nearest_rows(df: DataFrame, columns: list[str], row_id: str, k: int = 5,
-                        cell_rows: int = CELL_ROWS) -> DataFrame:
+                        cell_rows: int = CELL_ROWS, hot_rows: int = HOT_CELL_ROWS) -> DataFrame:
     """Fill missing values of ``columns`` with the mean over the ``k`` nearest rows that have them."""
     table = df.withColumns({c: F.col(c).cast("double") for c in columns})
     facts = table.agg(F.count(F.lit(1)).alias("_n"), *[F.count(c).alias(f"n_{c}") for c in columns],
                       *[F.coalesce(F.stddev_pop(c), F.lit(0.0)).alias(f"s_{c}") for c in columns],
                       *[F.avg(c).alias(f"m_{c}") for c in columns]).first()
-    rows = facts["_n"]
-    gappy = [c for c in columns if facts[f"n_{c}"] < rows]
+    gappy = [c for c in columns if facts[f"n_{c}"] < facts["_n"]]
     if not gappy:
         return df
-    complete = sorted((c for c in columns if facts[f"n_{c}"] == rows), key=lambda c: -facts[f"s_{c}"])
-    axes = [c for c in complete if facts[f"s_{c}"] > 0][:CELL_COLUMNS]
-    cuts = int(min(MAX_CUTS, max(1, round((rows / cell_rows) ** (1 / max(1, len(axes)))))))
-    splits: dict[str, list[float]] = {c: [] for c in axes}
-    if axes and cuts > 1:
-        probs = [i / cuts for i in range(1, cuts)]
-        found = table.agg(*[F.percentile_approx(c, probs).alias(c) for c in axes]).first()
-        splits = {c: sorted(set(found[c])) for c in axes}
-    cells = [f"_b{i}" for i in range(len(axes))]
-
-    # Donors: at most k rows of any group of identical rows.
+    index = _Index(columns, facts, cell_rows, table)
+    incomplete = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in gappy])
+    axes = {c: F.col(c) for block in index.blocks for c in block}
+
+    # Receivers: one row per distinct incomplete row and missing column, with the pattern it looks through.
+    distinct = table.where(incomplete).groupBy(*columns).agg(F.min(row_id).alias("_rid")).withColumn("_pattern", index.number())
+    wants = F.array(*[F.when(F.col(c).isNull(), F.lit(columns.index(c))) for c in gappy])
+    receivers = index.bucketed(distinct.where("_pattern is not null"), axes, "_own_")
+    receivers = materialize(receivers.select("*", F.array(*columns).alias("_rv"), F.explode(F.array_compact(wants)).alias("_gap")))
+    patterns = sorted(r[0] for r in receivers.select("_pattern").distinct().collect())  # 2**AXES a block at most
+
+    def by_pattern(cell) -> list[Column]:
+        """The cell places of a row by its pattern."""
+        places = {n: index.place(n, cell) for n in patterns}
+        out = []
+        for i in range(AXES):
+            chosen = F.lit(0)
+            for n in patterns:
+                chosen = F.when(F.col("_pattern") == n, places[n][i]).otherwise(chosen)
+            out.append(chosen)
+        return out
+
+    receivers = receivers.select("_rid", "_gap", "_pattern", "_rv", *[c.alias(n) for c, n in zip(by_pattern(lambda c: F.col(f"_own_{c}")), CELL)])
+
+    # Donors: at most k rows of any group of identical rows, in the index of every pattern in use.
     same = W.partitionBy(*columns).orderBy(row_id)
     donors = (table.select(row_id, *columns).withColumn("_copy", F.row_number().over(same))
               .where(F.col("_copy") <= k).drop("_copy"))
-    for cell, c in zip(cells, axes):
-        donors = with_bucket(donors, c, splits[c], cell)
-    offers = F.array(*[F.when(F.col(c).isNotNull(), F.lit(columns.index(c))) for c in gappy])
-    donors = materialize(donors.select(*cells, F.col(row_id).alias("_id"), F.array(*columns).alias("_dv"),
-                                       F.explode(F.array_compact(offers)).alias("_gap")))
-
-    # Receivers: one row per distinct incomplete row and missing column.
-    incomplete = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in gappy])
-    receivers = table.where(incomplete).groupBy(*columns).agg(F.min(row_id).alias("_rid"))
-    for cell, c in zip(cells, axes):
-        receivers = with_bucket(receivers, c, splits[c], cell)
-    wants = F.array(*[F.when(F.col(c).isNull(), F.lit(columns.index(c))) for c in gappy])
-    receivers = receivers.select(*cells, "_rid", F.array(*columns).alias("_rv"),
-                                 F.explode(F.array_compact(wants)).alias("_gap"))
-
-    # Upper bound from some donors of the own cell, or k donors of the whole table.
-    few = W.partitionBy(*cells, "_gap").orderBy("_id")
+    donors = index.bucketed(donors, axes, "_own_")
+    stands = F.array(*[F.struct(F.lit(n).alias("_pattern"), *[c.cast("int").alias(b) for c, b in zip(
+        index.place(n, lambda c: F.when(F.col(c).isNull(), F.lit(LACKING)).otherwise(F.col(f"_own_{c}"))), CELL)]) for n in patterns])
+    donors = materialize(donors.select(F.col(row_id).alias("_id"), F.array(*columns).alias("_dv"), F.explode(stands).alias("_s"))
+                         .select("_id", "_dv", "_s.*")) if patterns else None
+    if donors is None:
+        return df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(facts[f"m_{c}"])) for c in gappy})
+    keys = ["_pattern", *CELL]
+    has_gap = F.get("_dv", F.col("_gap")).isNotNull()
+
+    # Upper bound from some donors of the own cell, or a few donors of the whole table.
+    few = W.partitionBy(*keys).orderBy("_id")
     local = donors.withColumn("_i", F.row_number().over(few)).where(F.col("_i") <= max(k, BOUND_ROWS)).drop("_i")
-    # the k least ids of a column come from a combined top-k, not from one task's sort
+    # the least ids that have a column come from a combined top-k, not from one task's sort
     anywhere = reduce(DataFrame.unionByName, [
-        local.where(F.col("_gap") == columns.index(c)).select("_gap", "_id", "_dv").orderBy("_id").limit(k) for c in gappy])
+        donors.where((F.col("_pattern") == patterns[0]) & F.get("_dv", F.lit(columns.index(c))).isNotNull())
+        .select(F.lit(columns.index(c)).alias("_gap"), "_id", "_dv").orderBy("_id").limit(2 * k) for c in gappy])
     square = _scaled_square(len(columns))
     closest = W.partitionBy("_rid", "_gap").orderBy(F.asc_nulls_last("_d2"))
 
@@ -90,26 +155,33 @@ def impute_nearest_rows(df: DataFrame, columns: list[str], row_id: str, k: int =
                .withColumn("_i", F.row_number().over(closest)).where(F.col("_i") == k))
         return top.select("_rid", "_gap", F.col("_d2").alias(name))
 
-    near_bound = kth_distance(receivers.join(local, [*cells, "_gap"]), "_near")
-    far_bound = kth_distance(receivers.join(anywhere, "_gap"), "_far")
-    bounded = (receivers.join(near_bound, ["_rid", "_gap"], "left").join(far_bound, ["_rid", "_gap"], "left")
-               .withColumn("_limit", F.coalesce(F.least("_near", "_far"), F.lit(float("inf"))) * (1 + 1e-12))
-               .drop("_near", "_far", *cells))
-    bounded = materialize(bounded)
+    near_bound = kth_distance(receivers.join(local, keys).where(has_gap), "_near")
+    far_bound = kth_distance(receivers.join(F.broadcast(anywhere), "_gap"), "_far")  # 2 k rows a column
+    bounded = (receivers.drop(*CELL).join(near_bound, ["_rid", "_gap"], "left").join(far_bound, ["_rid", "_gap"], "left")
+               .withColumn("_limit", F.coalesce(F.least("_near", "_far"), F.lit(float("inf"))) * (1 + 1e-12)).drop("_near", "_far"))
 
-    # Cells whose range meets the bound in every axis.
+    # Cells whose range meets the bound in every axis, and those of donors without it.
     present = F.size(F.array_compact(F.col("_rv")))
     reach = F.sqrt(F.col("_limit") * present / F.lit(float(len(columns)))) * (1 + 1e-9)
-    searched = bounded
-    for cell, c in zip(cells, axes):
-        own = F.col("_rv")[columns.index(c)]
-        searched = searched.withColumns({"_from": own - reach, "_to": own + reach})
-        searched = with_bucket(with_bucket(searched, "_from", splits[c], "_lo"), "_to", splits[c], "_hi")
-        searched = searched.withColumn(cell, F.explode(F.sequence("_lo", "_hi"))).drop("_from", "_to", "_lo", "_hi")
-    pairs = (searched.join(donors, [*cells, "_gap"]).select("_rid", "_gap", "_id", "_dv", "_limit", square.alias("_d2"))
+    own = {c: F.get("_rv", F.lit(columns.index(c))) for c in axes}
+    ranged = index.bucketed(index.bucketed(bounded, {c: v - reach for c, v in own.items()}, "_lo_"), {c: v + reach for c, v in own.items()}, "_hi_")
+    lows, highs = by_pattern(lambda c: F.col(f"_lo_{c}")), by_pattern(lambda c: F.col(f"_hi_{c}"))
+    searched = ranged.select("_rid", "_gap", "_pattern", "_rv", "_limit", *[low.alias(f"_l{i}") for i, low in enumerate(lows)],
+                             *[high.alias(f"_h{i}") for i, high in enumerate(highs)])
+    searched = materialize(searched)
+    lacking = {r[0]: set(r[1]) for r in donors.groupBy("_pattern").agg(F.array_compact(F.array(*[
+        F.max(F.when(F.col(b) == LACKING, F.lit(i))) for i, b in enumerate(CELL)]))).collect()}  # a row per pattern
+    for i, b in enumerate(CELL):
+        cells = F.sequence(F.col(f"_l{i}"), F.col(f"_h{i}"))
+        also = [n for n in patterns if i in lacking.get(n, ())]
+        if also:
+            cells = F.when(F.col("_pattern").isin(also), F.concat(cells, F.array(F.lit(LACKING)))).otherwise(cells)
+        searched = searched.withColumn(b, F.explode(cells)).drop(f"_l{i}", f"_h{i}")
+    donors, searched, salted_keys = salted(donors, searched, keys, hot_rows)
+    pairs = (searched.join(donors, salted_keys).where(has_gap).select("_rid", "_gap", "_id", "_dv", "_limit", square.alias("_d2"))
              .where(F.col("_d2") <= F.col("_limit")))
     nearest = W.partitionBy("_rid", "_gap").orderBy("_d2", "_id")
-    filled = (pairs.withColumn("_value", F.get("_dv", F.col("_gap"))).withColumn("_i", F.row_number().over(nearest))
+    filled = (pairs.select("_rid", "_gap", "_id", "_d2", F.get("_dv", F.col("_gap")).alias("_value")).withColumn("_i", F.row_number().over(nearest))
               .where(F.col("_i") <= k).groupBy("_rid", "_gap").agg(F.avg("_value").alias("_fill")))
     # One row per distinct incomplete row, its fills as columns, joined back on the values.
     wide = filled.groupBy("_rid").agg(*[

@@ -24,7 +24,7 @@ def hot_keys(df: DataFrame, keys: list[str], hot_rows: int = HOT_CELL_ROWS) -> D
     return materialize(counts.where(F.col("_n") > hot_rows).select(*keys, F.ceil(F.col("_n") / F.lit(hot_rows)).cast("int").alias("_slices")))
 
 
-def _salted(dense: DataFrame, sparse: DataFrame, keys: list[str],
+def salted(dense: DataFrame, sparse: DataFrame, keys: list[str],
             hot_rows: int) -> tuple[DataFrame, DataFrame, list[str]]:
     """Slice the hot keys of the dense side by a row hash and repeat their sparse rows once per slice.
 
@@ -68,7 +68,7 @@ def radius_join(points: DataFrame, targets: DataFrame, radius_km: float, how: st
     own = cells.band(F.col("latitude"))
     left = (points.withColumn("_band", F.explode(F.sequence(own - 1, own + 1)))
             .withColumn("_cell", F.explode(cells.neighbour_cells(F.col("longitude"), F.col("_band")))))
-    right, left, keys = _salted(right, left, ["_band", "_cell"], hot_rows)
+    right, left, keys = salted(right, left, ["_band", "_cell"], hot_rows)
     distance = haversine_km(F.col("latitude"), F.col("longitude"), F.col(tlat), F.col(tlon))
     return (left.join(right, keys).withColumn("distance_km", distance)
             .where(F.col("distance_km") <= F.lit(float(radius_km))).drop("_band", "_cell", "_salt"))
@@ -86,7 +86,7 @@ def planar_radius_join(points: DataFrame, targets: DataFrame, radius_deg: float,
     cy, cx = F.floor(F.col("latitude") / size).cast("bigint"), F.floor(F.col("longitude") / size).cast("bigint")
     left = (points.withColumn("_cy", F.explode(F.sequence(cy - 1, cy + 1)))
             .withColumn("_cx", F.explode(F.sequence(cx - 1, cx + 1))))
-    right, left, keys = _salted(right, left, ["_cy", "_cx"], hot_rows)
+    right, left, keys = salted(right, left, ["_cy", "_cx"], hot_rows)
     dlat, dlon = F.col("latitude") - tlat, F.col("longitude") - tlon
     return (left.join(right, keys).withColumn("distance_deg", F.sqrt(dlat * dlat + dlon * dlon))
             .where(F.col("distance_deg") <= size).drop("_cy", "_cx", "_salt"))
@@ -210,7 +210,7 @@ def _box_matches(points: DataFrame, tiled: DataFrame, size: float, hot_rows: int
     levels = sorted(r[0] for r in tiled.select("_lvl").where(F.col("_lvl").isNotNull()).distinct().collect())  # a few levels
     located = points.withColumn("_lvl", F.explode(F.array(*[F.lit(n) for n in levels])) if levels else F.lit(0))
     located = located.withColumns({"_px": _cell("longitude", size), "_py": _cell("latitude", size)})
-    located, tiled, keys = _salted(located, tiled, ["_lvl", "_px", "_py"], hot_rows)
+    located, tiled, keys = salted(located, tiled, ["_lvl", "_px", "_py"], hot_rows)
     x, y = F.col("longitude"), F.col("latitude")
     in_box = (x >= F.col("_x0")) & (x < F.col("_x1")) & (y >= F.col("_y0")) & (y < F.col("_y1"))
     return located.join(tiled, keys).where(in_box)
@@ -227,7 +227,7 @@ def _points_in_long_rings(points: DataFrame, shapes: DataFrame, ring_name: str,
     pairs = materialize(_box_matches(points, boxes, size, hot_rows).select(*points.columns, "_ring_row", "_y0", "_h").withColumn(
         "_pair", F.monotonically_increasing_id()))
     asked = ring_edges.looking(pairs.select("_pair", "_ring_row", F.col("longitude").alias("_x"), F.col("latitude").alias("_y"), "_y0", "_h"), levels, "_ring_row")
-    asked, edges, keys = _salted(asked, edges, ["_ring_row", "_level", "_band"], hot_rows)
+    asked, edges, keys = salted(asked, edges, ["_ring_row", "_level", "_band"], hot_rows)
     odd = ring_edges.odd_crossings(asked.join(edges, keys))
     inside = pairs.join(odd, "_pair").drop("_pair", "_y0", "_h")
     return inside.join(shapes, "_ring_row").drop("_ring_row")
@@ -338,7 +338,7 @@ def landuse_overlap(points: DataFrame, polygons: DataFrame, types: list[str], ra
         "_py", F.explode(F.sequence(_cell("_s", size), _cell("_n", size))))
     first_met = ((F.col("_px") == F.greatest(_cell("_w", size), _cell("_x0", size)))
                  & (F.col("_py") == F.greatest(_cell("_s", size), _cell("_y0", size))))
-    square, tiled, keys = _salted(square, tiled, ["_lvl", "_px", "_py"], HOT_CELL_ROWS)
+    square, tiled, keys = salted(square, tiled, ["_lvl", "_px", "_py"], HOT_CELL_ROWS)
     touch = (F.col("_w") < F.col("_x1")) & (F.col("_e") >= F.col("_x0")) & (F.col("_s") < F.col("_y1")) & (F.col("_n") >= F.col("_y0"))
     shared = ring_edges.disc_overlap(F.col("ring"), F.col("_plon"), F.col("_plat"), radius_deg)
     met = square.join(tiled, keys).where(first_met & touch).select("_plat", "_plon", type_column, shared.alias("_area"))

@@ -313,6 +313,25 @@ def nearest_row_imputation(spark, d):
     return tidy(impute_nearest_rows(table, KNN_COLUMNS, "row_id").select("row_id", "humidity"))
 
 
+SENSOR = [f"CASE WHEN (p_partkey*{m}) % 20 = {r} THEN NULL ELSE CAST((p_partkey*{w}) % {n} AS DOUBLE)/1e1 END AS {c}" for c, m, r, w, n in (
+    ("a", 7, 0, 7919, 997), ("b", 11, 1, 104729, 1009), ("c", 13, 2, 1299709, 1013), ("d", 17, 3, 15485863, 503), ("e", 19, 4, 86028121, 257))]
+GAPS = ["a", "b", "c", "d", "e"]
+
+
+@query("nearest_row_imputation_gaps", with_(f"s AS (SELECT p_partkey, {', '.join(SENSOR)} FROM part)",
+       "need AS (SELECT *, unnest(['a', 'b', 'c', 'd', 'e']) AS gap FROM s)",
+       f"""d AS (SELECT n.p_partkey, gap, h.p_partkey AS donor, CASE gap {' '.join(f"WHEN '{c}' THEN h.{c}" for c in GAPS)} END AS v,
+  ({' + '.join(f'coalesce((n.{c}-h.{c})*(n.{c}-h.{c}), 0)' for c in GAPS)})*5e0/({' + '.join(f'CASE WHEN n.{c}-h.{c} IS NULL THEN 0 ELSE 1 END' for c in GAPS)}) AS d2
+  FROM need n, s h WHERE CASE gap {' '.join(f"WHEN '{c}' THEN n.{c} IS NULL AND h.{c} IS NOT NULL" for c in GAPS)} END)""",
+       """best AS (SELECT p_partkey, gap, avg(v) AS v FROM (SELECT *, row_number() OVER (PARTITION BY p_partkey, gap ORDER BY d2, donor) AS i FROM d WHERE d2 IS NOT NULL) WHERE i <= 5 GROUP BY ALL)""") + f"""
+SELECT s.p_partkey, {', '.join(R(f"coalesce(s.{c}, max(CASE WHEN gap = '{c}' THEN v END), (SELECT avg({c}) FROM s))") + f' AS {c}' for c in GAPS)}
+FROM s LEFT JOIN best USING (p_partkey) GROUP BY ALL""".replace("GROUP BY ALL", "GROUP BY s.p_partkey, " + ", ".join(f"s.{c}" for c in GAPS)))
+def nearest_row_imputation_gaps(spark, d):
+    """Sensor-like rows: every column lacks a twentieth of its values, none is complete."""
+    table = t.table(spark, d, "part").selectExpr("p_partkey", *SENSOR)
+    return tidy(impute_nearest_rows(table, GAPS, "p_partkey"))
+
+
 @query("outliers_iqr", with_(t.CLIMATE_SQL, sequential("climate", CLIMATE_VARIABLES, IQR_BOUNDS, BETWEEN))
        + f"SELECT {CLIMATE_OUT} FROM s3")
 def outliers_iqr(spark, d):
