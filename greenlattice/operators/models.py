@@ -14,6 +14,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import (GBTRegressor, LinearRegression, RandomForestRegressor)
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from greenlattice.operators import trees
 from greenlattice.operators.features import polynomial_features, polynomial_terms
 from greenlattice.operators.metrics import regression_metrics
 from greenlattice.operators.quantiles import exact_quantiles
@@ -144,6 +145,14 @@ class Model:
         return spark.createDataFrame(list(rows.items()), "feature string, importance double").orderBy(
             F.desc("importance"), "feature")
 
+    def nodes(self, spark: SparkSession) -> DataFrame:
+        """The fitted trees as a table of nodes (``operators/trees.py``)."""
+        return trees.node_table(self.core, self.inputs(), spark)
+
+    def importance_by_kind(self, spark: SparkSession) -> DataFrame:
+        """(feature, kind, score, share) by splits, gain and cover."""
+        return trees.importance_by_kind(self.nodes(spark), self.inputs())
+
     def coefficients(self, spark: SparkSession) -> DataFrame:
         core = self.core
         rows = list(zip(self.inputs(), (float(v) for v in core.coefficients.toArray())))
@@ -161,10 +170,10 @@ class Model:
         return "y = " + " ".join(shown)
 
     def tree_statistics(self) -> dict:
-        trees = self.core.trees
-        depths, nodes = [t.depth for t in trees], [t.numNodes for t in trees]
+        fitted = self.core.trees
+        depths, nodes = [t.depth for t in fitted], [t.numNodes for t in fitted]
         leaves = [(n + 1) // 2 for n in nodes]
-        return {"n_trees": len(trees), "max_depth": max(depths), "avg_depth": float(np.mean(depths)),
+        return {"n_trees": len(fitted), "max_depth": max(depths), "avg_depth": float(np.mean(depths)),
                 "total_nodes": int(sum(nodes)), "avg_nodes": float(np.mean(nodes)),
                 "total_leaves": int(sum(leaves)), "avg_leaves": float(np.mean(leaves))}
 
@@ -299,7 +308,7 @@ def partial_dependence(model: Model, df: DataFrame, feature: str, resolution: in
     """Mean prediction at each grid value of a feature, over all rows.
 
     The grid is the distinct values where there are fewer than ``resolution``, else evenly
-    spaced between the 5 % and 95 % quantiles.
+    spaced between the 5 % and 95 % quantiles. Trees take one pass over the rows, whatever the grid.
     """
     few = [r[0] for r in df.select(F.col(feature).cast("double")).where(F.col(feature).isNotNull())
            .distinct().limit(resolution + 1).collect()]  # at most resolution + 1 values
@@ -308,6 +317,10 @@ def partial_dependence(model: Model, df: DataFrame, feature: str, resolution: in
     else:
         low, high = exact_quantiles(df, {feature: [0.05, 0.95]})[feature]
         points = [low + (high - low) * i / (resolution - 1) for i in range(resolution)]
+    if hasattr(model.core, "trees") and model.degree == 1:
+        fitted = trees.Trees.of(model.nodes(df.sparkSession), model.features)
+        values = trees.partial_dependence(fitted, df, model.features, feature, points)
+        return df.sparkSession.createDataFrame([(float(p), float(v)) for p, v in zip(points, values)], "grid_value double, average double")
     # Rows that agree in the other features predict alike: score them once, weighted.
     others = [c for c in model.features if c != feature]
     packed = df.groupBy(*others).agg(F.count(F.lit(1)).alias("_w"))

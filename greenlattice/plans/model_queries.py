@@ -263,6 +263,15 @@ def importance_methods(spark, d):
     return tidy(corr.unionByName(info).unionByName(tree))
 
 
+@query("importance_kinds")
+def importance_kinds(spark, d):
+    """Importance by splits, gain and cover of a forest and of boosting."""
+    table, model = forest(spark, d)
+    boosted = models.fit_model(table, FEATURES, TARGET, "gradient_boosting", params=BOOST, with_metrics=False)
+    rows = [m.importance_by_kind(spark).withColumn("model", F.lit(m.kind)) for m in (model, boosted)]
+    return tidy(rows[0].unionByName(rows[1]))
+
+
 @query("tree_statistics")
 def tree_statistics(spark, d):
     _, model = forest(spark, d)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F, types as T
 
 from greenlattice.functions.numeric import scatter_key
-from greenlattice.operators import crossval, metrics, models, moments, scoring, splits
+from greenlattice.operators import crossval, metrics, models, moments, scoring, splits, trees
 from greenlattice.sources import landed, readers, sinks
 from greenlattice.streaming import ingest
 
@@ -321,3 +321,45 @@ def test_moments_merge():
         moments.fit(moments.Moments.none(3))
     with pytest.raises(ValueError):
         moments.fit(whole, "random_forest")
+
+
+@pytest.fixture(scope="module")
+def tree_models(df):
+    return [models.fit_model(df, COLS, "target", "random_forest", params={"n_estimators": 6, "max_depth": 5}, with_metrics=False),
+            models.fit_model(df, COLS, "target", "gradient_boosting", params={"n_estimators": 5, "max_depth": 3}, with_metrics=False)]
+
+
+def test_importance_kinds(spark, df, tree_models):
+    for model in tree_models:
+        nodes = model.nodes(spark)
+        rows = {(r["feature"], r["kind"]): r for r in model.importance_by_kind(spark).collect()}
+        assert len(rows) == 4 * len(trees.KINDS)
+        for kind in trees.KINDS:
+            assert sum(rows[f, kind]["share"] for f in COLS) == pytest.approx(1)
+        splits = sum((t.numNodes - 1) // 2 for t in model.core.trees)
+        assert sum(rows[f, "weight"]["score"] for f in COLS) == splits == nodes.where("feature is not null").count()
+        text = "".join(t.toDebugString for t in model.core.trees)
+        for i, f in enumerate(COLS):
+            assert rows[f, "weight"]["score"] == text.count(f"If (feature {i} <=")
+            if rows[f, "weight"]["score"]:
+                assert rows[f, "total_cover"]["score"] == pytest.approx(rows[f, "cover"]["score"] * rows[f, "weight"]["score"])
+        assert rows["feature_0", "total_gain"]["share"] == max(rows[f, "total_gain"]["share"] for f in COLS)
+        # a split's rows are those of its children
+        kids = nodes.alias("p").join(nodes.alias("c"), (F.col("p.tree") == F.col("c.tree")) & F.col("c.node").isin(F.col("p.left"), F.col("p.right")))
+        assert kids.groupBy("p.tree", "p.node").agg((F.sum("c.cover") - F.first("p.cover")).alias("d")).where("abs(d) > 1e-6").isEmpty()
+
+
+def test_partial_dependence_of_trees_is_that_of_all_rows(spark, frame, df, tree_models):
+    grid = [-1.5, -0.2, 0.0, 0.4, 0.4, 2.0]
+    for model in tree_models:
+        fitted = trees.Trees.of(model.nodes(spark), COLS)
+        got = trees.partial_dependence(fitted, df, COLS, "feature_1", grid)
+        for v, average in zip(grid, got):
+            assert average == pytest.approx(model.predict(df.withColumn("feature_1", F.lit(v))).agg(F.avg("predicted")).first()[0], rel=1e-9)
+        near = trees.partial_dependence(fitted, None, COLS, "feature_1", grid)  # features are independent here
+        assert np.corrcoef(near, got)[0, 1] > 0.98
+        curve = models.partial_dependence(model, df, "feature_0", 20).orderBy("grid_value").collect()
+        assert len(curve) == 20 and curve[0]["average"] < curve[-1]["average"]
+    with pytest.raises(Exception, match="missing values"):
+        trees.partial_dependence(fitted, df.withColumn("feature_2", F.when(F.col("row_id") > 5, F.col("feature_2"))), COLS, "feature_1", grid)
+    assert all(np.isnan(trees.partial_dependence(fitted, df.limit(0), COLS, "feature_1", grid)))
