@@ -44,7 +44,7 @@ SAMPLE = 2048  # rows that the dealing tree is fitted on
 SAMPLE_LEAF = 16
 SHARD_ROWS = 2048
 BLOCK = 1024  # anchors of a block
-LEAF = 64
+LEAF = 256
 FAN = 16
 ROOTS = 4096  # shards whose roots a task looks at together
 POSITIVES, NEGATIVES = 5, 5
