@@ -15,6 +15,7 @@ from greenlattice.plans.registry import R, RA, query, with_
 from greenlattice.plans.validation_queries import SHIFTED, SHIFTED_SQL, VALID_SQL, shifted
 from greenlattice.session import materialize, shared_dir
 from greenlattice.sources import readers, sinks, tables as t
+from greenlattice.sources.keyed_log import KeyedLog
 from greenlattice.streaming import ingest
 
 FEATURES = ["temperature", "precipitation", "forest_cover", "urban_area", "species_count", "species_diversity"]
@@ -545,6 +546,31 @@ def stream_monthly_means(spark, d):
     return tidy(ingest.run_complete(ingest.monthly_means(rows, "obs_date", ["ix", "iy"], ["temperature", "precipitation"])))
 
 
+@query("stream_closed_months", with_(t.CLIMATE_SQL, "m AS (SELECT *, CAST(date_trunc('month', obs_date) AS DATE) AS month FROM climate)") + f"""
+SELECT ix, iy, month, CAST(count(*) AS BIGINT) AS n, {R('avg(temperature)')} AS temperature, {R('avg(precipitation)')} AS precipitation
+FROM m WHERE month + INTERVAL 2 MONTH <= (SELECT max(month) FROM m) GROUP BY ix, iy, month""")
+def stream_closed_months(spark, d):
+    """Months that have passed, given out once; only open months are held."""
+    rows = ingest.stream_table(spark, d, "lineitem.parquet", t.table(spark, d, "lineitem").schema).selectExpr(*t.CLIMATE_COLUMNS)
+    stored, _ = ingest.run_to_table(ingest.closed_months(rows, "obs_date", ["ix", "iy"], ["temperature", "precipitation"]))
+    return tidy(stored)
+
+
+@query("stream_upserts", f"""SELECT user_id, event_type, last.ts AS ts, last.event_id AS event_id, {R('last.v')} AS value FROM
+  (SELECT user_id, event_type, max(struct_pack(ts := ts, event_id := event_id, v := CASE WHEN event_id % 3 = 0 THEN -value ELSE value END)) AS last FROM events GROUP BY ALL)""")
+def stream_upserts(spark, d):
+    """The last event per user and type in a keyed log: a stream, its replay, corrections, and a compaction between."""
+    log = KeyedLog(scratch(spark, "last-events"), ("user_id", "event_type"), ("ts", "event_id"), buckets=8)
+    stream = event_stream(spark, d).select("user_id", "event_type", "ts", "event_id", "value")
+    schema = t.table(spark, d, "events").select("user_id", "event_type", "ts", "event_id", "value").schema
+    ingest.upsert_stream(stream, log)
+    ingest.upsert_stream(stream, log, first_version=0)  # the same batch once more
+    log.compact(spark, schema, deltas=1)
+    last = log.read(spark, schema)
+    log.append(last.where("event_id % 3 = 0").withColumn("value", -F.col("value")), 1)
+    return tidy(log.read(spark, schema))
+
+
 @query("stream_deduplicated", "SELECT DISTINCT event_id FROM events")
 def stream_deduplicated(spark, d):
     rows = event_stream(spark, d).select("event_id", "ts")

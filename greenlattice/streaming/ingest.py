@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 from greenlattice.operators.models import Model
 from greenlattice.operators.scoring import with_model_features
 from greenlattice.session import shared_dir
+from greenlattice.sources.keyed_log import KeyedLog
 
 
 def stream_table(spark: SparkSession, folder: str, name: str, schema: T.StructType,
@@ -103,6 +104,41 @@ def monthly_means(df: DataFrame, time: str, keys: list[str], values: list[str])
     return df.groupBy(*keys, F.trunc(F.to_date(time), "MM").alias("month")).agg(*[F.avg(v).alias(v) for v in values])
 
 
+def closed_months(df: DataFrame, time: str, keys: list[str], values: list[str], open_months: int = 1) -> DataFrame:
+    """Means of calendar months that have passed, for append mode: state holds open months only.
+
+    Months are no fixed-length window, so the end of a row's month is the event time. A month
+    closes, is given out once and leaves the state when a row of the month ``open_months`` + 1
+    later has been seen in an earlier batch; rows of closed months are dropped as late.
+    """
+    if not 0 <= open_months <= 10:
+        raise ValueError("open_months must be between 0 and 10")
+    end = F.add_months(F.trunc(F.to_date(time), "MM"), 1).cast("timestamp")
+    timed = df.withColumn("_end", end).withWatermark("_end", f"{31 * open_months + 1} days")
+    means = timed.groupBy("_end", *keys).agg(F.count(F.lit(1)).alias("n"), *[F.avg(v).alias(v) for v in values])
+    return means.select(*keys, F.add_months(F.to_date("_end"), -1).alias("month"), "n", *values)
+
+
+def upsert_stream(stream: DataFrame, log: KeyedLog, checkpoint: str | None = None, first_version: int | None = None) -> StreamingQuery:
+    """Drain a stream into a keyed log: each micro-batch is one version, a replayed one replaces itself.
+
+    Without a checkpoint of its own the stream begins after the log's last version; a stream that
+    goes on with its checkpoint has to name the first version it began with (0 by default).
+    """
+    spark = stream.sparkSession
+    last = log.state(spark)[0][-1:]
+    first = first_version if first_version is not None else last[0] + 1 if last and checkpoint is None else 0
+    checkpoint = checkpoint or f"{shared_dir(spark)}/offsets-{uuid.uuid4().hex}"
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        log.append(batch, first + epoch)
+
+    query = (stream.writeStream.outputMode("append").foreachBatch(write).option("checkpointLocation", checkpoint)
+             .trigger(availableNow=True).start())
+    query.awaitTermination()
+    return query
+
+
 def deduplicate(df: DataFrame, keys: list[str], time: str, lateness: str = "1 day") -> DataFrame:
     """First row per key, with state kept only as long as late copies may arrive."""
     return with_event_time(df, time, lateness).dropDuplicatesWithinWatermark(keys)
