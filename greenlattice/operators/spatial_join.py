@@ -239,7 +239,7 @@ BROADCAST_CELLS = 65_536  # cells a level can have at most for its table to go t
 
 
 def nearest_site(points: DataFrame, point_id: str, sites: DataFrame, site_id: str,
-                 leaf_rows: int = 16, stride: int = 2, max_depth: int = 24) -> DataFrame:
+                 leaf_rows: int = 16, stride: int = 2, max_depth: int = 40) -> DataFrame:
     """(point_id, site_id, distance_deg): the nearest site of every point, lowest id on a tie.
 
     A quadtree over the sites is walked top-down for all points at once. A step joins each
@@ -262,25 +262,24 @@ def nearest_site(points: DataFrame, point_id: str, sites: DataFrame, site_id: st
             "_cx": F.floor((F.col("_sx") - F.lit(box[0])) * scale).cast("bigint"),
             "_cy": F.floor((F.col("_sy") - F.lit(box[1])) * scale).cast("bigint")})
 
-    depth = stride
-    while depth < max_depth:
-        hottest = at_depth(placed, depth).groupBy("_cx", "_cy").count().agg(F.max("count")).first()[0]
-        if hottest <= leaf_rows:
-            break
-        depth += stride
-    leaves = at_depth(placed, depth)
-    tight = leaves.groupBy("_cx", "_cy").agg(
-        F.min("_sx").alias("_x0"), F.max("_sx").alias("_x1"),
-        F.min("_sy").alias("_y0"), F.max("_sy").alias("_y1"))
+    # Counts of the finest cells give those of every depth, so one job finds the leaves' depth.
+    finest = at_depth(placed, max_depth).groupBy("_cx", "_cy").agg(F.count(F.lit(1)).alias("_n"))
+    depths = list(range(stride, max_depth + 1, stride))
+    shifted = F.explode(F.array(*[F.struct(F.lit(d).alias("d"), F.shiftright("_cx", max_depth - d).alias("x"), F.shiftright("_cy", max_depth - d).alias("y"))
+                                  for d in depths])).alias("c")
+    hottest = (finest.select("_n", shifted).groupBy("c").agg(F.sum("_n").alias("_n")).groupBy("c.d").agg(F.max("_n").alias("_n")).collect())  # a row per depth
+    depth = min([r["d"] for r in hottest if r["_n"] <= leaf_rows], default=depths[-1])
+    leaves = materialize(at_depth(placed, depth))
+    # Every level's cells with the tight box of their sites, built from the leaves' boxes and stored once.
+    boxes = [F.min("_x0").alias("_x0"), F.max("_x1").alias("_x1"), F.min("_y0").alias("_y0"), F.max("_y1").alias("_y1")]
+    tight = leaves.groupBy("_cx", "_cy").agg(F.min("_sx").alias("_x0"), F.max("_sx").alias("_x1"), F.min("_sy").alias("_y0"), F.max("_sy").alias("_y1"))
+    steps = [F.struct(F.lit(d).alias("_d"), F.shiftright("_cx", depth - d).alias("_cx"), F.shiftright("_cy", depth - d).alias("_cy"))
+             for d in range(stride, depth + 1, stride)]
+    levels = materialize(tight.select("_x0", "_x1", "_y0", "_y1", F.explode(F.array(*steps)).alias("_s")).groupBy("_s").agg(*boxes).select("_s.*", "_x0", "_x1", "_y0", "_y1"))
 
     def level(d: int) -> DataFrame:
         """Non-empty cells of depth d with the tight box of their sites and their parent."""
-        shift, parent = depth - d, stride
-        up = lambda c, s: F.shiftright(F.col(c), s)
-        cells = (tight.groupBy(up("_cx", shift).alias("_cx"), up("_cy", shift).alias("_cy"))
-                 .agg(F.min("_x0").alias("_x0"), F.max("_x1").alias("_x1"),
-                      F.min("_y0").alias("_y0"), F.max("_y1").alias("_y1")))
-        return cells.withColumn("_ox", up("_cx", parent)).withColumn("_oy", up("_cy", parent))
+        return levels.where(F.col("_d") == d).drop("_d").withColumns({"_ox": F.shiftright("_cx", stride), "_oy": F.shiftright("_cy", stride)})
 
     # The top level has at most 4**stride cells: a literal array on every point. A point's
     # open cells are an array that is filtered against its own minimum, so a level is one
@@ -288,7 +287,12 @@ def nearest_site(points: DataFrame, point_id: str, sites: DataFrame, site_id: st
     fields = ["_cx", "_cy", "_x0", "_x1", "_y0", "_y1"]
     cell = F.struct(*fields)
     top = F.array(*[F.struct(*[F.lit(r[f]).alias(f) for f in fields]) for r in level(stride).collect()])
-    packed = points.select(F.col(point_id).alias("_pid"), F.col("longitude").alias("_x"), F.col("latitude").alias("_y"), top.alias("_cells"))
+    # Points are dealt by their id once: while levels go to every task, no level needs another shuffle. The walk is
+    # work for cores, not bytes, so the number of parts is named and not left to be merged by size.
+    spark = points.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    packed = points.select(F.col(point_id).alias("_pid"), F.col("longitude").alias("_x"), F.col("latitude").alias("_y")).repartition(
+        parts, F.col("_pid")).withColumn("_cells", top)
 
     def reach(c: Column, near: bool) -> Column:
         def along(low: Column, high: Column, at: str) -> Column:
