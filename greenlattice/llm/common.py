@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import gc
 from collections.abc import Callable
 
@@ -57,3 +58,17 @@ def release() -> None:
     """Give freed memory back at the end of a task: idle workers of one step stay alive beside those of the next."""
     gc.collect()
     pa.default_memory_pool().release_unused()
+
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+#: Columns of documents that stages read by name.
+READ = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def column_safe(stage: Stage) -> Stage:
+    """``stage`` for documents with columns of any name: those that it doesn't read have plain names on the way."""
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        plain = [c if c in READ else f"given{i}" for i, c in enumerate(docs.columns)]
+        return stage(spark, docs.toDF(*plain), sf_dir).select(*plain).toDF(*docs.columns)
+    return run

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from greenlattice.llm.common import keep, query, small, table
+from greenlattice.llm.common import column_safe, keep, query, small, table
 
 EDITS = 0.2  # of the item's words
 BLOCK_ITEMS = 20_000  # items whose keys are in the workers at a time: some 100 MB
@@ -191,6 +191,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return keep(out)
 
 
+@column_safe
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that contain a benchmark item go."""
     gone = keep(contamination(docs, table(spark, sf_dir, "benchmark")).select(F.col("_id").alias("_dc_id"), F.col("_tkey").alias("_dc_tkey")).distinct())

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from greenlattice.llm.common import keep, query, small, table
+from greenlattice.llm.common import column_safe, keep, query, small, table
 
 WORDS = 5
 CHUNK, CHUNKS = 5, 12
@@ -349,6 +349,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             .select("_id", "_tkey", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("_id")).alias("component_id")))
 
 
+@column_safe
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each component one document stays, of repeated rows one row.
 

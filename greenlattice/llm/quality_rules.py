@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from greenlattice.llm.common import keep, query, small, table
+from greenlattice.llm.common import column_safe, keep, query, small, table
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 SPACE = " \t\n\x0b\x0c\r"
@@ -134,6 +134,7 @@ def quality(docs: DataFrame) -> DataFrame:
         F.col("_kept").alias("kept"), *[F.col(f"_counts.{r}").alias(r) for r in RATIOS])
 
 
+@column_safe
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that the rules reject go. The texts are counted twice, not stored twice."""
     counted = with_counts(with_groups(docs))

@@ -23,7 +23,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from greenlattice.llm.common import keep, query, row_key, small, table, text_of
+from greenlattice.llm.common import column_safe, keep, query, row_key, small, table, text_of
 
 
 class Rule(NamedTuple):
@@ -172,6 +172,7 @@ def redacted(text: Column, spans: Column) -> Column:
     return F.when(F.size(spans) > 0, new).otherwise(text)
 
 
+@column_safe
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: secrets in the texts are replaced by the name of their kind; all documents stay."""
     found = scan(docs).withColumn("text", redacted(F.col("text"), F.col("_spans")))
