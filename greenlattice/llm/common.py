@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import functools
 import gc
 from collections.abc import Callable
@@ -55,9 +56,12 @@ def small(df: DataFrame) -> DataFrame:
 
 
 def release() -> None:
-    """Give freed memory back at the end of a task: idle workers of one step stay alive beside those of the next."""
+    """Give freed memory back to the system: idle workers of one step stay alive beside those of the next."""
     gc.collect()
     pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim:
+        trim(0)
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]

@@ -28,13 +28,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from greenlattice.llm.common import column_safe, keep, query, small, table
+from greenlattice.llm.common import column_safe, keep, query, release, small, table
 
 EDITS = 0.2  # of the item's words
 BLOCK_ITEMS = 20_000  # items whose keys are in the workers at a time: some 100 MB
 PUNCTUATION = ".,;:!?\"'()[]{}«»“”‘’…-–—*#"
 WORKED_ROWS = 256
-CACHE = 200_000  # words kept at hand
+CACHE = 65_536  # words kept at hand
 
 
 class Known(dict):
@@ -173,6 +173,7 @@ def _search(items: list[tuple[int, str]]):
                         [part.column("_id").take(where), part.column("_tkey").take(where), pa.array([index.ids[r[1]] for r in rows], pa.int64()),
                          pa.array([len(index.words[r[1]]) for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int32())],
                         names=["_id", "_tkey", "item_id", "n_words", "edits"])
+        release()
     return run
 
 

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from greenlattice.llm.common import column_safe, keep, query, small, table
+from greenlattice.llm.common import column_safe, keep, query, release, small, table
 
 WORDS = 5
 CHUNK, CHUNKS = 5, 12
@@ -46,7 +46,7 @@ LEAST_PERCENT = 75
 BIN_BITS = 10  # a sketch has 1024 bytes
 MEET = 4096  # members of a key that meet in one task
 BLOCK = 2048
-CACHE = 200_000  # words kept at hand
+CACHE = 65_536  # words kept at hand
 
 _rng = np.random.default_rng(20_231)
 WEIGHTS = _rng.integers(1, 2**63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -111,6 +111,7 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(
             [batch.column("_id"), batch.column("_tkey"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()),
              pa.ListArray.from_arrays(ends, flat)], names=["_id", "_tkey", "n_shingles", "set", "symbols"])
+    release()
 
 
 def described(docs: DataFrame) -> DataFrame:
@@ -155,6 +156,7 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             both = len(np.intersect1d(held, other, assume_unique=True))
             linked.append(100 * both >= LEAST_PERCENT * (len(held) + len(other) - both))
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(linked, pa.bool_()))
+        release()  # a batch holds two whole texts a pair
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,6 +171,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             line[bins] = s[first] % np.uint64(255) + np.uint64(1)
             out.append(line.tobytes())
         yield pa.RecordBatch.from_arrays([batch.column("_node"), pa.array(out, pa.binary())], names=["_node", "sketch"])
+    release()
 
 
 def first_shared(same: np.ndarray) -> np.ndarray:
@@ -253,6 +256,7 @@ def _meet(best: bool):
                     last = group
                 waiting.append(batch.slice(at, end - at))
         yield from out()
+        release()
     return run
 
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from greenlattice.llm.common import column_safe, keep, query, small, table
+from greenlattice.llm.common import column_safe, keep, query, release, small, table
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 SPACE = " \t\n\x0b\x0c\r"
@@ -58,6 +58,7 @@ def text_counts(text: str) -> tuple[int, ...]:
 def _count_texts(texts: pa.Array) -> pa.Array:
     """Counts per text; one text at a time is a Python string."""
     columns = list(zip(*(text_counts(t.as_py() or "") for t in texts))) or [()] * len(FIELDS)
+    release()
     return pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in columns], names=FIELDS)
 
 
@@ -136,8 +137,11 @@ def quality(docs: DataFrame) -> DataFrame:
 
 @column_safe
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that the rules reject go. The texts are counted twice, not stored twice."""
-    counted = with_counts(with_groups(docs))
+    """Pipeline stage: documents that the rules reject go.
+
+    The documents are stored with their counts, so that texts are counted once; limits read the counts only.
+    """
+    counted = keep(with_counts(with_groups(docs)))
     fences = limits(counted.select("lang", "source", "_counts"))
     return judge(counted, fences).where("_kept").select(*docs.columns)
 
