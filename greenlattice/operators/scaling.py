@@ -236,8 +236,10 @@ def apply_power(df: DataFrame, exponents: dict[str, float], method: str = "yeo-j
 
 
 def power_transform(df: DataFrame, columns: list[str] | None = None, method: str = "yeo-johnson",
-                    threshold: float = 0.5) -> DataFrame:
-    """Power transform of skewed columns; where it cannot be fitted, the log transform."""
+                    threshold: float = 0.5, fallback: str | None = None) -> DataFrame:
+    """Power transform of skewed columns. Where it cannot be fitted it fails, unless ``fallback='log'`` asks for the log transform."""
+    if fallback not in (None, "log"):
+        raise ValueError(f"unknown fallback {fallback}")
     if columns is None:
         candidates = numeric_columns(df)
         skews = df.agg(*[adjusted_skewness(c).alias(c) for c in candidates]).first()
@@ -247,7 +249,7 @@ def power_transform(df: DataFrame, columns: list[str] | None = None, method: str
     try:
         exponents = fit_power(df, columns, method)
     except ValueError:
-        if method not in ("yeo-johnson", "box-cox"):
+        if fallback is None or method not in ("yeo-johnson", "box-cox"):
             raise
         return log_transform(df, columns)
     return apply_power(df, exponents, method)

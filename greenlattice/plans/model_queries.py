@@ -235,7 +235,9 @@ def cross_validation_classes(spark, d):
 
 @query("cross_validation_comparison")
 def cross_validation_comparison(spark, d):
-    specs = {"linear": {"kind": "linear"}, "ridge": {"kind": "ridge", "params": {"alpha": 10.0}}}
+    specs = {"linear": {"kind": "linear"}, "ridge": {"kind": "ridge", "params": {"alpha": 10.0}}, "lasso": {"kind": "lasso", "params": {"alpha": 0.001}},
+             "elastic_net": {"kind": "elastic_net", "params": {"alpha": 0.001, "l1_ratio": 0.5}},
+             "polynomial_ridge": {"kind": "ridge", "params": {"alpha": 1.0}, "degree": 2}}
     return tidy(crossval.compare_by_cv(training(spark, d), FEATURES, TARGET, "row_id", specs))
 
 
@@ -498,6 +500,32 @@ def file_listing(spark, d):
     return sinks.list_files(spark, path, "*.parquet").select(F.col("kind"), (F.col("size") > 0).alias("has_content"))
 
 
+@query("model_listing", "SELECT * FROM (VALUES ('line', 'linear', true, true), ('shrunk', 'ridge', true, true)) v(name, kind, has_size, has_time)")
+def model_listing(spark, d):
+    """Saved models with their size and time of change."""
+    cells, model = land_model(spark, d)
+    labelled = cells.withColumn("risk", F.col("urban_area") * 0.2)
+    folder = scratch(spark, "models")
+    for name, kind in (("line", "linear"), ("shrunk", "ridge")):
+        models.fit_model(labelled, ["forest_cover", "urban_area"], "risk", kind, name, with_metrics=False).save(f"{folder}/{name}")
+    return sinks.list_models(spark, folder).select("name", "kind", (F.col("size") > 0).alias("has_size"), F.col("modified").isNotNull().alias("has_time"))
+
+
+@query("stored_results", with_(*PAIR_FOLDS, SETS, "tr AS (SELECT * FROM ff, g WHERE fold <> f)", PAIR_FIT.format(by="f", a="5e0"),
+       f"s AS (SELECT f, 1-sum({WRONG}*{WRONG})/(var_pop(y)*count(*)) AS r2 FROM ff JOIN fit ON fold = f GROUP BY f)") + f"""
+SELECT 'folds' AS "table", CAST(10 AS BIGINT) AS n, {R('avg(r2)')} AS test_r2 FROM s UNION ALL SELECT 'summary', 2, {R('avg(r2)')} FROM s""")
+def stored_results(spark, d):
+    """Fold scores and their summary written as CSV tables and read back."""
+    folds = crossval.regression_cv(training(spark, d), PAIR, TARGET, "row_id", "ridge", {"alpha": 5.0})
+    tables = {"folds": folds, "summary": crossval.cv_summary(folds)}
+    paths = sinks.write_tables(tables, scratch(spark, "results"))
+    back = {name: readers.load_data_file(spark, path, tables[name].schema) for name, path in paths.items()}
+    test = F.when(F.col("part") == "test", F.col("score"))
+    rows = [back["folds"].withColumnRenamed("r2", "score"), back["summary"].withColumnRenamed("r2_mean", "score")]
+    return tidy(rows[0].agg(F.count(F.lit(1)).alias("n"), F.avg(test).alias("test_r2")).withColumn("table", F.lit("folds")).unionByName(
+        rows[1].agg(F.count(F.lit(1)).alias("n"), F.avg(test).alias("test_r2")).withColumn("table", F.lit("summary"))))
+
+
 @query("stored_training_set", COMBINED_SQL + "SELECT CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT row_id) AS BIGINT) AS ids FROM combined")
 def stored_training_set(spark, d):
     path = scratch(spark, "training")

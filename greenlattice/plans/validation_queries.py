@@ -391,6 +391,33 @@ def clean_dataset(spark, d):
     return tidy(cleaned.select(F.col("ix").cast("bigint"), F.col("iy").cast("bigint"), "obs_date", *CLEAN_COLUMNS))
 
 
+#: Monthly rows with gaps of every kind that the policy tells apart.
+GAP_COLUMNS = {"row_id": "ix*1000000 + iy*10000 + (year(obs_date)-1990)*12 + month(obs_date)", "zone": "CASE WHEN (ix+iy) % 9 = 0 THEN NULL ELSE concat('z', CAST(ix % 4 AS STRING)) END",
+               "latitude": "latitude", "longitude": "longitude",
+               "temperature": "CASE WHEN (ix*7+iy*3+month(obs_date)) % 5 = 0 THEN NULL ELSE temperature END",
+               "wind_speed": "CASE WHEN (ix*11+iy*5+month(obs_date)) % 20 = 3 THEN NULL ELSE wind_speed END",
+               "elevation": "CAST((ix*31+iy*17) % 100 AS DOUBLE)/1e1",
+               "precipitation": "CASE WHEN (ix+iy+month(obs_date)) % 5 < 3 THEN NULL ELSE precipitation END"}
+
+
+@query("clean_dataset_gaps", with_(MONTHLY_SQL, f"""g AS (SELECT {', '.join(f"{e.replace('STRING', 'VARCHAR')} AS {c}" for c, e in GAP_COLUMNS.items())} FROM monthly)""",
+       """f AS (SELECT row_id, coalesce(zone, (SELECT zone FROM g WHERE zone IS NOT NULL GROUP BY zone ORDER BY count(*) DESC, zone LIMIT 1)) AS zone,
+  coalesce(temperature, (SELECT quantile_cont(temperature, 5e-1) FROM g)) AS temperature, wind_speed, elevation, latitude, longitude FROM g)""",
+       f"""d AS (SELECT n.row_id, h.row_id AS donor, h.wind_speed AS w, {' + '.join(f'(n.{c}-h.{c})*(n.{c}-h.{c})' for c in ('latitude', 'longitude', 'temperature', 'elevation'))} AS d2
+  FROM f n, f h WHERE n.wind_speed IS NULL AND h.wind_speed IS NOT NULL)""",
+       """best AS (SELECT row_id, avg(w) AS w FROM (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY d2, donor) AS i FROM d) WHERE i <= 5 GROUP BY row_id)""",
+       "c AS (SELECT f.row_id, zone, temperature, coalesce(wind_speed, w) AS wind_speed, elevation FROM f LEFT JOIN best USING (row_id))",
+       sequential("c", ["temperature", "wind_speed", "elevation"], IQR_BOUNDS, BETWEEN)) + f"""
+SELECT row_id, zone, {RA('temperature', 'wind_speed', 'elevation')} FROM s2 WHERE temperature BETWEEN -50 AND 60 AND wind_speed BETWEEN 0 AND 200""")
+def clean_dataset_gaps(spark, d):
+    """The cleaning chain on rows with gaps: text by its most frequent value, a sparse column dropped, a median, the nearest rows."""
+    from greenlattice.operators.climate import aggregate_monthly
+    monthly = aggregate_monthly(t.climate_daily(spark, d), ["ix", "iy", "latitude", "longitude"])
+    table = monthly.selectExpr(*[f"{e} AS {c}" for c, e in GAP_COLUMNS.items()])
+    cleaned = clean.clean_dataset(table, row_id="row_id", key_columns=["row_id"])
+    return tidy(cleaned.select("row_id", "zone", "temperature", "wind_speed", "elevation"))
+
+
 @query("label_encoding", with_(t.OCCURRENCE_SQL) + """
 SELECT occ_id, conservation_status, CAST(dense_rank() OVER (ORDER BY conservation_status) - 1 AS INT)
   AS conservation_status_code FROM occurrence""")

@@ -6,7 +6,7 @@ import json
 
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
-from greenlattice.operators.zones import point_feature, zone_feature
+from greenlattice.operators.zones import zone_feature
 
 
 def write_processed(df: DataFrame, path: str, fmt: str = "parquet", partition_by: list[str] | None = None) -> str:
@@ -35,12 +35,6 @@ def write_geojson_zones(zones: DataFrame, path: str) -> None:
     zones.select(feature.alias("value")).write.mode("overwrite").text(path)
 
 
-def write_geojson_points(points: DataFrame, path: str) -> None:
-    feature = point_feature(F.col("longitude"), F.col("latitude"),
-                            risk_score=F.col("risk_score"), risk_category=F.col("risk_category"))
-    points.select(feature.alias("value")).write.mode("overwrite").text(path)
-
-
 def list_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """(name, path, kind, size, modified) of files below a folder; contents are not read."""
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
@@ -59,12 +53,28 @@ def write_evaluation_report(comparison: DataFrame, best: DataFrame, path: str) -
 
 
 def list_models(spark: SparkSession, folder: str) -> DataFrame:
-    """Saved models below a folder: name, kind and path (only the metadata files are read)."""
+    """Saved models below a folder: name, kind, path, size (bytes of all files) and modified; of contents only the metadata is read."""
     lines = (spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "part-*").text(folder)
              .select("value", F.input_file_name().alias("file")).where(F.col("file").contains("/metadata/"))
              .where(F.get_json_object("value", "$.kind").isNotNull()))
-    return lines.select(F.get_json_object("value", "$.name").alias("name"), F.get_json_object("value", "$.kind").alias("kind"),
-                        F.regexp_extract("file", r"^(.*)/metadata/", 1).alias("path"))
+    named = lines.select(F.get_json_object("value", "$.name").alias("name"), F.get_json_object("value", "$.kind").alias("kind"),
+                         F.regexp_extract("file", r"^[a-z]+:/*(/.*)/metadata/", 1).alias("path"))
+    files = list_files(spark, folder).select(F.regexp_extract("path", r"^[a-z]+:/*(/.*?)/(pipeline|metadata)/", 1).alias("path"), "size", "modified")
+    sizes = files.groupBy("path").agg(F.sum("size").alias("size"), F.max("modified").alias("modified"))
+    return named.join(sizes, "path", "left").select("name", "kind", "path", "size", "modified")
+
+
+def write_tables(tables: dict[str, DataFrame], folder: str, fmt: str = "csv") -> dict[str, str]:
+    """Result tables (comparison, importance, cross-validation, ...) by name below one folder; returns their paths."""
+    return {name: write_processed(df, f"{folder}/{name}.{fmt}", fmt) for name, df in tables.items()}
+
+
+def run_summary(spark: SparkSession, folder: str) -> dict:
+    """Number, bytes and newest change of the files below a folder, by kind: what a run has left."""
+    rows = list_files(spark, folder).groupBy("kind").agg(F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes"),
+                                                       F.max("modified").cast("string").alias("newest")).collect()  # a row per kind of file
+    return {"files": sum(r["files"] for r in rows), "bytes": sum(r["bytes"] for r in rows),
+            "kinds": {r["kind"]: {"files": r["files"], "bytes": r["bytes"], "newest": r["newest"]} for r in rows}}
 
 
 def append_predictions(scored: DataFrame, path: str, model_version: str, features: list[str], created_at=None) -> None:

@@ -170,7 +170,9 @@ def test_power_exponent_maximises_likelihood(frame, df):
 
 def test_box_cox_falls_back_to_log(spark):
     rows = spark.createDataFrame([(0, -1.0), (1, 5.0)], "id int, x double")
-    assert [r["x"] for r in scaling.power_transform(rows, ["x"], "box-cox").orderBy("id").collect()] == pytest.approx([np.log1p(1), np.log1p(7)])
+    assert [r["x"] for r in scaling.power_transform(rows, ["x"], "box-cox", fallback="log").orderBy("id").collect()] == pytest.approx([np.log1p(1), np.log1p(7)])
+    with pytest.raises(ValueError):
+        scaling.power_transform(rows, ["x"], "box-cox")
 
 
 def test_skew_correction(frame, df):
