@@ -90,6 +90,98 @@ def test_a_sibling_behind_many_copies_is_found():
     assert html_text.without_template(pages, 40) == [other[0][2]]
 
 
+def undeclared(path, own):
+    menu = "".join(f"<div>Menu entry {i}</div>" for i in range(3))
+    body = "".join(f"<div>{line}</div>" for line in own)
+    return f"http://big.example{path}", f"<html><body>{menu}{body}<div>All rights kept by the owner</div></body></html>"
+
+
+def test_page_text_does_not_follow_the_size_of_its_host(spark):
+    """Undeclared pages at paths without common beginnings: the template goes in hosts of 400, 401 and 5,000 pages."""
+    def path(i):
+        return "/" + hashlib.md5(str(i).encode()).hexdigest()
+
+    def own(i):
+        return [f"Page {i} tells of {hashlib.sha1(str(i).encode()).hexdigest()} at some length", f"and ends with {i * i}"]
+
+    for n in (400, 401, 5000):
+        rows = [(i, *undeclared(path(i), own(i))) for i in range(n)]
+        pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(7)
+        text = {r.page_id: r.text for r in html_text.main_text(pages).collect()}
+        assert len(text) == n and all(text[i] == "\n\n".join(own(i)) for i in range(n)), n
+
+
+NO_ID = "A page without id, which has more to say for itself than the lines that stand around it"
+
+
+def test_copies_beyond_reach_and_borders_of_stretches(spark, monkeypatch):
+    monkeypatch.setattr(html_text, "REACH", 6)
+    copy = ["One article that stands at very many paths", "with the same second line"]
+    rows = [(i, *undeclared(f"/a/{i:04d}", copy)) for i in range(60)]
+    rows += [(1000 + i, *undeclared(f"/z/{i:04d}", [f"Own text {i} of this very page, which goes on for longer than its template does {i * 7919}"])) for i in range(5)]
+    rows += [(2000, "http://other.example/a/0000", "<div>Menu entry 0</div><div>alone on its host</div>"), (2001, None, "<div>no host</div>"),
+             (2002, "http://big.example/b", None), (None, "http://big.example/c", undeclared("/c", [NO_ID])[1])]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    for group in (4, 6, 400):
+        monkeypatch.setattr(html_text, "GROUP", group)
+        text = {r.page_id: r.text for r in html_text.main_text(pages).collect()}
+        assert len(text) == len(rows) and all(text[i] == "\n\n".join(copy) for i in range(60))
+        assert all(text[1000 + i] == rows[60 + i][2].split("<div>")[4].removesuffix("</div>") for i in range(5))
+        assert text[2000] == "Menu entry 0\n\nalone on its host" and text[2001] == "no host" and text[2002] == "" and text[None] == NO_ID
+    assert html_text.main_text(pages.where("false")).collect() == []
+
+
+def plain_texts(rows):
+    """The whole operator by nested loops: each page against its host's pages by distance along the path."""
+    from urllib.parse import urlsplit
+    out, hosts = {}, {}
+    parsed = {i: html_text.lines_of(h or "") for i, _, h in rows}
+    for i, url, _ in rows:
+        hosts.setdefault(urlsplit(url).hostname, []).append((urlsplit(url).path, str(i), i))
+    for members in hosts.values():
+        ids = [i for _, _, i in sorted(members)]
+        for at, i in enumerate(ids):
+            lines, kinds = parsed[i]
+            gone = set()
+            if html_text.UNSAFE in kinds:
+                for j in sorted((j for j in range(len(ids)) if j != at), key=lambda j: (abs(j - at), j)):
+                    other = parsed[ids[j]][0]
+                    table = [[0] * (len(other) + 1) for _ in range(len(lines) + 1)]
+                    for x in range(len(lines)):
+                        for y in range(len(other)):
+                            table[x + 1][y + 1] = table[x][y] + 1 if lines[x] == other[y] else max(table[x][y + 1], table[x + 1][y])
+                    shared, x, y = set(), len(lines), len(other)
+                    while x and y:
+                        if lines[x - 1] == other[y - 1]:
+                            x, y = x - 1, y - 1
+                            shared.add(x)
+                        elif table[x - 1][y] >= table[x][y - 1]:
+                            x -= 1
+                        else:
+                            y -= 1
+                    text = lambda at: sum(len(lines[k]) for k in at if kinds[k] != html_text.GONE)
+                    if shared and text(shared) <= html_text.COPY * text(range(len(lines))):
+                        gone = shared
+                        break
+            out[i] = "\n\n".join(x for k, x in enumerate(lines) if kinds[k] == html_text.SAFE or kinds[k] == html_text.UNSAFE and k not in gone)
+    return out
+
+
+def test_whole_operator_equals_nested_loops(spark):
+    rng = random.Random(17)
+    rows = []
+    for i in range(160):
+        own = [f"Line {rng.randint(0, 10**6)} of page {i}" for _ in range(rng.randint(1, 5))]
+        url, page = undeclared(f"/{rng.choice('abc')}/{rng.randint(0, 60)}", own)
+        if i % 5 == 0 and rows:
+            page = rows[rng.randrange(len(rows))][2]  # a copy elsewhere
+        if i % 7 == 0:
+            page = page.replace("<body>", "<body><nav>top</nav><article><p>declared text " + str(i) + "</p></article>")
+        rows.append((i, url.replace("big", f"h{rng.randint(0, 3)}"), page))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    assert {r.page_id: r.text for r in html_text.main_text(pages).collect()} == plain_texts(rows)
+
+
 # --- decontamination --------------------------------------------------------------------------------
 
 
