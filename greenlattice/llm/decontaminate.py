@@ -115,6 +115,8 @@ class Index:
         words = Words()
         self.ids = [i for i, _ in items]
         self.words = [words.of(t or "") for _, t in items]
+        self.flat = np.concatenate([np.empty(0, np.uint64), *self.words])
+        self.begin = np.concatenate([[0], np.cumsum([len(w) for w in self.words])]).astype(np.int64)
         rows = sorted((int(gram_keys(w[a:b], b - a)[0]), at, a, b - a) for at, w in enumerate(self.words) if len(w) for a, b in parts_of(len(w)))
         self.keys = np.array([r[0] for r in rows], np.uint64)
         self.owners, self.offsets = (np.array([r[k] for r in rows], np.int64) for k in (1, 2))
@@ -125,6 +127,23 @@ class Index:
         self.may = np.zeros(1 << self.bits, np.bool_)
         self.may[self.keys >> np.uint64(64 - self.bits)] = True
 
+    def with_enough_words(self, met: np.ndarray, flat: np.ndarray, begins: np.ndarray) -> np.ndarray:
+        """The hits (text, item, start) whose text holds all words of the item but as many as it may have edits.
+
+        Items that share a common phrase with a text are told apart here, all items of a text at once.
+        """
+        out = []
+        edges = np.searchsorted(met[:, 0], np.unique(met[:, 0]))
+        for own in np.split(met, edges[1:]) if len(met) else ():
+            text = own[0, 0]
+            owners, which = np.unique(own[:, 1], return_inverse=True)
+            begin, n = self.begin[owners], self.begin[owners + 1] - self.begin[owners]
+            ends = n.cumsum()
+            words = self.flat[np.repeat(begin - ends + n, n) + np.arange(n.sum())]
+            held = np.add.reduceat(np.isin(words, flat[begins[text]:begins[text + 1]]), ends - n)
+            out.append(own[(held >= n - (EDITS * n).astype(np.int64))[which]])
+        return np.concatenate(out) if out else met
+
     def hits(self, texts: list[np.ndarray]) -> Iterator[tuple[int, int, int]]:
         """(number of the text, number of the item, edit distance) of all occurrences."""
         flat = np.concatenate(texts) if texts else np.empty(0, np.uint64)
@@ -141,7 +160,8 @@ class Index:
             inside = at + size <= begins[text + 1]
             found.append(np.stack([text, self.owners[entry], at - self.offsets[entry]], axis=1)[inside])
         best: dict[tuple[int, int], int] = {}
-        for text, owner, start in np.unique(np.concatenate(found), axis=0).tolist() if found else ():
+        met = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 3), np.int64)
+        for text, owner, start in self.with_enough_words(met, flat, begins).tolist():
             item = self.words[owner]
             most = int(EDITS * len(item))
             if best.get((text, owner), most + 1) == 0:
