@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from greenlattice.llm.common import query, table, text_of
+from greenlattice.llm.common import query, release, small_batches, table, text_of
 
 VOCABULARY = "byte_bpe_50k.tiktoken"  # the ranks of byte_bpe_50k.json
 SPECIAL = ("<|endoftext|>", 50256)
@@ -100,6 +100,7 @@ def _encode_column(path: str, kept: list[str]):
                 ends = np.cumsum([0] + [len(i) for i in ids]).astype(np.int32)
                 column = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))
                 yield pa.RecordBatch.from_arrays([part.column(name) for name in kept] + [column], names=[*kept, "ids"])
+        release()
     return run
 
 
@@ -142,12 +143,14 @@ def decode(coded: DataFrame, path: str | None = None) -> DataFrame:
                 part = batch.slice(at, ROWS)
                 texts = [code.decode(tokens.values.to_numpy().tolist()) for tokens in part.column("ids")]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*part.schema.names, "decoded"])
+        release()
 
     return coded.mapInArrow(run, T.StructType([*coded.schema, T.StructField("decoded", T.StringType())]))
 
 
 def digests(docs: DataFrame) -> DataFrame:
     """doc_id, n_tokens and the digests of the tokens and of the text they decode to."""
+    small_batches(spark)
     return decode(encode(docs)).select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
@@ -156,6 +159,7 @@ def digests(docs: DataFrame) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Last pipeline stage: every document with its tokens, and the digest of the text they decode to."""
+    small_batches(spark)
     return decode(encode(docs)).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids",
                                        F.sha2("decoded", 256).alias("decoded_sha256"))
 

@@ -64,15 +64,27 @@ def release() -> None:
         trim(0)
 
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+MOST_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Workers get batches of at most 8 MB: texts differ too much in length to be counted in rows."""
+    held = spark.conf.get(BATCH_BYTES)
+    if held.endswith("b") and held[:-1].isdigit() and int(held[:-1]) > MOST_BYTES:  # not one that the user has set
+        spark.conf.set(BATCH_BYTES, str(MOST_BYTES))
+
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 #: Columns of documents that stages read by name.
 READ = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def column_safe(stage: Stage) -> Stage:
-    """``stage`` for documents with columns of any name: those that it doesn't read have plain names on the way."""
+    """``stage`` for documents with columns of any name, in batches of bounded size: columns it doesn't read have plain names on the way."""
     @functools.wraps(stage)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        small_batches(spark)
         plain = [c if c in READ else f"given{i}" for i, c in enumerate(docs.columns)]
         return stage(spark, docs.toDF(*plain), sf_dir).select(*plain).toDF(*docs.columns)
     return run
