@@ -150,7 +150,6 @@ def decode(coded: DataFrame, path: str | None = None) -> DataFrame:
 
 def digests(docs: DataFrame) -> DataFrame:
     """doc_id, n_tokens and the digests of the tokens and of the text they decode to."""
-    small_batches(spark)
     return decode(encode(docs)).select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),

@@ -497,7 +497,7 @@ def test_classifier_drops_toxic_prose(spark):
 
 def test_register():
     names = {n.split("_")[0] for n in QUERIES}
-    assert names == {f"op{i}" for i in range(1, 11)} and set(ORACLES) <= set(QUERIES)
+    assert names == {f"op{i}" for i in range(1, 14)} and set(ORACLES) <= set(QUERIES)
 
 
 def test_pipeline_stages(spark):
