@@ -14,7 +14,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from greenlattice.llm import bpe, decontaminate, html_text, language_model, near_dedup, url_filter
-from greenlattice.llm.common import ORACLES, QUERIES
+from greenlattice.llm.queries import ORACLES, QUERIES
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 SF = "/root/testdata/sf0.001"
