@@ -25,16 +25,6 @@ OCCURRENCE_SCHEMA = T.StructType([
     T.StructField("basis_of_record", T.StringType()),
 ])
 
-PREDICTION_SCHEMA = T.StructType([
-    T.StructField("latitude", T.DoubleType()),
-    T.StructField("longitude", T.DoubleType()),
-    T.StructField("predicted_risk", T.DoubleType()),
-    T.StructField("confidence_score", T.DoubleType()),
-    T.StructField("model_version", T.StringType()),
-    T.StructField("features", T.StringType()),
-    T.StructField("created_at", T.TimestampType()),
-])
-
 CLIMATE_VARIABLES = ["temperature", "precipitation", "humidity", "wind_speed"]
 LANDUSE_SHARES = ["forest_cover", "agricultural_area", "urban_area", "water_bodies"]
 SPECIES_COUNTS = ["species_count", "endemic_species", "threatened_species"]

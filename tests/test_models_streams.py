@@ -68,6 +68,12 @@ def test_forest_importance_save_load_and_spread(spark, df, tmp_path):
     assert (spread["tree_std"] > 0).any()
     listing = sinks.list_models(spark, str(tmp_path)).collect()
     assert [(r["name"], r["kind"]) for r in listing] == [("random_forest", "random_forest")]
+    stored = sum(f.stat().st_size for f in (tmp_path / "forest").rglob("*") if f.is_file() and not f.name.startswith((".", "_")))
+    assert listing[0]["size"] == stored and listing[0]["path"] == str(tmp_path / "forest") and listing[0]["modified"] is not None
+    left = sinks.run_summary(spark, str(tmp_path / "forest"))
+    assert left["bytes"] == stored and left["files"] == sum(k["files"] for k in left["kinds"].values())
+    paths = sinks.write_tables({"importance": model.importance(spark), "kinds": model.importance_by_kind(spark)}, str(tmp_path / "tables"))
+    assert spark.read.option("header", True).csv(paths["importance"]).count() == 4 and paths["kinds"].endswith("kinds.csv")
 
 
 def test_feature_order_and_missing_feature(df):
