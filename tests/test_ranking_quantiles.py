@@ -1,3 +1,5 @@
+import datetime as dt
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -5,6 +7,7 @@ from pyspark.sql import functions as F
 
 from greenlattice.operators.quantiles import exact_quantiles, grouped_quantiles
 from greenlattice.operators.ranking import average_rank, rank_values, row_position, values_at_positions
+from greenlattice.operators.splits import time_series_block
 
 
 @pytest.fixture(scope="module")
@@ -78,3 +81,13 @@ def test_grouped_quantiles(df, table, limit):
 def test_empty_column_has_no_quantile(spark):
     empty = spark.createDataFrame([(None,)], "value double")
     assert exact_quantiles(empty, {"value": [0.5]})["value"] == [None]
+
+
+def test_positions_by_date_in_buckets(spark):
+    days = [dt.date(1969, 12, 1) + dt.timedelta(days=(i * 37) % 90) for i in range(300)]
+    df = spark.createDataFrame([(i, day) for i, day in enumerate(days)], "id long, day date")
+    placed = row_position(df, "day", "id", "at", rows_per_bucket=20).orderBy("at").collect()
+    assert [(r["day"], r["id"]) for r in placed] == sorted((day, i) for i, day in enumerate(days))
+    assert [r["at"] for r in placed] == list(range(300))
+    blocks = time_series_block(df, "day", "id", 5, rows_per_bucket=20).groupBy("block").count().collect()
+    assert {r["block"]: r["count"] for r in blocks} == dict.fromkeys(range(6), 50)
