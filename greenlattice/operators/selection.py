@@ -9,13 +9,13 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
 from greenlattice.operators.quantiles import exact_quantiles
-from greenlattice.operators.stats import _long
+from greenlattice.operators.stats import _long, correlation
 
 
 def regression_scores(df: DataFrame, target: str, columns: list[str]) -> DataFrame:
     """Univariate F statistic of each feature, from one correlation aggregate."""
     rows = df.dropna(subset=[target, *columns])
-    base = _long(rows, columns, {"r": lambda c: F.corr(c, target), "n": F.count})
+    base = _long(rows, columns, {"r": lambda c: correlation(c, target), "n": F.count})
     square = F.col("r") * F.col("r")
     return base.select("feature", F.try_divide(square * (F.col("n") - 2), 1 - square).alias("score"))
 

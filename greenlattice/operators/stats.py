@@ -20,6 +20,13 @@ def adjusted_kurtosis(column: str) -> Column:
                   (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * F.kurtosis(column) + 6))
 
 
+def correlation(x: str | Column, y: str | Column) -> Column:
+    """Pearson correlation over the rows that have both; NULL where one of them does not vary."""
+    x, y = (F.col(c) if isinstance(c, str) else c for c in (x, y))
+    x, y = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+    return F.try_divide(F.covar_pop(x, y), F.sqrt(F.covar_pop(x, x) * F.covar_pop(y, y)))
+
+
 def _long(df: DataFrame, columns: list[str], stats: dict[str, "callable"]) -> DataFrame:
     """One aggregate for all columns, returned as one row per column."""
     wide = df.agg(*[F.struct(*[make(c).alias(name) for name, make in stats.items()]).alias(c) for c in columns])
@@ -59,8 +66,7 @@ def missing_counts(df: DataFrame) -> DataFrame:
 def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
     """Long table (feature_a, feature_b, correlation) from one aggregate over pairs a < b."""
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1:]]
-    both = lambda a, b: F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), F.col(a))
-    row = df.agg(*[F.corr(both(a, b), both(b, a)).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
+    row = df.agg(*[correlation(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
     entries = F.array(*[F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"),
                                  F.col(f"c{i}").alias("correlation")) for i, (a, b) in enumerate(pairs)])
     half = row.select(F.explode(entries).alias("e")).select("e.*")
@@ -70,9 +76,9 @@ def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def correlation_with_target(df: DataFrame, target: str, columns: list[str]) -> DataFrame:
-    """Features by absolute correlation with the target, strongest first."""
-    return (_long(df, columns, {"correlation": lambda c: F.corr(c, target)})
-            .withColumn("strength", F.abs("correlation")).orderBy(F.desc("strength"), "feature"))
+    """Features by absolute correlation with the target, strongest first; those without spread last."""
+    return (_long(df, columns, {"correlation": lambda c: correlation(c, target)})
+            .withColumn("strength", F.abs("correlation")).orderBy(F.desc_nulls_last("strength"), "feature"))
 
 
 def linear_trend(df: DataFrame, x: str, columns: list[str]) -> DataFrame:

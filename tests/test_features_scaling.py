@@ -225,3 +225,19 @@ def test_normality_test_tells_normal_from_skewed(spark):
     normal = spark.createDataFrame(pd.DataFrame({"actual": rng.normal(size=2000), "predicted": 0.0}))
     skewed = spark.createDataFrame(pd.DataFrame({"actual": rng.exponential(size=2000), "predicted": 0.0}))
     assert residual_analysis(normal).first()["is_normal"] and not residual_analysis(skewed).first()["is_normal"]
+
+
+def test_columns_without_spread_have_no_correlation(spark):
+    rows = [(float(i), 7, float(i % 5), None if i == 3 else 1.0 + i, float(2 * i)) for i in range(40)]
+    df = spark.createDataFrame(rows, "x double, same int, y double, gap double, twice double").repartition(4)
+    got = {(r[0], r[1]): r[2] for r in stats.correlation_matrix(df, ["x", "same", "y", "gap", "twice"]).collect()}
+    frame = df.toPandas().astype(float).corr()
+    for (a, b), v in got.items():
+        if a != b and "same" in (a, b):
+            assert v is None
+        else:
+            assert v == pytest.approx(frame.loc[a, b], abs=1e-12) if a != b else v == 1.0
+    ranked = stats.correlation_with_target(df, "twice", ["same", "y", "x"]).collect()
+    assert [r["feature"] for r in ranked] == ["x", "y", "same"] and ranked[-1]["strength"] is None
+    best = selection.select_features(df, "twice", ["same", "y", "gap"], 3).collect()
+    assert [r["feature"] for r in best][-1] == "same" and best[-1]["score"] is None
