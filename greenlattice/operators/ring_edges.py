@@ -8,6 +8,9 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 EDGES_PER_BAND = 8
@@ -115,37 +118,43 @@ def disc_overlap(ring: Column, x: Column, y: Column, radius: float) -> Column:
     """Area that a simple closed ring shares with the disc of ``radius`` about (x, y), in closed form.
 
     Each edge adds the signed area between itself and the centre: a triangle where it runs
-    inside of the circle, a sector where it runs outside.
+    inside of the circle, a sector where it runs outside. All edges of a batch are worked on at once.
+    A missing coordinate makes the area NULL.
     """
-    square = F.lit(float(radius) ** 2)
-
-    def placed(e: Column) -> Column:
-        px, py = e["ax"] - x, e["ay"] - y
-        dx, dy = e["bx"] - e["ax"], e["by"] - e["ay"]
-        return F.struct(px.alias("px"), py.alias("py"), dx.alias("dx"), dy.alias("dy"), (dx * dx + dy * dy).alias("a"),
-                        (px * dx + py * dy).alias("b"), (px * px + py * py - square).alias("c"))
-
-    def cut(e: Column) -> Column:
-        """Shares of the edge at which it enters and leaves the circle; equal if it stays outside."""
-        inside = e["b"] * e["b"] - e["a"] * e["c"]
-        root = F.sqrt(F.greatest(inside, F.lit(0.0)))
-        clip = lambda t: F.least(F.greatest(F.coalesce(F.try_divide(t, e["a"]), F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
-        s, t = clip(-e["b"] - root), clip(-e["b"] + root)
-        return F.struct(*[e[c].alias(c) for c in ("px", "py")], (e["px"] + e["dx"]).alias("qx"), (e["py"] + e["dy"]).alias("qy"),
-                        (e["px"] + e["dx"] * s).alias("sx"), (e["py"] + e["dy"] * s).alias("sy"),
-                        (e["px"] + e["dx"] * t).alias("tx"), (e["py"] + e["dy"] * t).alias("ty"))
-
-    def area(e: Column) -> Column:
-        def cross(m: str, n: str) -> Column:
-            return e[f"{m}x"] * e[f"{n}y"] - e[f"{m}y"] * e[f"{n}x"]
-
-        def sector(m: str, n: str) -> Column:
-            return square * F.atan2(cross(m, n), e[f"{m}x"] * e[f"{n}x"] + e[f"{m}y"] * e[f"{n}y"])
-
-        return sector("p", "s") + cross("s", "t") + sector("t", "q")
-
-    parts = F.transform(F.transform(edge_array(ring), placed), cut)
-    return F.abs(F.aggregate(parts, F.lit(0.0), lambda total, e: total + area(e))) / 2.0
+    return F.arrow_udf(_disc_overlaps(float(radius) ** 2), "double")(ring, x, y)
+
+
+def _disc_overlaps(square: float):
+    def run(ring: pa.Array, x: pa.Array, y: pa.Array) -> pa.Array:
+        sizes = pc.fill_null(pc.list_value_length(ring), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        corners, ends = ring.flatten(), np.cumsum(sizes)
+        begins = np.ones(len(corners), bool)  # corners that an edge begins at: all but the last of a ring
+        begins[ends[sizes > 0] - 1] = False
+        at = np.flatnonzero(begins)
+        own = np.repeat(np.arange(len(sizes)), sizes)[at]
+
+        def numbers(values: pa.Array) -> np.ndarray:
+            return pc.cast(values, pa.float64()).to_numpy(zero_copy_only=False)
+
+        px, py = (numbers(pc.struct_field(corners, n)) for n in ("x", "y"))
+        cx, cy = numbers(x)[own], numbers(y)[own]
+        dx, dy = px[at + 1] - px[at], py[at + 1] - py[at]
+        qx, qy = px[at + 1] - cx, py[at + 1] - cy
+        px, py = px[at] - cx, py[at] - cy
+        a, b, c = dx * dx + dy * dy, px * dx + py * dy, px * px + py * py - square
+        root = np.sqrt(np.maximum(b * b - a * c, 0.0))
+        # Shares of the edge at which it enters and leaves the circle; equal if it stays outside.
+        s, t = (np.clip(np.divide(v, a, out=np.zeros_like(a), where=a != 0), 0.0, 1.0) for v in (-b - root, -b + root))
+        sx, sy, tx, ty = px + dx * s, py + dy * s, px + dx * t, py + dy * t
+
+        def sector(mx: np.ndarray, my: np.ndarray, nx: np.ndarray, ny: np.ndarray) -> np.ndarray:
+            return square * np.arctan2(mx * ny - my * nx, mx * nx + my * ny)
+
+        area = sector(px, py, sx, sy) + (sx * ty - sy * tx) + sector(tx, ty, qx, qy)
+        total = np.abs(np.bincount(own, weights=area, minlength=len(sizes))) / 2.0
+        lacking = np.isnan(total) | pc.is_null(ring).to_numpy(zero_copy_only=False)
+        return pa.array(total, pa.float64(), mask=lacking)
+    return run
 
 
 def disc_area(radius: float) -> float:
