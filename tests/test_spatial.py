@@ -279,3 +279,31 @@ def test_zone_feature_is_geojson(spark):
 def test_valid_coordinates(spark):
     rows = spark.createDataFrame([(0.0, 0.0), (91.0, 0.0), (0.0, 181.0), (None, 0.0), (float("nan"), 0.0)], "a double, o double")
     assert [r[0] for r in rows.select(valid_coordinates(F.col("a"), F.col("o"))).collect()] == [True, False, False, False, False]
+
+
+def test_nearest_site_walks_boxes_not_points(spark):
+    """The walk meets a row per box of points however many points there are; ids that repeat stay one row."""
+    rng = np.random.default_rng(5)
+    sites = pd.DataFrame({"sid": range(60), "longitude": rng.uniform(0, 4, 60), "latitude": rng.uniform(0, 4, 60)})
+    points = pd.DataFrame({"pid": [i % 2000 for i in range(4000)], "longitude": np.tile(rng.uniform(-1, 5, 2000), 2), "latitude": np.tile(rng.uniform(-1, 5, 2000), 2)})
+    points.loc[7, "longitude"] = None
+    points.loc[2007, "longitude"] = None
+    found = spatial_join.nearest_site(spark.createDataFrame(points).replace(float("nan"), None), "pid", spark.createDataFrame(sites), "sid", leaf_rows=16)
+    lists = [line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "collect_list" in line]
+    assert lists and not any("_pid" in line for line in lists)
+    got = {r["pid"]: r for r in found.collect()}
+    assert len(got) == 1999 and 7 not in got
+    for i in range(0, 2000, 13):
+        if i != 7:
+            d = np.hypot(sites.longitude - points.longitude[i], sites.latitude - points.latitude[i])
+            assert got[i]["sid"] == int(d.argmin()) and got[i]["distance_deg"] == pytest.approx(d.min())
+
+
+def test_disc_overlap_of_missing_and_short_rings(spark):
+    rows = [(0, None), (1, []), (2, [(0.0, 0.0)]), (3, [(-1.0, -1.0), (0.0, -1.0), (0.0, 1.0), (-1.0, 1.0), (-1.0, -1.0)]), (4, [(0.0, None), (1.0, 1.0), (0.0, 0.0)])]
+    df = spark.createDataFrame(rows, "i int, ring array<struct<x: double, y: double>>").coalesce(1)
+    got = {r["i"]: r["a"] for r in df.select("i", ring_edges.disc_overlap(F.col("ring"), F.lit(0.0), F.lit(0.0), 0.5).alias("a")).collect()}
+    assert got[0] is None and got[1] == got[2] == 0.0 and got[4] is None
+    assert got[3] == pytest.approx(math.pi / 8)
+    plan = df.select(ring_edges.disc_overlap(F.col("ring"), F.lit(0.0), F.lit(0.0), 0.5))._jdf.queryExecution().optimizedPlan().toString()
+    assert "ArrowEvalPython" in plan  # batches, not an expression per ring
