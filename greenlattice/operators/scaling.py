@@ -193,8 +193,8 @@ def fit_power(df: DataFrame, columns: list[str], method: str = "yeo-johnson", lo
               points: int = 17, rounds: int = 4) -> dict[str, float]:
     """Maximum-likelihood exponent per column.
 
-    One pass evaluates the likelihood of a ladder of exponents for all columns; the bracket
-    around the best one is refined ``rounds`` times.
+    One pass a column evaluates the likelihood of a ladder of exponents, without a row per
+    exponent; the bracket around the best one is refined ``rounds`` times.
     """
     if method not in ("yeo-johnson", "box-cox"):
         raise ValueError(f"unknown power method {method}")
@@ -204,29 +204,25 @@ def fit_power(df: DataFrame, columns: list[str], method: str = "yeo-johnson", lo
         if bad:
             raise ValueError(f"box-cox needs positive values: {bad}")
     apply = box_cox if method == "box-cox" else yeo_johnson
-    jacobian = F.ln("x") if method == "box-cox" else F.signum("x") * F.log1p(F.abs("x"))
-    bracket = {c: (low, high) for c in columns}
     best: dict[str, float] = {}
-    for _ in range(rounds):
-        ladder = {c: [a + (b - a) * i / (points - 1) for i in range(points)] for c, (a, b) in bracket.items()}
-        # One row per value and exponent: a single small expression, combined map-side.
-        tried = df.select(F.explode(F.array(*[F.struct(
-            F.lit(j).alias("j"), F.col(c).cast("double").alias("x"), F.array(*[F.lit(v) for v in ladder[c]]).alias("ladder"))
-            for j, c in enumerate(columns)])).alias("t")).select("t.*").where(F.col("x").isNotNull())
-        tried = tried.select("j", "x", F.posexplode("ladder").alias("i", "lam"))
-        fits = tried.groupBy("j", "i").agg(
-            F.count("x").cast("double").alias("n"), F.sum(jacobian).alias("jac"),
-            F.var_pop(apply(F.col("x"), F.col("lam"))).alias("v")).collect()  # columns * points rows
-        for j, c in enumerate(columns):
+    for c in columns:
+        x = F.col(c).cast("double")
+        jacobian = F.ln(x) if method == "box-cox" else F.signum(x) * F.log1p(F.abs(x))
+        a, b = low, high
+        for _ in range(rounds):
+            ladder = [a + (b - a) * i / (points - 1) for i in range(points)]
+            fits = df.agg(F.count(x).cast("double").alias("n"), F.sum(jacobian).alias("jac"),
+                          *[F.var_pop(apply(x, F.lit(v))).alias(f"v{i}") for i, v in enumerate(ladder)]).first()
             score = {}
-            for r in fits:
-                if r["j"] == j and r["v"] and 0 < r["v"] < math.inf:
-                    score[r["i"]] = -r["n"] / 2 * math.log(r["v"]) + (ladder[c][r["i"]] - 1) * r["jac"]
+            for i, exponent in enumerate(ladder):
+                spread = fits[f"v{i}"]
+                if spread and 0 < spread < math.inf:
+                    score[i] = -fits["n"] / 2 * math.log(spread) + (exponent - 1) * fits["jac"]
             if not score:
                 raise ValueError(f"no exponent fits {c}")
             top = max(score, key=score.get)
-            best[c] = ladder[c][top]
-            bracket[c] = (ladder[c][max(0, top - 1)], ladder[c][min(points - 1, top + 1)])
+            best[c] = ladder[top]
+            a, b = ladder[max(0, top - 1)], ladder[min(points - 1, top + 1)]
     return best
 
 

@@ -241,3 +241,20 @@ def test_columns_without_spread_have_no_correlation(spark):
     assert [r["feature"] for r in ranked] == ["x", "y", "same"] and ranked[-1]["strength"] is None
     best = selection.select_features(df, "twice", ["same", "y", "gap"], 3).collect()
     assert [r["feature"] for r in best][-1] == "same" and best[-1]["score"] is None
+
+
+def test_power_exponents_take_no_row_per_exponent(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame(pd.DataFrame({"x": np.exp(rng.normal(0, 1, 400)), "y": rng.normal(5, 1, 400) ** 2}))
+    asked = []
+    whole = type(df).agg
+
+    def agg(self, *exprs):
+        out = whole(self, *exprs)
+        asked.append(out._jdf.queryExecution().analyzed().toString())
+        return out
+
+    monkeypatch.setattr(type(df), "agg", agg)
+    fitted = scaling.fit_power(df, ["x", "y"], "box-cox")
+    assert abs(fitted["x"]) < 0.15 and len(asked) == 9
+    assert not any("Generate" in plan for plan in asked)
