@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -189,12 +192,45 @@ def box_cox(x: Column, lam: Column) -> Column:
     return F.when(F.abs(lam) < 1e-12, F.ln(x)).otherwise((F.pow(x, lam) - 1) / lam)
 
 
+def _merged(n: float, mean: np.ndarray, m2: np.ndarray, more: float, other: np.ndarray, other_m2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Means and summed squares about them of two groups, ``n`` rows in all and ``more`` of these in the second."""
+    gap = other - mean
+    return mean + gap * (more / n), m2 + other_m2 + gap * gap * ((n - more) * more / n)
+
+
+def _power_sums(method: str, ladder: list[float]):
+    def power(logs: np.ndarray, exponent: float) -> np.ndarray:
+        return logs if abs(exponent) < 1e-12 else (np.exp(exponent * logs) - 1) / exponent
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, jac, mean, m2 = 0, 0.0, np.zeros(len(ladder)), np.zeros(len(ladder))
+        with np.errstate(all="ignore"):  # what overflows fits no exponent
+            for batch in batches:
+                x = batch.column(0).to_numpy(zero_copy_only=False)
+                if not len(x):
+                    continue
+                if method == "box-cox":
+                    logs = np.log(x)
+                    rows = [power(logs, v) for v in ladder]
+                else:
+                    logs, minus = np.log1p(np.abs(x)), x < 0
+                    rows = [np.where(minus, -power(logs, 2 - v), power(logs, v)) if minus.any() else power(logs, v) for v in ladder]
+                    logs = np.sign(x) * logs
+                n, jac = n + len(x), jac + float(logs.sum())
+                own = np.array([row.mean() for row in rows])
+                mean, m2 = _merged(n, mean, m2, len(x), own, np.array([((row - m) ** 2).sum() for row, m in zip(rows, own)]))
+        if n:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([float(n)]), "jac": pa.array([jac]), "mean": pa.array([mean.tolist()], pa.list_(pa.float64())),
+                                              "m2": pa.array([m2.tolist()], pa.list_(pa.float64()))})
+    return run
+
+
 def fit_power(df: DataFrame, columns: list[str], method: str = "yeo-johnson", low: float = -4.0, high: float = 6.0,
               points: int = 17, rounds: int = 4) -> dict[str, float]:
     """Maximum-likelihood exponent per column.
 
-    One pass a column evaluates the likelihood of a ladder of exponents, without a row per
-    exponent; the bracket around the best one is refined ``rounds`` times.
+    One pass a column evaluates the likelihood of a ladder of exponents: a task sums its rows up for
+    all of them, and a row a task comes back. The bracket around the best one is refined ``rounds`` times.
     """
     if method not in ("yeo-johnson", "box-cox"):
         raise ValueError(f"unknown power method {method}")
@@ -203,20 +239,23 @@ def fit_power(df: DataFrame, columns: list[str], method: str = "yeo-johnson", lo
         bad = [c for c in columns if lows[c] is not None and lows[c] <= 0]
         if bad:
             raise ValueError(f"box-cox needs positive values: {bad}")
-    apply = box_cox if method == "box-cox" else yeo_johnson
     best: dict[str, float] = {}
     for c in columns:
-        x = F.col(c).cast("double")
-        jacobian = F.ln(x) if method == "box-cox" else F.signum(x) * F.log1p(F.abs(x))
+        values = df.select(F.col(c).cast("double").alias("x")).where("x is not null")
         a, b = low, high
         for _ in range(rounds):
             ladder = [a + (b - a) * i / (points - 1) for i in range(points)]
-            fits = df.agg(F.count(x).cast("double").alias("n"), F.sum(jacobian).alias("jac"),
-                          *[F.var_pop(apply(x, F.lit(v))).alias(f"v{i}") for i, v in enumerate(ladder)]).first()
+            parts = values.mapInArrow(_power_sums(method, ladder), "n double, jac double, mean array<double>, m2 array<double>").collect()  # a row a task
+            fits = {"n": 0.0, "jac": 0.0}
+            mean, m2 = np.zeros(points), np.zeros(points)
+            with np.errstate(all="ignore"):
+                for r in parts:
+                    fits = {"n": fits["n"] + r["n"], "jac": fits["jac"] + r["jac"]}
+                    mean, m2 = _merged(fits["n"], mean, m2, r["n"], np.array(r["mean"]), np.array(r["m2"]))
             score = {}
             for i, exponent in enumerate(ladder):
-                spread = fits[f"v{i}"]
-                if spread and 0 < spread < math.inf:
+                spread = m2[i] / fits["n"] if parts else 0.0
+                if 0 < spread < math.inf:
                     score[i] = -fits["n"] / 2 * math.log(spread) + (exponent - 1) * fits["jac"]
             if not score:
                 raise ValueError(f"no exponent fits {c}")
