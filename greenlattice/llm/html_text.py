@@ -11,8 +11,8 @@ along the path is taken.
 
 Pages are ranked by host and path (a sort of keys over all tasks, not of pages) and cut into
 stretches of ``GROUP``; a stretch is worked on with the ``REACH`` pages before and after it, so a
-page sees the same neighbours in a host of any size. Where no sibling is within reach, pages
-at doubling distances from it and from both ends of the host follow; without one among these its lines
+page sees the same neighbours in a host of any size. Where no sibling is within reach, the nearest among
+all pages of the host is found by joins on blocks of the ranks (``far_texts``); without one its lines
 stay. Only pages with undecided lines take part, and only texts near those are shuffled. Very long pages are parsed whole; an alignment takes memory
 for the product of both pages' lines, a bit each.
 
@@ -26,6 +26,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -190,9 +191,10 @@ def stripped(page: Page, others: Iterator[list[str]]) -> list[str] | None:
     lines, kinds = page
     known = set(lines)
     own = sum(len(line) for line, kind in zip(lines, kinds) if kind != GONE)
-    tried = {tuple(lines)}  # pages of equal lines are one class
+    tried = {tuple(lines)}  # pages that hold the same of its lines are one class
     for other in others:
-        if not known.isdisjoint(other) and tuple(other) not in tried:
+        other = [line for line in other if line in known]
+        if other and tuple(other) not in tried:
             tried.add(tuple(other))
             shared = set(common(lines, other))
             if sum(len(lines[i]) for i in shared if kinds[i] != GONE) <= COPY * own:
@@ -254,13 +256,81 @@ def _near(reach: int):
     return run
 
 
-def _far(group: pa.Table) -> pa.Table:
-    """Text of one page by pages at growing distances, itself (distance 0) first."""
-    group = group.sort_by([("_away", "ascending"), ("_other", "ascending")])
-    page = (group.column("_lines")[0].as_py(), group.column("_kinds")[0].as_py())
-    left = stripped(page, (group.column("_lines")[i].as_py() for i in range(1, group.num_rows)))
-    text = "\n\n".join(undecided(page) if left is None else left)
-    return pa.table({"_row": group.column("_row").slice(0, 1), "text": pa.array([text], pa.string())})
+def parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    for at in range(0, batch.num_rows, ROWS):
+        yield batch.slice(at, ROWS)
+
+
+def sibling(ids: list[int], lengths: list[int], other: list[int]) -> bool:
+    """Whether a page shares a line with the other, but no more than a copy may."""
+    if set(ids).isdisjoint(other):
+        return False
+    return sum(lengths[i] for i in common(ids, other)) <= COPY * sum(lengths)
+
+
+def _siblings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in parts(batch):
+            met = zip(*(part.column(c).to_pylist() for c in ("_ids", "_lengths", "_skeleton")))
+            yield part.select(["_row", "_away", "_class"]).filter(pa.array([sibling(*m) for m in met], pa.bool_()))
+
+
+def _far_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in parts(batch):
+            texts = []
+            for lines, kinds, ids, other in zip(*(part.column(c).to_pylist() for c in ("_lines", "_kinds", "_ids", "_skeleton"))):
+                shared = set(common(ids, other)) if other is not None else set()
+                texts.append("\n\n".join(x for i, (x, kind) in enumerate(zip(lines, kinds)) if kind == SAFE or kind == UNSAFE and i not in shared))
+            yield pa.RecordBatch.from_arrays([part.column("_row"), pa.array(texts, pa.string())], names=["_row", "text"])
+
+
+def far_texts(places: DataFrame, lines: DataFrame, rest: DataFrame) -> DataFrame:
+    """_row and text of ``rest`` (_row, _rank, _host), pages without a sibling within reach, by the nearest among all pages of the host.
+
+    Whether a page is a sibling only depends on its lines that stand in other pages of the host, its skeleton
+    (64-bit digests in order). Pages of one template are few skeletons, so blocks of 1, 2, 4, ... times 400 places
+    are tables of their skeletons with the first and last place of each. A page looks into the blocks around
+    it, near ones first, until no page further off can be nearer than the one found; a round is one join.
+    Where all skeletons differ, each page meets all of its host: the joins are spread over tasks, but the work is quadratic.
+    """
+    least = min(GROUP, REACH)  # a page has met all of its own block
+    members = places.join(rest.select("_host").distinct(), "_host", "left_semi").select("_row", "_host", "_rank")
+    digests = F.transform("_lines", lambda line: F.xxhash64(line))
+    ids = keep(lines.select("_row", digests.alias("_ids")).join(members, "_row"))
+    shared = ids.select("_host", F.explode(F.array_distinct("_ids")).alias("_id")).groupBy("_host", "_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    listed = ids.select("_row", "_host", "_rank", F.posexplode("_ids").alias("_at", "_id")).join(shared.drop("_n"), ["_host", "_id"])
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("_at", "_id"))), lambda x: x["_id"])
+    skeletons = keep(listed.groupBy("_row", "_host", "_rank").agg(ordered.alias("_skeleton")).withColumn("_class", F.xxhash64("_skeleton")))
+    classes = keep(skeletons.groupBy("_host", "_class").agg(F.first("_skeleton").alias("_skeleton")))
+    lengths = F.zip_with("_lines", "_kinds", lambda line, kind: F.when(kind == GONE, 0).otherwise(F.length(line)))
+    own = keep(rest.select("_row").join(lines.select("_row", lengths.alias("_lengths")), "_row").join(ids.select("_row", "_ids"), "_row"))
+    edges = places.groupBy("_host").agg(F.min("_rank").alias("_begin"), F.max("_rank").alias("_end"))
+    asked = keep(rest.join(edges, "_host").withColumn("_best", F.lit(None).cast("struct<_away:bigint,_class:bigint>")))
+    held = keep(skeletons.groupBy("_host", "_class", F.floor(F.col("_rank") / least).alias("_block")).agg(
+        F.min("_rank").alias("_low"), F.max("_rank").alias("_high")))
+    settled, size, rank = [], least, F.col("_rank")
+    while not asked.isEmpty():
+        block, wider = F.floor(rank / size), F.floor(rank / (2 * size))
+        known = 0 if size == least else 1  # blocks to each side that earlier rounds have seen
+        around = F.filter(F.sequence(2 * wider - 2, 2 * wider + 3), lambda b: F.abs(b - block) > known)
+        # the page before goes first at equal distance
+        away = F.when(F.col("_high") < rank, 2 * (rank - F.col("_high"))).otherwise(2 * (F.col("_low") - rank) + 1)
+        met = (asked.select("_row", "_host", "_rank", F.explode(around).alias("_block")).join(held, ["_host", "_block"])
+               .select("_row", "_host", "_class", away.alias("_away")).join(classes, ["_host", "_class"]).join(own, "_row"))
+        found = met.select("_row", "_away", "_class", "_ids", "_lengths", "_skeleton").mapInArrow(_siblings, "_row long, _away long, _class long")
+        nearest = found.groupBy("_row").agg(F.min(F.struct("_away", "_class")).alias("_found"))
+        size *= 2  # seen on each side, at least
+        seen = (wider - 1) * size <= F.col("_begin")
+        seen = (F.coalesce(F.col("_best._away") <= 2 * size, F.lit(False)) | seen & ((wider + 2) * size > F.col("_end")))
+        asked = keep(asked.join(nearest, "_row", "left").withColumn("_best", F.least("_best", "_found")).drop("_found").withColumn("_done", seen))
+        settled.append(asked.where("_done"))
+        asked = asked.where("not _done").drop("_done")
+        held = keep(held.groupBy("_host", "_class", F.floor(F.col("_block") / 2).alias("_block")).agg(
+            F.min("_low").alias("_low"), F.max("_high").alias("_high")))
+    done = reduce(DataFrame.unionByName, settled).select("_row", "_host", F.col("_best._class").alias("_class"))
+    return (done.join(classes, ["_host", "_class"], "left").join(lines.select("_row", "_lines", "_kinds"), "_row").join(own, "_row")
+            .select("_row", "_lines", "_kinds", "_ids", "_skeleton").mapInArrow(_far_texts, "_row long, text string"))
 
 
 def ranked(pages: DataFrame) -> DataFrame:
@@ -291,19 +361,7 @@ def differenced(parsed: DataFrame) -> DataFrame:
     found, rest = near.where("text is not null").select("_row", "text"), near.where("text is null").select("_row", "_rank", "_host")
     if rest.isEmpty():
         return found
-    last = places.agg(F.max("_rank")).first()[0]
-    steps = F.array(*[F.lit(1 << k).cast("long") for k in range(last.bit_length() + 1)])
-    ends = places.groupBy(F.col("_host").alias("_of")).agg(F.min("_rank").alias("_first"), F.max("_rank").alias("_last"))
-    own = rest.select(F.col("_row").alias("_page"), F.col("_rank").alias("_at"), F.col("_host").alias("_of")).join(ends, "_of")
-    at, begin, end = F.col("_at"), F.col("_first"), F.col("_last")
-    places_to_see = F.concat(F.array(at), F.transform(steps, lambda s: at - s * REACH), F.transform(steps, lambda s: at + s * REACH),
-                             F.transform(steps, lambda s: begin + s - 1), F.transform(steps, lambda s: end - s + 1))
-    inside = F.array_distinct(F.filter(places_to_see, lambda r: (r >= begin) & (r <= end)))
-    asked = own.select("_page", "_of", "_at", F.explode(inside).alias("_rank")).withColumn("_away", F.abs(F.col("_rank") - F.col("_at")))
-    others = asked.join(places.select("_rank", "_host", F.col("_row").alias("_other")), "_rank").where("_of = _host").select(
-        F.col("_page").alias("_row"), "_away", "_other")
-    far = others.join(lines.select(F.col("_row").alias("_other"), "_lines", "_kinds"), "_other").groupBy("_row").applyInArrow(_far, "_row long, text string")
-    return found.unionByName(far)
+    return found.unionByName(far_texts(places, lines, rest))
 
 
 def main_text(pages: DataFrame, columns: tuple[str, ...] = ("page_id", "url"), order: str = "page_id") -> DataFrame:

@@ -141,9 +141,9 @@ def classification_cv(df: DataFrame, features: list[str], target: str, row_id: s
     rows = []
     for i in range(k):
         model = models.fit_classifier(parts.where(F.col("fold") != i), features, target, params)
-        scored = models.predict_proba(model, parts.where(F.col("fold") == i))
-        scored = scored.select(F.col(target).cast("int").alias("actual"), F.col("predicted").cast("int").alias("predicted"),
-                               F.element_at("probabilities", 2).alias("score"))
+        scored = models.predict_proba(model, models.spread(parts.where(F.col("fold") == i), [*features, target]))
+        scored = materialize(scored.select(F.col(target).cast("int").alias("actual"), F.col("predicted").cast("int").alias("predicted"),
+                                           F.element_at("probabilities", 2).alias("score")))  # read by each pass of the ranks
         report = {r["class"]: r for r in classification_report(scored, "actual", "predicted").collect()}  # one row per class
         w = report["weighted avg"]
         auc = binary_auc(scored, "actual", "score").first()[0] if classes == 2 else None

@@ -19,6 +19,9 @@ from greenlattice.operators.features import polynomial_features, polynomial_term
 from greenlattice.operators.metrics import regression_metrics
 from greenlattice.operators.quantiles import exact_quantiles
 
+FOREST_ROWS = 6_000  # rows that one task of a forest takes at least
+FOREST_TASKS = 64  # every task sends sums for all nodes of a level, so there are not many
+
 Factory = Callable[[dict, dict], object]
 MODELS: dict[str, Factory] = {}
 
@@ -194,6 +197,17 @@ class Model:
         return cls(fitted=PipelineModel.load(f"{path}/pipeline"), **info)
 
 
+def spread(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``columns`` of the rows of ``df`` over as many tasks as a forest has use for.
+
+    A stored table of some MB is one file, which a single task would read for all trees and levels.
+    Rows are dealt in turn, so rows that repeat don't meet in one task; their order is fixed, as it decides what a tree draws.
+    """
+    rows = df.select(*dict.fromkeys(columns))
+    tasks = min(FOREST_TASKS, -(-rows.count() // FOREST_ROWS))
+    return rows if tasks <= rows.rdd.getNumPartitions() else rows.repartition(tasks).sortWithinPartitions(*rows.columns)
+
+
 def fit_model(df: DataFrame, features: list[str], target: str, kind: str, name: str | None = None,
               params: dict | None = None, degree: int = 1, validation: DataFrame | None = None,
               with_metrics: bool = True) -> Model:
@@ -211,6 +225,8 @@ def fit_model(df: DataFrame, features: list[str], target: str, kind: str, name:
         extra = [c for c in ("label", target) if c not in features]
         rows = polynomial_features(rows.select(*features, *extra), features, degree)
     assembler = VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="error")
+    if kind == "random_forest":
+        rows = spread(rows, [*inputs, "label"])
     fitted = Pipeline(stages=[assembler, MODELS[kind](params, facts)]).fit(rows)
     model = Model(name or kind, kind, features, target, fitted, params, degree=degree)
     if with_metrics:
@@ -275,7 +291,7 @@ def fit_classifier(df: DataFrame, features: list[str], target: str, params: dict
     forest = RandomForestClassifier(featuresCol="features", labelCol="label", predictionCol="predicted",
                                     numTrees=params.get("n_estimators", 100), maxDepth=params.get("max_depth", 12),
                                     seed=params.get("random_state", 42))
-    return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features"), forest]).fit(rows)
+    return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features"), forest]).fit(spread(rows, [*features, "label"]))
 
 
 def predict_proba(model: PipelineModel, df: DataFrame) -> DataFrame:

@@ -182,6 +182,23 @@ def test_whole_operator_equals_nested_loops(spark):
     assert {r.page_id: r.text for r in html_text.main_text(pages).collect()} == plain_texts(rows)
 
 
+def test_the_nearest_sibling_beyond_reach_is_found_wherever_it_stands(spark, monkeypatch):
+    """Copies of one article fill a host; siblings, each with template lines of its own, stand at any distance."""
+    monkeypatch.setattr(html_text, "REACH", 6)
+    rng = random.Random(5)
+    article = ["One article that stands at very many paths of this host", "Section A", "with the same second line", "Section B"]
+    rows = [(i, *undeclared(f"/{i:04d}", article)) for i in range(150)]
+    for i in (37, 71, 72, 131):
+        url, page = undeclared(f"/{i:04d}", [f"Own text {i} of this page, longer than all that stands around it {i * 7919} {i ** 5}", f"Section {rng.choice('AB')}"])
+        rows[i] = (i, url, page if i != 71 else "<div>shares nothing with any other page</div>")
+    rows += [(1000 + i, f"http://none.example/{i:04d}", undeclared("", article)[1]) for i in range(30)]  # copies only
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    wanted = plain_texts(rows)
+    for group in (4, 400):
+        monkeypatch.setattr(html_text, "GROUP", group)
+        assert {r.page_id: r.text for r in html_text.main_text(pages).collect()} == wanted
+
+
 # --- decontamination --------------------------------------------------------------------------------
 
 

@@ -76,6 +76,17 @@ def test_forest_importance_save_load_and_spread(spark, df, tmp_path):
     assert spark.read.option("header", True).csv(paths["importance"]).count() == 4 and paths["kinds"].endswith("kinds.csv")
 
 
+def test_rows_of_a_forest_are_spread_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(models, "FOREST_ROWS", 50)
+    rows = [(i % 7 if i % 3 else None, float(i % 11)) for i in range(420)]
+    one = spark.createDataFrame(rows, "a long, b double").coalesce(1)
+    spread = models.spread(one, ["b", "a"])
+    assert spread.rdd.getNumPartitions() == 9 and max(spread.rdd.glom().map(len).collect()) < 60
+    key = lambda r: (r[0] is None, r[0] or 0, r[1])
+    assert sorted(((r.a, r.b) for r in spread.collect()), key=key) == sorted(rows, key=key)
+    assert models.spread(one.limit(40), ["a"]).rdd.getNumPartitions() == 1
+
+
 def test_feature_order_and_missing_feature(df):
     model = models.fit_model(df, COLS, "target", "linear")
     shuffled = df.select(*reversed(df.columns)).withColumn("extra", F.lit(1))
