@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -5,6 +7,7 @@ from pyspark.sql import functions as F
 
 from greenlattice.functions.numeric import clip, nan_to_null, numeric_columns
 from greenlattice.operators import clean, validate
+from greenlattice.operators import impute
 from greenlattice.operators.impute import impute_nearest_rows
 
 DIRTY = [
@@ -166,3 +169,22 @@ def test_occurrence_defaults(spark):
 
 def test_numeric_columns_leave_places_out(dirty):
     assert "latitude" not in numeric_columns(dirty) and "text_data" not in numeric_columns(dirty)
+
+
+def test_distances_are_compiled_and_wide_rows_get_the_same(spark, monkeypatch):
+    rng = random.Random(29)
+    rows = [(i, *[None if rng.random() < 0.15 else float(rng.randint(0, 12)) for _ in range(5)]) for i in range(250)]
+    df = spark.createDataFrame(rows, "id long, " + ", ".join(f"{c} double" for c in "abcde"))
+
+    def filled():
+        return impute_nearest_rows(df, list("abcde"), "id", 3, 16)
+
+    def plan_of(frame):
+        return frame._jdf.queryExecution().optimizedPlan().toString()
+
+    compiled = filled()
+    assert "zip_with" not in plan_of(compiled)
+    monkeypatch.setattr(impute, "UNROLLED", 4)
+    wide = filled()
+    assert "zip_with" in plan_of(wide)
+    assert sorted(map(tuple, compiled.collect())) == sorted(map(tuple, wide.collect()))
