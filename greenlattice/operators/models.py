@@ -19,7 +19,7 @@ from greenlattice.operators.features import polynomial_features, polynomial_term
 from greenlattice.operators.metrics import regression_metrics
 from greenlattice.operators.quantiles import exact_quantiles
 
-FOREST_ROWS = 6_000  # rows that one task of a forest takes at least
+FOREST_ROWS = 20_000  # rows that one task of a forest takes at least
 FOREST_TASKS = 64  # every task sends sums for all nodes of a level, so there are not many
 
 Factory = Callable[[dict, dict], object]
@@ -225,8 +225,6 @@ def fit_model(df: DataFrame, features: list[str], target: str, kind: str, name:
         extra = [c for c in ("label", target) if c not in features]
         rows = polynomial_features(rows.select(*features, *extra), features, degree)
     assembler = VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="error")
-    if kind == "random_forest":
-        rows = spread(rows, [*inputs, "label"])
     fitted = Pipeline(stages=[assembler, MODELS[kind](params, facts)]).fit(rows)
     model = Model(name or kind, kind, features, target, fitted, params, degree=degree)
     if with_metrics:
