@@ -509,6 +509,63 @@ def test_classifier_drops_toxic_prose(spark):
     assert sum(not got[i] for i in range(2000, 2300)) >= 0.9 * 300
 
 
+def plain_perplexity(train, text):
+    """Mean cost of a character under the interpolated modified Kneser-Ney model, by dictionaries."""
+    def units(t):
+        raw = t.encode("utf-16-le")
+        return (0xFFFF,) * 3 + tuple(raw[i] | raw[i + 1] << 8 for i in range(0, len(raw), 2))
+
+    counts = Counter(u[i:i + 4] for u in map(units, train) for i in range(len(u) - 3))
+    models = {}
+    for order in (4, 3, 2, 1):
+        if order < 4:
+            counts = Counter(g[1:] for g in counts)
+        times = Counter(counts.values())
+        base = times[1] / (times[1] + 2 * times[2]) if times[1] else 0.5
+        cut = [min(k - 0.01, max(0.01, k - (k + 1) * base * times[k + 1] / times[k])) if times[k] else 0.5 * k for k in (1, 2, 3)]
+        total, freed = Counter(), Counter()
+        for g, n in counts.items():
+            total[g[:-1]] += n
+            freed[g[:-1]] += cut[min(n, 3) - 1]
+        models[order] = counts, cut, total, freed
+
+    def p(g):
+        if not g:
+            return 1 / 65536
+        counts, cut, total, freed = models[len(g)]
+        if not total[g[:-1]]:
+            return p(g[1:])
+        n = counts.get(g, 0)
+        return ((n - cut[min(n, 3) - 1] if n else 0) + freed[g[:-1]] * p(g[1:])) / total[g[:-1]]
+
+    u = units(text)
+    return -sum(math.log(p(u[i:i + 4])) for i in range(len(u) - 3)) / len(text)
+
+
+def test_perplexity_by_joins_is_that_of_the_formula(spark):
+    rng = random.Random(5)
+    texts = ["".join(rng.choices("abcdE жзи\n7漢😀", k=120)) for _ in range(40)]
+    asked = [*texts[:5], "Zzz жжж qq", "a", "😀", "\uffff\x00", "".join(rng.choices("abcжqЖ漢字😀😁", k=3000)), None, ""]
+    model = language_model.kneser_ney(spark.createDataFrame([(t,) for t in texts], "text string"), language_model.UNIT)
+    docs = spark.createDataFrame([(i, "en", len(t or ""), t) for i, t in enumerate(asked)] * 2, "doc_id long, lang string, n_chars long, text string")
+    got = language_model.perplexity(docs, model).collect()
+    assert sorted(r.doc_id for r in got) == sorted([*range(len(asked))] * 2)
+    for r in got:
+        text = asked[r.doc_id]
+        assert r._cost is None if not text else math.isclose(r._cost, plain_perplexity(texts, text), rel_tol=1e-5)
+
+
+def test_classifier_tells_the_letters_of_every_script_apart(spark):
+    rng = random.Random(6)
+    syllables = "та ре ми со лу не ва ки до пе".split()
+    shift = {c: chr(0x430 + (c - 0x430 + 8) % 32) for c in range(0x430, 0x450)}  # letters that are equal by their number modulo 8
+    prose = [" ".join("".join(rng.choices(syllables, k=rng.randint(1, 4))) for _ in range(80)) for _ in range(440)]
+    rows = [(i, t if i < 400 else t.translate(shift), "ru", "a", 0) for i, t in enumerate(prose)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(300)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r.kept for r in language_model.classify(spark.createDataFrame(rows, DOCS), labels).collect()}
+    assert all(got[i] for i in range(400)) and not any(got[i] for i in range(400, 440))
+
+
 # --- pipeline and register --------------------------------------------------------------------------
 
 
