@@ -163,7 +163,7 @@ SELECT site_id, occ_id, {R(km('site', 'occurrence'))} AS distance_km FROM site,
 WHERE {km('site', 'occurrence')} <= 10e0""")
 def radius_pairs(spark, d):
     occ = t.occurrence(spark, d).select("occ_id", "latitude", "longitude")
-    return tidy(spatial_join.radius_join(t.sites(spark, d), occ, 10.0).select("site_id", "occ_id", "distance_km"))
+    return spatial_join.radius_join(t.sites(spark, d), occ, 10.0, digits=6).select("site_id", "occ_id", "distance_km")
 
 
 @query("radius_pairs_outer", with_(t.SITE_SQL, t.OCCURRENCE_SQL) + f"""

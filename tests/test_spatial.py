@@ -307,3 +307,17 @@ def test_disc_overlap_of_missing_and_short_rings(spark):
     assert got[3] == pytest.approx(math.pi / 8)
     plan = df.select(ring_edges.disc_overlap(F.col("ring"), F.lit(0.0), F.lit(0.0), 0.5))._jdf.queryExecution().optimizedPlan().toString()
     assert "ArrowEvalPython" in plan  # batches, not an expression per ring
+
+
+def test_radius_join_lists_rows_of_a_crowded_place_once(spark, monkeypatch):
+    monkeypatch.setattr(spatial_join.packed_places, "__defaults__", (7,))
+    points = spark.createDataFrame([(i % 40, 19.0, 75.0, None) for i in range(60)] + [(99, None, 75.0, "x")], "pid int, latitude double, longitude double, note string")
+    targets = spark.createDataFrame([(1, 19.001, 75.0), (1, 19.001, 75.0), (2, 25.0, 75.0)], "tid int, latitude double, longitude double")
+    assert max(len(r["_points"]) for r in spatial_join.packed_places(points).collect()) <= 14
+    got = spatial_join.radius_join(points, targets, 5.0, digits=6)
+    assert got.columns == ["pid", "latitude", "longitude", "note", "tid", "t_latitude", "t_longitude", "distance_km"]
+    rows = got.collect()
+    assert sorted(r.pid for r in rows) == sorted(2 * [i % 40 for i in range(60)])
+    assert {r.distance_km for r in rows} == {round(brute_km(19.0, 75.0, 19.001, 75.0), 6)}
+    outer = spatial_join.radius_join(points, targets, 5.0, how="left").collect()
+    assert len(outer) == 121 and [r.tid for r in outer if r.pid == 99] == [None]
