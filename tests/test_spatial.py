@@ -321,3 +321,66 @@ def test_radius_join_lists_rows_of_a_crowded_place_once(spark, monkeypatch):
     assert {r.distance_km for r in rows} == {round(brute_km(19.0, 75.0, 19.001, 75.0), 6)}
     outer = spatial_join.radius_join(points, targets, 5.0, how="left").collect()
     assert len(outer) == 121 and [r.tid for r in outer if r.pid == 99] == [None]
+
+
+def triangles_at(spark, places):
+    """Right triangles of side 0.5, number i at places[i]; a place may come twice."""
+    return spark.createDataFrame([(i, [(x, y), (x + 0.5, y), (x, y + 0.5), (x, y)]) for i, (x, y) in enumerate(places)],
+                                 "gid int, ring array<struct<x:double,y:double>>")
+
+
+def test_left_join_lists_each_pair_once_and_never_moves_it(spark):
+    """Equal rings meet a point as one row, and the unmatched points come from the same join, not from one over all pairs."""
+    places = [(float(x), 0.0) for x in range(4)] * 50
+    points = spark.createDataFrame([(i, 0.1 + i % 5, 0.1) for i in range(40)], "pid int, longitude double, latitude double")
+    shapes = triangles_at(spark, places)
+    assert spatial_join.packed_rings(shapes.coalesce(1)).count() == 4
+    left = spatial_join.points_in_polygons(points, shapes, how="left").select("pid", "gid")
+    plan = left._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join LeftOuter") == 1 and "Join Inner" not in plan and "LeftAnti" not in plan
+    joined = plan[plan.index("Join LeftOuter"):].splitlines()[0]
+    assert "lambda" not in joined and "gid" not in joined  # a compiled test, before polygons are listed
+    got = [tuple(r) for r in left.collect()]
+    want = [(i, g) for i in range(40) for g in ([g for g in range(200) if g % 4 == i % 5] or [None])]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_packed_rings_are_bounded_and_whole(spark, monkeypatch):
+    monkeypatch.setattr(spatial_join, "PACK_ROWS", 7)
+    shapes = triangles_at(spark, [(0.0, 0.0), (-0.0, 0.0), (1.0, 0.0)] * 20).coalesce(1)
+    packed = spatial_join.packed_rings(shapes).collect()
+    assert max(len(r["_members"]) for r in packed) <= 7
+    assert sorted(m["gid"] for r in packed for m in r["_members"]) == list(range(60))
+    alone = spatial_join.packed_rings(shapes.select("ring")).collect()
+    assert sum(len(r["_members"]) for r in alone) == 60
+    points = spark.createDataFrame([(1, 0.1, 0.1)], "pid int, longitude double, latitude double")
+    assert spatial_join.points_in_polygons(points, shapes.select("ring"), how="left").count() == 40
+
+
+def test_left_join_of_crowded_cells_keeps_all_rows(spark, monkeypatch):
+    rng = np.random.default_rng(21)
+    places = [(float(x), float(y)) for x, y in rng.uniform(0, 2, (30, 2))] * 2 + [(0.5, 0.5)] * 40
+    at = [(float(x), float(y)) for x, y in rng.uniform(-1, 3, (300, 2))] + [(0.6, 0.6)] * 60 + [(None, 0.6), (0.6, None), (None, None)] * 5
+    ids = [i % 200 for i in range(len(at))]  # ids repeat
+    points = spark.createDataFrame([(i, *p) for i, p in zip(ids, at)], "pid int, longitude double, latitude double")
+    many = [(4 + math.cos(a), math.sin(a)) for a in np.linspace(0, 2 * np.pi, 30)]  # not compiled
+    long = [(-2 + 1.5 * math.cos(a), math.sin(a)) for a in np.linspace(0, 2 * np.pi, 90)]
+    wide = [(-30.0, -30.0), (30.0, -30.0), (0.0, 30.0), (-30.0, -30.0)]  # cells of another size
+
+    def holds(ring, p):
+        return None not in p and bool(ray_casts(np.array([p[0]]), np.array([p[1]]), ring)[0])
+
+    cases = (([], 10**6, 10**8, 32), ([], 10**6, 50, 0), ([many + many[:1]], 10**6, 50, 0), ([wide, long + long[:1], many + many[:1]], 20, 10**8, 10**9))
+    for more, hot_rows, hot_pairs, share in cases:
+        monkeypatch.setattr(spatial_join, "PAIRS_PER_POINT", share)
+        rings = [[(x, y), (x + 0.5, y), (x, y + 0.5), (x, y)] for x, y in places] + more
+        shapes = ring_rows(spark, dict(enumerate(rings))).withColumn("longitude", F.lit("clash"))
+        shapes = shapes.unionByName(spark.createDataFrame([(900, None, "none"), (901, [], "none"), (902, [(None, 1.0), (2.0, 2.0)], "none")], shapes.schema))
+        want = sorted(((i, g) for i, p in zip(ids, at) for g in ([g for g, r in enumerate(rings) if holds(r, p)] or [None])), key=str)
+        found = spatial_join.points_in_polygons(points, shapes, how="left", hot_rows=hot_rows, hot_pairs=hot_pairs)
+        assert found.columns == ["pid", "longitude", "latitude", "gid", "ring", "g_longitude"]
+        rows = found.collect()
+        assert sorted(((r.pid, r.gid) for r in rows), key=str) == want
+        assert all((r.gid is None) == (r.ring is None) == (r.g_longitude is None) for r in rows)
+    none = spatial_join.points_in_polygons(points, shapes.limit(0), how="left").collect()
+    assert sorted((r.pid for r in none)) == sorted(ids) and all(r.gid is None for r in none)
